@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_crc
+from .quality import ablations, apply_policy, ledger
 from .simhash import near_duplicates
 from .toxicity import ToxicityModel, fit, labelled_sample, score_toxicity
 
@@ -28,15 +29,58 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return fit(*labelled_sample(docs, labels, F.pmod(id_crc("doc_id"), F.lit(4)) != 2, TOXICITY_SAMPLE))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_policy(ledger(_table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version removes, from the mask counts."""
+    return ablations(ledger(_table(spark, sf_dir, "documents")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, toxicity_model(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (F.pmod(id_crc("doc_id"), F.lit(4)) == 2).alias("held_out"), "score", "predicted")
 
 
+_LEDGER_SQL = r"""
+words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                 row_number() OVER () AS rid FROM documents),
+win AS (SELECT rid, i, array_to_string(w[i:i+4], ' ') AS g
+        FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) > 5)),
+dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM dup) GROUP BY rid),
+lines AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+          FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM words)
+          WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+             coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS n_letters,
+             length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS n_upper
+      FROM words LEFT JOIN rep USING (rid) LEFT JOIN lines USING (rid)),
+ledger AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
+    + 4 * (word_chars < 3 * n_words)::BIGINT + 8 * (word_chars > 14 * n_words)::BIGINT
+    + 16 * (10 * n_symbols > n_words)::BIGINT + 32 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+    + 64 * (2 * n_upper > n_letters)::BIGINT) AS failed FROM m)
+"""
+OP3_SQL = f"""WITH {_LEDGER_SQL}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (failed & 3) <> 0 AS base_failed, (failed & 127) = 0 AS kept, failed FROM ledger"""
+ABLATIONS_SQL = f"""WITH {_LEDGER_SQL},
+rules(rule, rule_bit) AS (VALUES ('too_few_words', 1), ('repeated_words', 2), ('short_words', 4), ('long_words', 8),
+                                 ('symbols', 16), ('duplicate_lines', 32), ('shouting', 64)),
+policies(policy, version, mask) AS (VALUES ('base', 1, 3), ('standard', 1, 31), ('standard', 2, 127))
+SELECT policy, version::INT AS version, rule, count(*) FILTER (WHERE failed & rule_bit <> 0) AS n_failed,
+       count(*) FILTER (WHERE failed & mask = rule_bit) AS n_failed_alone, count(*) FILTER (WHERE failed & mask = 0) AS n_kept,
+       count(*) FILTER (WHERE (failed & mask & ~rule_bit) = 0) AS n_kept_without
+FROM policies JOIN rules ON mask & rule_bit <> 0 CROSS JOIN ledger GROUP BY ALL"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_toxicity)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_quality_rules, quality_ablations, op4_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": OP3_SQL, "quality_ablations": ABLATIONS_SQL}

@@ -64,7 +64,7 @@ class ToxicityModel:
             return
         made = []
         for content in (self.ordinary, self.toxic + self.ordinary):
-            params = zs.ZstdCompressionParameters(window_log=17, chain_log=13, hash_log=13, search_log=4, min_match=5, target_length=32, strategy=zs.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False, write_checksum=False)
+            params = zs.ZstdCompressionParameters(window_log=17, chain_log=13, hash_log=13, search_log=4, min_match=6, target_length=32, strategy=zs.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False, write_checksum=False)
             held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=params)
             made.append(zs.ZstdCompressor(dict_data=held, compression_params=params))
@@ -104,7 +104,7 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30))))
 
 
-def fit(texts: list[str], toxic: list[int], dictionary_bytes: int = 4096, top_terms: int = 300, window_words: int = 1, ridge: float = 0.1) -> ToxicityModel:
+def fit(texts: list[str], toxic: list[int], dictionary_bytes: int = 4096, top_terms: int = 100, contrast: float = 6.0, window_words: int = 1, ridge: float = 0.1) -> ToxicityModel:
     """Train both dictionaries and the calibration on labelled texts; without both classes the score is the prior."""
     y = np.array(toxic, dtype=float)
     model = ToxicityModel(window_words=window_words, prior=float(y.mean()) if len(y) else 0.0)
@@ -114,9 +114,15 @@ def fit(texts: list[str], toxic: list[int], dictionary_bytes: int = 4096, top_te
     for text, label in zip(texts, toxic):
         seen[label].update(_terms(text))
     n = [max(1, int((y == k).sum())) for k in (0, 1)]
-    least = max(2, round(0.004 * n[1]))
-    weight = {t: c * np.log(((c + 0.5) / n[1]) / ((seen[0][t] + 0.5) / n[0])) for t, c in seen[1].items() if c >= least}
-    ranked = sorted(weight, key=lambda t: (-weight[t], t))[:top_terms]
+    least = max(3, round(0.015 * n[1]))
+    odds = {t: ((c + 0.5) / n[1]) / ((seen[0][t] + 0.5) / n[0]) for t, c in seen[1].items() if c >= least}
+    ranked, covered = [], {}
+    for t in sorted((t for t in odds if odds[t] > contrast), key=lambda t: (-seen[1][t] * np.log(odds[t]), -len(t), t)):
+        # A prefix about as frequent as a longer term chosen before adds nothing.
+        if len(ranked) < top_terms and seen[1][t] >= 1.25 * covered.get(t, 0):
+            ranked.append(t)
+            for k in range(2, len(t)):
+                covered[t[:k]] = max(covered.get(t[:k], 0), seen[1][t])
     model.toxic = b"".join(reversed(ranked))
     samples = [b" " + w + b" " for text, label in zip(texts, toxic) if not label for w in _windows(text, 8)]
     picked = [samples[i] for i in np.random.default_rng(1).permutation(len(samples))[:20_000]]
