@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import id_crc, scratch_path
+from .huffman import read_ids, write_ids
+from .packing import pack_documents
 from .quality import ablations, apply_policy, ledger
 from .simhash import near_duplicates
+from .tokens import CachedEncoder
 from .toxicity import ToxicityModel, fit, labelled_sample, score_toxicity
 
 #: Labelled texts of each class that the toxicity model is fitted on, at most.
@@ -44,6 +48,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.pmod(id_crc("doc_id"), F.lit(4)) == 2).alias("held_out"), "score", "predicted")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ids")
+    encoder = CachedEncoder(public_tokenizers.path("word_bpe_49k.json"), "word")
+    write_ids(_table(spark, sf_dir, "documents"), path, encoder, 49_408, end_id=2)
+    return read_ids(spark, path, with_ids=False)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoder = CachedEncoder(public_tokenizers.path("byte_bpe_50k.json"), "byte")
+    return pack_documents(_table(spark, sf_dir, "documents"), encoder, end_id=1, with_ids=False)
+
+
 _LEDGER_SQL = r"""
 words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                  row_number() OVER () AS rid FROM documents),
@@ -79,7 +95,7 @@ FROM policies JOIN rules ON mask & rule_bit <> 0 CROSS JOIN ledger GROUP BY ALL"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_quality_rules, quality_ablations, op4_toxicity)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
