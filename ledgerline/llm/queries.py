@@ -15,6 +15,7 @@ from .quality import ablations, apply_policy, ledger
 from .simhash import near_duplicates
 from .tokens import CachedEncoder
 from .toxicity import ToxicityModel, fit, labelled_sample, score_toxicity
+from .winnow import find_contamination
 
 #: Labelled texts of each class that the toxicity model is fitted on, at most.
 TOXICITY_SAMPLE = 3_000
@@ -55,6 +56,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path, with_ids=False)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    names = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = CachedEncoder(public_tokenizers.path("byte_bpe_50k.json"), "byte")
     return pack_documents(_table(spark, sf_dir, "documents"), encoder, end_id=1, with_ids=False)
@@ -93,10 +100,25 @@ SELECT policy, version::INT AS version, rule, count(*) FILTER (WHERE failed & ru
        count(*) FILTER (WHERE (failed & mask & ~rule_bit) = 0) AS n_kept_without
 FROM policies JOIN rules ON mask & rule_bit <> 0 CROSS JOIN ledger GROUP BY ALL"""
 
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT rid, i, m, array_to_string(w[i:i + m - 1], ' ') AS g
+       FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+hits AS (SELECT rid, i, m, item_id FROM dw JOIN bw USING (m, g)),
+n AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + m)) AS j FROM (SELECT DISTINCT rid, i, m FROM hits)) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+       FROM (SELECT DISTINCT rid, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op6_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "quality_ablations": ABLATIONS_SQL}
+    return {"op3_quality_rules": OP3_SQL, "quality_ablations": ABLATIONS_SQL, "op6_decontamination": OP6_SQL}
