@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid
 from .common import id_crc, scratch_path
 from .huffman import read_ids, write_ids
 from .packing import pack_documents
@@ -17,6 +18,8 @@ from .tokens import CachedEncoder
 from .toxicity import ToxicityModel, fit, labelled_sample, score_toxicity
 from .winnow import find_contamination
 
+#: Texts of each language that the language model is fitted on, at most.
+LANGUAGE_SAMPLE = 800
 #: Labelled texts of each class that the toxicity model is fitted on, at most.
 TOXICITY_SAMPLE = 3_000
 
@@ -34,6 +37,14 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return fit(*labelled_sample(docs, labels, F.pmod(id_crc("doc_id"), F.lit(4)) != 2, TOXICITY_SAMPLE))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(id_crc("doc_id"), F.lit(5)) == 0
+    model = langid.fit(*langid.labelled_sample(docs, ~held_out, LANGUAGE_SAMPLE))
+    found = langid.identify(docs, model, with_spans=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(_table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
@@ -117,7 +128,7 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op6_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op6_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
