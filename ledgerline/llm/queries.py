@@ -12,6 +12,7 @@ from . import langid
 from .common import id_crc, scratch_path
 from .huffman import read_ids, write_ids
 from .packing import pack_documents
+from .pii import KINDS, find_personal_data
 from .quality import ablations, apply_policy, ledger
 from .simhash import near_duplicates
 from .tokens import CachedEncoder
@@ -73,6 +74,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    of_kind = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of_kind(kind) for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("found"), 256).alias("base_sha256"), joined(F.concat("found", "terms")).alias("spans"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = CachedEncoder(public_tokenizers.path("byte_bpe_50k.json"), "byte")
     return pack_documents(_table(spark, sf_dir, "documents"), encoder, end_id=1, with_ids=False)
@@ -128,7 +137,7 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op6_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op6_decontamination, op8_personal_data, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
