@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .pii import KINDS, find_personal_data
 from .quality import ablations, apply_policy, ledger
 from .simhash import near_duplicates
+from .suffixes import remove_repeated
 from .tokens import CachedEncoder
 from .toxicity import ToxicityModel, fit, labelled_sample, score_toxicity
 from .winnow import find_contamination
@@ -82,6 +83,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("found"), 256).alias("base_sha256"), joined(F.concat("found", "terms")).alias("spans"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated(_table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = CachedEncoder(public_tokenizers.path("byte_bpe_50k.json"), "byte")
     return pack_documents(_table(spark, sf_dir, "documents"), encoder, end_id=1, with_ids=False)
@@ -137,7 +142,7 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op6_decontamination, op8_personal_data, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op6_decontamination, op8_personal_data, op9_suffix_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
