@@ -1,11 +1,12 @@
 """Packing token pieces into windows by Karmarkar-Karp multiway differencing.
 
 Documents are cut into whole windows and a rest, and the rests into small
-pieces.  A batch of pieces is spread over k windows: every piece begins as a
-partition of k loads, one of them the piece; the two partitions of largest
-spread are merged, the largest load of one with the least of the other, until
-one partition is left.  If its largest window is over the capacity, k rises.
-Batches are formed inside a task, so nothing is shuffled.
+pieces.  A batch of pieces, which stays a little under the room of its windows,
+is spread over k of them: every piece begins as a partition of k loads, one of
+them the piece; the two partitions of largest spread are merged, the largest
+load of one with the least of the other, until one partition is left.  If its
+largest window is over the capacity, k rises.  Batches are formed inside a
+task, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -28,31 +29,52 @@ from .tokens import CachedEncoder
 CAPACITY = 2048
 #: Longest piece of a document's rest; small pieces even out better.
 PIECE = 512
-#: Tokens that a batch gathers before it is packed.
-BATCH = 64 * CAPACITY
+#: Every so many documents the rest is cut into pieces of at most FINE, to fill what the others leave.
+FINE_EVERY, FINE = 16, 96
+#: Windows of a batch, and the tokens by which its pieces stay under the windows' room for each window.
+WINDOWS, SLACK = 32, 12
 
 
 def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
-    """Karmarkar-Karp: (load, pieces) of each of k windows, loads ascending."""
-    heap: list[tuple[int, int, np.ndarray, list[list[int]]]] = []
-    for i, size in enumerate(sizes):
-        loads = np.zeros(k, dtype=np.int64)
-        loads[-1] = size
-        heap.append((-size, i, loads, [[] for _ in range(k - 1)] + [[i]]))
+    """Karmarkar-Karp: (load, pieces) of each of k windows, loads ascending.
+
+    A partition is a sorted list of its loads other than zero, with their pieces.
+    """
+    heap: list[tuple[int, int, list]] = [(-size, i, [(size, i, None)]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     serial = len(sizes)
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
-        loads = a + b[::-1]
-        by = np.argsort(loads, kind="stable")
-        loads = loads[by]
-        merged = [in_a[j] + in_b[k - 1 - j] if in_b[k - 1 - j] else in_a[j] for j in by]
-        loads_least = int(loads[0])
-        heapq.heappush(heap, (-(int(loads[-1]) - loads_least), serial, loads, merged))
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        over = len(a) + len(b) - k
+        if over <= 0:
+            # Each load meets a zero of the other partition.
+            made = a + b
+        else:
+            # Opposite orders: the greatest of either side meet the zeros of the other, and so the least meet each other.
+            made = [(x[0] + y[0], x, y) for x, y in zip(a[:over], b[:over][::-1])] + a[over:] + b[over:]
+        made.sort(key=_load)
+        spread = made[-1][0] - (made[0][0] if len(made) == k else 0)
+        heapq.heappush(heap, (-spread, serial, made))
         serial += 1
-    _, _, loads, windows = heap[0]
-    return [int(x) for x in loads], windows
+    loads = heap[0][2]
+    return [0] * (k - len(loads)) + [x[0] for x in loads], [[] for _ in range(k - len(loads))] + [_pieces(x) for x in loads]
+
+
+def _load(entry: tuple) -> int:
+    return entry[0]
+
+
+def _pieces(entry: tuple) -> list[int]:
+    """Pieces of a load, which is a piece (size, number, None) or the sum of two loads (sum, one, other)."""
+    out, stack = [], [entry]
+    while stack:
+        _, one, other = stack.pop()
+        if other is None:
+            out.append(one)
+        else:
+            stack += (one, other)
+    return sorted(out)
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -67,19 +89,14 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
-def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole windows first, then a rest in nearly equal pieces of at most ``piece``."""
-    whole = n // capacity * capacity
-    out = [(at, capacity) for at in range(0, whole, capacity)]
-    rest = n - whole
-    if rest:
-        parts = -(-rest // piece)
-        edges = [whole + rest * i // parts for i in range(parts + 1)]
-        out += [(a, b - a) for a, b in zip(edges, edges[1:])]
-    return out
+def cut(start: int, stop: int, piece: int) -> list[tuple[int, int]]:
+    """(start, length) of nearly equal pieces of at most ``piece`` tokens."""
+    parts = -(-(stop - start) // piece)
+    edges = [start + (stop - start) * i // parts for i in range(parts + 1)] if parts else []
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def pack_documents(docs: DataFrame, encoder: CachedEncoder, end_id: int, capacity: int = CAPACITY, piece: int = PIECE, batch_tokens: int = BATCH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, encoder: CachedEncoder, end_id: int, capacity: int = CAPACITY, piece: int = PIECE, fine: int = FINE, windows: int = WINDOWS, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece of every text.
 
     Each text is its ids and ``end_id``; a null or empty text is ``end_id``
@@ -88,8 +105,8 @@ def pack_documents(docs: DataFrame, encoder: CachedEncoder, end_id: int, capacit
     task, so the last window of a task may be short.  Rows with null or
     repeated ids are packed like others; an empty table gives no pieces.
     """
-    if piece > capacity:
-        raise ValueError("piece is longer than the capacity")
+    if max(piece, fine) > capacity or slack >= capacity:
+        raise ValueError("pieces must fit a window, and the slack must leave room in it")
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
         T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
@@ -103,7 +120,9 @@ def pack_documents(docs: DataFrame, encoder: CachedEncoder, end_id: int, capacit
 
         serial = TaskContext.get().partitionId() << 33
         rests: list[tuple] = []
+        goal = windows * (capacity - slack)
         gathered = 0
+        serial_doc = 0
         rows: list[tuple] = []
 
         def place(piece_row: tuple, sequence: int, offset: int) -> None:
@@ -121,6 +140,25 @@ def pack_documents(docs: DataFrame, encoder: CachedEncoder, end_id: int, capacit
             rests.clear()
             gathered = 0
 
+        def add(doc_id, ids: np.ndarray) -> None:
+            nonlocal serial, gathered, serial_doc
+            raw, total = ids.tobytes(), len(ids)
+            serial_doc += 1
+            whole = total // capacity * capacity
+            for at in range(0, whole, capacity):
+                place((doc_id, at, raw[at * 4 : (at + capacity) * 4], total), serial, 0)
+                serial += 1
+            longest = fine if serial_doc % FINE_EVERY == 0 else piece
+            while whole < total:
+                # A batch is filled up to its goal; the rest of the document goes to the next.
+                stop = min(total, whole + goal - gathered)
+                for at, length in cut(whole, stop, longest):
+                    rests.append((doc_id, at, raw[at * 4 : (at + length) * 4], total))
+                gathered += stop - whole
+                whole = stop
+                if gathered >= goal:
+                    close()
+
         def table() -> pa.RecordBatch:
             columns = list(zip(*rows)) if rows else [[] for _ in arrow]
             made = pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
@@ -131,18 +169,7 @@ def pack_documents(docs: DataFrame, encoder: CachedEncoder, end_id: int, capacit
             for k in range(0, batch.num_rows, ARROW_ROWS):
                 part = batch.slice(k, ARROW_ROWS)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
-                    raw = np.append(ids, end_id).astype("<u4").tobytes()
-                    total = len(raw) // 4
-                    for at, length in cut(total, capacity, piece):
-                        row = (doc_id, at, raw[at * 4 : (at + length) * 4], total)
-                        if length == capacity:
-                            place(row, serial, 0)
-                            serial += 1
-                        else:
-                            rests.append(row)
-                            gathered += length
-                            if gathered >= batch_tokens:
-                                close()
+                    add(doc_id, np.append(ids, end_id).astype("<u4"))
                 if rows:
                     yield table()
         close()
