@@ -18,6 +18,7 @@ from .simhash import near_duplicates
 from .suffixes import remove_repeated
 from .tokens import CachedEncoder
 from .toxicity import ToxicityModel, fit, labelled_sample, score_toxicity
+from .warc import captures_of, resolve_revisits
 from .winnow import find_contamination
 
 #: Texts of each language that the language model is fitted on, at most.
@@ -75,6 +76,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures_of(_table(spark, sf_dir, "pages")))
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return found.select("record_id", "canonical_url", "captured_at", "response_id", "outcome", listed.alias("headers"), "n_bytes")
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(_table(spark, sf_dir, "documents"))
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
@@ -140,10 +147,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)"""
 
+OP7_SQL = r"""
+WITH v AS (SELECT page_id AS p, url AS u, html, unnest(range(0, page_id % 3 + 1)) AS k FROM pages),
+c AS (SELECT p * 10 + k AS record_id, k = 0 AS first, (p + 37 * k) * 1000 AS captured_at, html, p, k,
+        CASE WHEN k = 0 THEN u WHEN k = 1 THEN regexp_replace(u, '^http://', 'https://') || '#seen'
+             ELSE regexp_replace(u, '#.*$', '') || CASE WHEN contains(u, '?') THEN '&' ELSE '?' END || 'utm_source=again' END AS url,
+        CASE WHEN k = 0 THEN md5(html) WHEN (p + k) % 5 = 0 THEN md5(u) WHEN (p + k) % 7 = 0 THEN NULL ELSE md5(html) END AS etag,
+        CASE WHEN p % 2 = 0 THEN 'day ' || (p % 365) END AS last_modified FROM v),
+r AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://', '') AS rest FROM c),
+n AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', '')
+        || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+        list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+                  lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS params FROM r),
+f AS (SELECT *, base || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical_url FROM n),
+j AS (SELECT v.record_id, v.canonical_url, v.captured_at, v.etag AS tag, v.last_modified AS day, v.p, v.k, o.record_id AS response_id, o.etag, o.last_modified, o.html, o.p AS op
+      FROM (SELECT * FROM f WHERE NOT first) v LEFT JOIN (SELECT * FROM f WHERE first) o
+        ON v.canonical_url = o.canonical_url AND o.captured_at < v.captured_at
+      QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY o.captured_at DESC NULLS LAST, o.record_id DESC) = 1),
+g AS (SELECT *, CASE WHEN response_id IS NULL THEN 'no_response' WHEN etag IS NOT NULL AND tag IS NOT NULL THEN if(etag = tag, 'resolved', 'mismatch')
+        WHEN last_modified IS NOT NULL AND day IS NOT NULL THEN if(last_modified = day, 'resolved', 'mismatch') ELSE 'unverified' END AS outcome FROM j)
+SELECT record_id, canonical_url, captured_at, response_id, outcome,
+       CASE WHEN outcome = 'resolved' THEN 'content-length=' || strlen(html) || ';content-type=text/html;date=t' || (p + 37 * k) || ';server=s0' END AS headers,
+       CASE WHEN outcome = 'resolved' THEN strlen(html) END AS n_bytes FROM g"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op6_decontamination, op8_personal_data, op9_suffix_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op6_decontamination, op7_warc_revisits, op8_personal_data, op9_suffix_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "quality_ablations": ABLATIONS_SQL, "op6_decontamination": OP6_SQL}
+    return {"op3_quality_rules": OP3_SQL, "quality_ablations": ABLATIONS_SQL, "op6_decontamination": OP6_SQL, "op7_warc_revisits": OP7_SQL}
