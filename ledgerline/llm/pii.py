@@ -144,27 +144,38 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, context: int) -> DataFram
 def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df): in how many texts each word of ``terms`` stands, over all of ``docs``.
 
-    The tasks get a bitmap of fixed size that leaves out most other words; each
-    batch sends one count for a word.
+    The tasks get a bitmap of fixed size that leaves out most other words; a
+    task sends one count for a word, or more if it meets very many.
     """
     buckets = terms.select(F.pmod("term", F.lit(_BUCKETS)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
     wanted = np.zeros(_BUCKETS, dtype=bool)
     wanted[buckets] = True
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[int] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), type=pa.int64()), pa.array(list(held.values()), type=pa.int64())], names=["term", "n"])
+            held.clear()
+            return made
+
         for batch in batches:
             for at in range(0, batch.num_rows, ARROW_ROWS):
                 seen: Counter[str] = Counter()
                 for text in batch.column(0).slice(at, ARROW_ROWS).to_pylist():
                     seen.update(set(_WORD.findall(text.lower())))
                 hashed = [_term(w) for w in seen]
-                keep = wanted[np.array(hashed, dtype=np.int64) % _BUCKETS] if hashed else np.empty(0, dtype=bool)
-                rows = [(h, n) for h, n, k in zip(hashed, seen.values(), keep) if k]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.int64())], names=["term", "n"])
+                keep = wanted[np.array(hashed, dtype=np.int64) % _BUCKETS] if hashed else []
+                for h, n, k in zip(hashed, seen.values(), keep):
+                    if k:
+                        held[h] += n
+                if len(held) > 200_000:
+                    yield flush()
+        yield flush()
 
     small_batches(docs.sparkSession)
     counted = docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(tally, "term long, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("df")).join(terms.select("term").distinct(), "term", "left_semi")
+    return counted.groupBy("term").agg(F.sum("n").alias("df")).join(terms.select("term").distinct(), "term")
 
 
 def revealing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:

@@ -274,11 +274,24 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that repeat that id only one stays; rows with a null id stay only if
     no row of their component has an id.
     """
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    nameless = groups.where("component_id is null").select("fingerprint").distinct()
-    if nameless.isEmpty():
-        return kept.select(docs.columns)
-    lone = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
-    return kept.select(docs.columns).unionByName(lone)
+    groups = materialize(near_duplicates(docs, id_col, text_col, **options), "groups")
+    # What goes is the smaller side; a group without an id keeps its row of least fingerprint.
+    go = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.where(F.col(id_col).isNotNull()).join(go, id_col, "left_anti").select(docs.columns)
+    if not groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    if groups.where("doc_id is null").isEmpty():
+        return kept
+    return kept.unionByName(_nameless(docs, groups, id_col, text_col, options.get("words", 4)))
+
+
+def _nameless(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """One row of each distinct fingerprint among rows without an id whose component has no id."""
+    lone = [r["fingerprint"] for r in groups.where("component_id is null").select("fingerprint").distinct().limit(1).collect()]
+    if not lone:
+        return docs.limit(0)
+    prints = fingerprints(docs.where(F.col(id_col).isNull()).withColumn("_key", F.xxhash64(text_col)), "_key", text_col, words)
+    text = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    keep = prints.withColumn("fingerprint", text).join(groups.where("component_id is null").select("fingerprint").distinct(), "fingerprint").groupBy("fingerprint").agg(F.min("doc_id").alias("_key"))
+    rows = docs.where(F.col(id_col).isNull()).withColumn("_key", F.xxhash64(text_col)).dropDuplicates(["_key"])
+    return rows.join(keep.select("_key"), "_key", "left_semi").select(docs.columns)
