@@ -138,7 +138,7 @@ class CachedEncoder:
     def _one_piece(self, unit: str) -> bool:
         if self.style == "byte":
             return (unit[1:] if unit[:1] == " " else unit).isalpha()
-        return unit.isalpha() and unit.isascii() or unit.isalpha() and _is_low(unit)
+        return unit.isalpha() and unit.islower() and _is_low(unit)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text has none."""
