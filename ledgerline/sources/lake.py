@@ -58,6 +58,9 @@ class Lake:
 
     def exists(self, layer: str, name: str) -> bool:
         """Whether the table can be read; any error but a missing one is raised."""
+        fs, at = self._fs(self.path(layer, name))
+        if not fs.exists(at):
+            return False
         try:
             self.read(layer, name)
         except AnalysisException as error:
