@@ -24,7 +24,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("short_words", "word_chars < 3 * n_words"),
     ("long_words", "word_chars > 14 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "n_dup_lines > 1 and 10 * n_dup_lines > 3 * n_lines"),
     ("shouting", "2 * n_upper > n_letters"),
 )
 BASE = ("too_few_words", "repeated_words")

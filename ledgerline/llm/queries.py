@@ -117,7 +117,7 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x
       FROM words LEFT JOIN rep USING (rid) LEFT JOIN lines USING (rid)),
 ledger AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
     + 4 * (word_chars < 3 * n_words)::BIGINT + 8 * (word_chars > 14 * n_words)::BIGINT
-    + 16 * (10 * n_symbols > n_words)::BIGINT + 32 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+    + 16 * (10 * n_symbols > n_words)::BIGINT + 32 * (n_dup_lines > 1 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT
     + 64 * (2 * n_upper > n_letters)::BIGINT) AS failed FROM m)
 """
 OP3_SQL = f"""WITH {_LEDGER_SQL}

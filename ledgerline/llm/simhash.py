@@ -224,10 +224,9 @@ def link_fingerprints(points: DataFrame, radius: int = 4, bands: int = 3, shard_
                 for leaf, idx, home in route(nodes, mask, band_radius, fps.view(np.uint64)):
                     yield pd.DataFrame({"shard": np.int32(k * width + leaf), "fp": fps[idx], "home": home})
 
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    routed = points.mapInPandas(send, "shard int, fp long, home boolean")
-    routed = materialize(routed, "shards")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    # A point makes several rows, so the points are dealt out before.
+    parts = max(1, min(-(-n // 5_000), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    routed = materialize(points.repartition(parts, "fp").mapInPandas(send, "shard int, fp long, home boolean"), "shards")
     sizes = routed.where("home").groupBy("shard").count().withColumn("cuts", F.ceil(F.col("count") / (4 * shard_rows)).cast("int")).where("cuts > 1")
     # At most one row for each leaf of the trees, whose number the sample bounds.
     cuts = {r["shard"]: r["cuts"] for r in sizes.select("shard", "cuts").collect()}
