@@ -104,10 +104,15 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30))))
 
 
-def fit(texts: list[str], toxic: list[int], dictionary_bytes: int = 4096, top_terms: int = 100, contrast: float = 6.0, window_words: int = 1, ridge: float = 0.1) -> ToxicityModel:
-    """Train both dictionaries and the calibration on labelled texts; without both classes the score is the prior."""
+def fit(texts: list[str], toxic: list[int], weights: list[float] | None = None, dictionary_bytes: int = 4096, top_terms: int = 100, contrast: float = 6.0, window_words: int = 1, ridge: float = 0.1) -> ToxicityModel:
+    """Train both dictionaries and the calibration on labelled texts; without both classes the score is the prior.
+
+    weights say how many labelled rows a text stands for, so that the scores
+    follow the classes' true shares however the sample was drawn.
+    """
     y = np.array(toxic, dtype=float)
-    model = ToxicityModel(window_words=window_words, prior=float(y.mean()) if len(y) else 0.0)
+    share = np.ones(len(y)) if weights is None else np.array(weights, dtype=float) / max(1e-9, float(np.mean(weights or [1.0])))
+    model = ToxicityModel(window_words=window_words, prior=float((y * share).mean()) if len(y) else 0.0)
     if len(y) == 0 or y.min() == y.max():
         return model
     seen = (Counter(), Counter())
@@ -131,12 +136,14 @@ def fit(texts: list[str], toxic: list[int], dictionary_bytes: int = 4096, top_te
     except zs.ZstdError:  # too little text to train on: the text itself is the dictionary
         model.ordinary = (b"".join(picked) or b"\n")[:dictionary_bytes].ljust(128, b" ")
     x = np.array([model.features(t) for t in texts])
-    model.mean, model.scale = [*x.mean(0)[:-1], 0.0], [*(x.std(0)[:-1] + 1e-6), 1.0]
+    mean = (x * share[:, None]).mean(0)
+    scale = np.sqrt(((x - mean) ** 2 * share[:, None]).mean(0)) + 1e-6
+    model.mean, model.scale = [*mean[:-1], 0.0], [*scale[:-1], 1.0]
     x = (x - model.mean) / model.scale
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (share * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (share * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -144,8 +151,8 @@ def fit(texts: list[str], toxic: list[int], dictionary_bytes: int = 4096, top_te
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", longest: int = 100_000) -> tuple[list[str], list[int]]:
-    """At most ``per_class`` labelled texts of each class, of up to ``longest`` characters, chosen by hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", longest: int = 100_000) -> tuple[list[str], list[int], list[float]]:
+    """At most ``per_class`` labelled texts of each class, of up to ``longest`` characters, chosen by hash of the id; and how many labels each stands for.
 
     Only these reach the driver.  ``allowed`` is a condition on the label rows.
     Rows with a null id, text or label are not used; of repeated ids one label counts.
@@ -159,7 +166,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_cla
     # The bounded side: 2 * per_class ids.
     rows = texts.join(F.broadcast(picked), "_id").collect()
     rows = sorted({r["_id"]: (r["_id"], r["_text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_text"]))}.values())
-    return [r[1] for r in rows], [r[2] for r in rows]
+    total = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    held = Counter(r[2] for r in rows)
+    return [r[1] for r in rows], [r[2] for r in rows], [total[r[2]] / held[r[2]] for r in rows]
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

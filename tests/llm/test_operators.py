@@ -200,7 +200,9 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in toxicity.score_toxicity(df, model).where("predicted = 0").collect()}
     none = toxicity.fit(["a"], [0])
     assert none.score("anything") == 0.0 and toxicity.fit([], []).score(None) == 0.0
-    assert toxicity.labelled_sample(df, labels.limit(0), F.lit(True), 5) == ([], [])
+    assert toxicity.labelled_sample(df, labels.limit(0), F.lit(True), 5) == ([], [], [])
+    few = toxicity.fit(*toxicity.labelled_sample(df, labels, ~held, 40))
+    assert abs(sum(few.score(m[1]) for m in made) / len(made) - 0.25) < 0.1
 
 
 # --- 5 and 10 ---------------------------------------------------------------------------------------------
