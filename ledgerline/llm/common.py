@@ -62,8 +62,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS * 2))
 
 
-def text_id(text: str = "text") -> Column:
-    return F.coalesce(F.col(text), F.lit(""))
+def stretches(sizes: list[int], most: int) -> Iterator[slice]:
+    """Consecutive slices whose sizes add up to at most ``most``; a larger item is alone."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if sizes:
+        yield slice(start, len(sizes))
 
 
 def id_crc(doc_id: str) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_batches, scratch_path, small_batches
+from .common import map_batches, scratch_path, small_batches, stretches
 from .tokens import CachedEncoder
 
 #: Longest code word in bits; the decoding table has two to this power entries.
@@ -184,7 +184,9 @@ def write_ids(docs: DataFrame, path: str, encoder: CachedEncoder, vocabulary: in
     coded = T.StructType([tokens.schema["part"], tokens.schema["row"], tokens.schema["doc_id"], tokens.schema["n"], T.StructField("bits", T.BinaryType()), T.StructField("marks", T.BinaryType())])
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        found = encode([np.frombuffer(b, dtype=f"<u{width}") for b in batch["ids"]], lengths, codes)
+        found = []
+        for part in stretches(batch["n"], 1 << 20):
+            found += encode([np.frombuffer(b, dtype=f"<u{width}") for b in batch["ids"][part]], lengths, codes)
         return {"part": batch["part"], "row": batch["row"], "doc_id": batch["doc_id"], "n": batch["n"], "bits": [f[0] for f in found], "marks": [f[1] for f in found]}
 
     schema = T.StructType([

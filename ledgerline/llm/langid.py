@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import map_batches, stretches
 
 #: First and last code point of script blocks; all other letters form one more class.
 SCRIPTS = {
@@ -37,6 +37,8 @@ SCRIPTS = {
     "Han": [(0x3400, 0x9FFF), (0x20000, 0x2FA1F)],
 }
 BUCKET_BITS = 17
+#: Characters that are scored at once.
+PIECE = 1 << 20
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -106,6 +108,33 @@ class Words:
         return ends[self.stop - 1] - ends[self.start - 1]
 
 
+def pieces(texts: list[str], most: int) -> list[tuple[int, int, str]]:
+    """(text, place in it, piece): texts of more than ``most`` characters are cut, if possible between words."""
+    kind, out = _tables()["kind"], []
+    for i, text in enumerate(texts):
+        start = 0
+        while len(text) - start > most:
+            stop = start + most
+            while stop > start and kind[ord(text[stop])] and kind[ord(text[stop - 1])]:
+                stop -= 1
+            stop = stop if stop > start else start + most
+            out.append((i, start, text[start:stop]))
+            start = stop
+        out.append((i, start, text[start:]))
+    return out
+
+
+@dataclass
+class ScoredWords:
+    """Words of several texts, in order: whose they are, where, their letters and scores."""
+
+    text: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    letters: np.ndarray
+    score: np.ndarray
+
+
 @dataclass
 class LanguageModel:
     """Log likelihoods by feature bucket for each language, and the scripts each is written in."""
@@ -125,6 +154,22 @@ class LanguageModel:
         out[~written & written.any(axis=1)[:, None]] -= 1e4
         return out
 
+    def scored(self, texts: list[str], most: int = PIECE) -> ScoredWords:
+        """Scores of the words of ``texts``, made over arrays of about ``most`` characters at once."""
+        cut, parts = pieces(texts, most), []
+        for part in stretches([len(p[2]) + 1 for p in cut], most):
+            group = cut[part]
+            found = Words([p[2] for p in group])
+            if not len(found.start):
+                continue
+            owner, offset = np.array([p[0] for p in group]), np.array([p[1] for p in group])
+            shift = offset[found.text] - found.text_start[found.text]
+            parts.append((owner[found.text], found.start + shift, found.stop + shift, found.letters, self.scores(found)))
+        if not parts:
+            none = np.empty(0, dtype=np.int64)
+            return ScoredWords(none, none, none, none, np.empty((0, len(self.names))))
+        return ScoredWords(*[np.concatenate(c) for c in zip(*parts)])
+
     def label(self, score: np.ndarray) -> np.ndarray:
         """Language of each word of one text: the best path under the switching penalty."""
         best = int(score.sum(axis=0).argmax())
@@ -163,9 +208,9 @@ def fit(texts: list[str], langs: list[str], smoothing: float = 0.5, script_share
     grams = [np.full((len(names), size), smoothing) for _ in range(2)]
     words = np.full((len(names), size), smoothing)
     scripts = np.zeros((len(names), len(SCRIPTS) + 1))
-    for at in range(0, len(texts), 256):
-        found = Words(texts[at : at + 256])
-        lang = np.array([names.index(x) for x in langs[at : at + 256]], dtype=np.int64)
+    for part in stretches([len(t) + 1 for t in texts], PIECE):
+        found = Words(texts[part])
+        lang = np.array([names.index(x) for x in langs[part]], dtype=np.int64)
         owner = lang[found.text] if len(found.start) else np.empty(0, dtype=np.int64)
         of_gram = np.full(len(found.centre), -1)
         for k, (a, b) in zip(owner, zip(found.start, found.stop)):
@@ -209,24 +254,22 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def run(batch: dict[str, list]) -> dict[str, list]:
         n = len(batch["doc_id"])
         out = {"doc_id": batch["doc_id"], "lang_pred": ["und"] * n, "score": [0.0] * n, "n_spans": [0] * n, "spans": [[] for _ in range(n)]}
-        found = Words([t or "" for t in batch["text"]])
-        if not len(found.start) or not model.names:
+        if not model.names:
             return {k: out[k] for k in schema.names}
-        score = model.scores(found)
+        found = model.scored([t or "" for t in batch["text"]])
         first = np.searchsorted(found.text, np.arange(n + 1))
         for i in range(n):
             a, b = int(first[i]), int(first[i + 1])
             if a == b:
                 continue
-            path = model.label(score[a:b])
+            path = model.label(found.score[a:b])
             share = np.bincount(path, weights=found.letters[a:b], minlength=len(model.names))
             best = int(share.argmax())
             turn = np.flatnonzero(np.diff(path)) + 1
             out["lang_pred"][i], out["score"][i], out["n_spans"][i] = model.names[best], float(share[best] / share.sum()), len(turn) + 1
             if with_spans:
-                base = int(found.text_start[i])
                 for lo, hi in zip([0, *turn.tolist()], [*turn.tolist(), b - a]):
-                    out["spans"][i].append({"start": int(found.start[a + lo]) - base, "stop": int(found.stop[a + hi - 1]) - base, "lang": model.names[int(path[lo])]})
+                    out["spans"][i].append({"start": int(found.start[a + lo]), "stop": int(found.stop[a + hi - 1]), "lang": model.names[int(path[lo])]})
         return {k: out[k] for k in schema.names}
 
     return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)

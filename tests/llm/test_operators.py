@@ -124,6 +124,15 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in langid.identify(df, langid.fit([], [])).collect()} == {"und"}
 
 
+def test_pieces(texts):
+    model = langid.fit(["the of and to in is", "der die und in den von"], ["en", "de"])
+    plain = [t or "" for t in texts]
+    whole, cut = model.scored(plain), model.scored(plain, 700)
+    short = [i for i, t in enumerate(plain) if len(t) <= 700 or " " in t[:300]]
+    keep = lambda s: np.isin(s.text, short)
+    assert np.array_equal(whole.start[keep(whole)], cut.start[keep(cut)]) and np.allclose(whole.score[keep(whole)], cut.score[keep(cut)], atol=1e-3)
+
+
 def test_viterbi_is_best_path():
     rng = np.random.default_rng(0)
     for _ in range(40):
