@@ -13,7 +13,8 @@ suffixes at anchors are sorted, a few for each hundred bytes.
 3. In merged order, a K-gram's suffixes are neighbours, and the least common
    prefix between two places is their match to the right; the match to the left
    comes from the bytes before the anchor.  Where both add up to LENGTH, the
-   strings in between are repeated.
+   strings in between are repeated.  A K-gram with more than CROWDED contexts
+   would crowd the task that merges it: its strings are hashed and counted.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ CHUNK = 1 << 20
 #: Suffixes of a run, and of a range, about.
 RUN_ROWS = 50_000
 RANGE_ROWS = 20_000
+#: K-grams with more contexts than this are not gathered in one task but counted string by string.
+CROWDED = 50_000
 #: K-grams with up to this many contexts are compared pair by pair, others length by length.
 PAIRWISE = 24
 
@@ -392,6 +395,25 @@ def _sorted_matches(contexts: DataFrame, length: int, k: int) -> DataFrame:
     return runs.groupBy("range").applyInArrow(merge, "gram long, around long, low long, high long")
 
 
+def _counted_matches(contexts: DataFrame, length: int) -> DataFrame:
+    """What ``_sorted_matches`` finds, by counting the strings themselves; for K-grams whose contexts would crowd one task."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "around", "low", "string")])
+
+    def spell(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in schema.names}
+        for gram, around, low, high, left, right in zip(*(batch[n] for n in ("gram", "around", "low", "high", "left", "right"))):
+            data = left + right
+            for distance in range(low, high + 1):
+                start = len(left) - distance
+                for name, value in zip(schema.names, (gram, around, distance, xxhash.xxh3_64_intdigest(data[start : start + length]) - (1 << 63))):
+                    out[name].append(value)
+        return out
+
+    strings = map_batches(contexts, spell, schema)
+    twice = strings.groupBy("gram", "low", "string").agg(F.count("*").alias("n")).where("n > 1").select("gram", "low", "string")
+    return strings.join(twice, ["gram", "low", "string"], "left_semi").select("gram", "around", "low", F.col("low").alias("high"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """docs (k1, k2, text) -> (k1, k2, spans): maximal byte ranges covered by strings of ``length`` bytes that start elsewhere too."""
     table = _anchor_table(docs, length, k)
@@ -399,9 +421,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     candidates = materialize(table.join(often, "gram", "left_semi"), "candidates")
     one = F.min(F.struct("k1", "k2", "place", "first", "last")).alias("one")
     around = materialize(candidates.groupBy("gram", "around").agg(F.count("*").alias("n"), one), "around")
-    several = around.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    several = around.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     asked = around.join(several, "gram", "left_semi").select("gram", "around", "one.*")
-    matches = _sorted_matches(_contexts(docs, asked, length, k), length, k)
+    contexts, crowded = _contexts(docs, asked, length, k), several.where(F.col("m") > CROWDED).select("gram")
+    if crowded.isEmpty():
+        matches = _sorted_matches(contexts, length, k)
+    else:
+        crowded = materialize(crowded, "crowded")
+        few = materialize(contexts.join(crowded, "gram", "left_anti").select(contexts.columns), "few")
+        matches = _sorted_matches(few, length, k).unionByName(_counted_matches(contexts.join(crowded, "gram", "left_semi"), length))
     single = around.where("n = 1").select("gram", "around")
     partly = matches.join(single, ["gram", "around"], "left_semi").groupBy("gram", "around").agg(F.collect_list(F.struct("low", "high")).alias("at"))
     whole = around.where("n > 1").select("gram", "around", F.lit(None).cast(partly.schema["at"].dataType).alias("at"))

@@ -423,8 +423,9 @@ def plain_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,k,chunk,pairwise", [(60, 8, 1 << 20, 24), (60, 8, 100, 2), (400, 32, 1 << 20, 24)])
-def test_repeated_strings(docs, empty, length, k, chunk, pairwise, monkeypatch):
+@pytest.mark.parametrize("length,k,chunk,pairwise,crowded", [(60, 8, 1 << 20, 24, 50_000), (60, 8, 100, 2, 50_000), (60, 8, 1 << 20, 24, 3), (400, 32, 1 << 20, 24, 50_000)])
+def test_repeated_strings(docs, empty, length, k, chunk, pairwise, crowded, monkeypatch):
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
     monkeypatch.setattr(suffixes, "PAIRWISE", pairwise)
     monkeypatch.setattr(suffixes, "RANGE_ROWS", 20)
