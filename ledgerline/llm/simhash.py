@@ -210,7 +210,9 @@ def link_fingerprints(points: DataFrame, radius: int = 4, bands: int = 3, shard_
     """
     spark = points.sparkSession
     n = points.count()
-    rows = points.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()
+    # The hash thins the rows out first, as every task sends its share to the driver.
+    some = points.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // (2 * sample_rows)))) == 0)
+    rows = some.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()
     sample = np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64)
     leaves = min(max(1, -(-n // shard_rows)), max(1, len(sample) // 8))
     masks, band_radius = band_masks(bands), radius // bands

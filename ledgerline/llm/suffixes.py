@@ -341,7 +341,9 @@ def _sorted_matches(contexts: DataFrame, length: int, k: int) -> DataFrame:
     """(gram, around, low, high): distances before the anchor at which a context's strings are repeated."""
     n = contexts.count()
     ranges = max(1, -(-n // RANGE_ROWS))
-    sample = contexts.select(F.substring("right", 1, k).alias("head"), "around").orderBy(F.xxhash64("around"), "around").limit(20_000).select("head").toPandas()["head"]
+    # For the borders; the hash thins the rows out first, as every task sends its share to the driver.
+    some = contexts.where(F.pmod(F.xxhash64("around"), F.lit(max(1, n // 40_000))) == 0)
+    sample = some.select(F.substring("right", 1, k).alias("head"), "around").orderBy(F.xxhash64("around"), "around").limit(20_000).select("head").toPandas()["head"]
     heads = sorted(bytes(h) for h in sample)
     # A range begins at a K-gram, so that all suffixes of one are in one range.
     borders = sorted({heads[len(heads) * i // ranges] for i in range(1, ranges)}) if heads else []
