@@ -15,12 +15,18 @@ from pyspark.sql import types as T
 ARROW_ROWS = 256
 
 
+#: Local folders of sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder shared by driver and executors: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = _LOCAL[app]
     return folder.rstrip("/")
 
 
