@@ -14,7 +14,7 @@ from ledgerline.llm.common import materialize
 from ledgerline.llm.packing import pack_documents
 from ledgerline.llm.pii import sanitize
 from ledgerline.llm.queries import toxicity_model
-from ledgerline.llm.simhash import drop_near_duplicates
+from ledgerline.llm.similar import drop_similar
 from ledgerline.llm.tokens import CachedEncoder
 from ledgerline.llm.toxicity import drop_toxic
 from ledgerline.llm.winnow import drop_contaminated
@@ -26,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id from each near-duplicate group."""
-    return drop_near_duplicates(docs)
+    """The document of smallest id from each group of near copies: Jaccard similarity of 5-word shingles of 0.8 or more."""
+    return drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
