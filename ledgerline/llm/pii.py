@@ -3,8 +3,9 @@
 Patterns find e-mail and IP addresses, card and phone numbers; each distinct
 value is a protected entity.  Words that stand near an entity are counted with
 it over the whole corpus, and so are these words anywhere.  A word discloses
-the share log(P(e|w) / P(e)) / -log P(e) of the entity's information; words
-over a threshold, seen with it in several different texts, are spans as well.
+the share log(P(e|w) / P(e)) / -log P(e) of the entity's information, where
+P(e|w) is estimated as (n_both + P(e)) / (n_word + 1), so that what is seen once
+weighs less than what is seen often; words over a threshold are spans as well.
 Sanitising replaces identifiers by their kind and revealing words by a mark.
 """
 
@@ -27,8 +28,6 @@ from .common import ARROW_ROWS, map_batches, materialize, small_batches
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that are taken as its company.
 CONTEXT = 8
-#: Different texts that must show a word with an entity.
-SUPPORT = 3
 #: Share of an entity's information from which on a word is removed.
 DISCLOSURE = 0.8
 _BUCKETS = 1 << 20
@@ -178,23 +177,22 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
     return counted.groupBy("term").agg(F.sum("n").alias("df")).join(terms.select("term").distinct(), "term")
 
 
-def revealing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def revealing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term) pairs whose term discloses at least ``disclosure`` of the entity's information."""
     n_docs = scanned.count()
-    pairs = scanned.select("row", "digest", F.inline("near"))
-    together = pairs.groupBy("entity", "term", "digest").agg(F.count_distinct("row").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts"))
-    often = materialize(together.where(F.col("n_texts") >= support), "together")
+    pairs = scanned.select("row", F.inline("near")).select("row", "entity", "term").distinct()
+    often = materialize(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "together")
     if often.isEmpty():
         return often.select("entity", "term")
     entities = scanned.select("row", F.inline("near")).select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     df = document_frequency(docs, often, text_col)
     p_entity = F.col("n_entity") / F.lit(float(n_docs))
-    p_given = F.least(F.lit(1.0), F.col("n_both") / F.col("df"))
+    p_given = F.least(F.lit(1.0), (F.col("n_both") + p_entity) / (F.col("df") + 1))
     share = F.when(p_entity < 1, F.log(p_given / p_entity) / -F.log(p_entity)).otherwise(0.0)
     return often.join(df, "term").join(entities, "entity").where(share >= disclosure).select("entity", "term")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(row, doc_id, found, terms) of every row: identifier spans, and spans of revealing words near them.
 
     Spans are (kind, start, end) in code points, found by kind in the order of
@@ -202,7 +200,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with null or repeated ids are kept apart; an empty table gives no rows.
     """
     scanned = _scan(docs, id_col, text_col, context)
-    pairs = revealing(docs, scanned, text_col, support, disclosure)
+    pairs = revealing(docs, scanned, text_col, disclosure)
     near = scanned.select("row", F.inline("near")).join(pairs, ["entity", "term"])
     terms = near.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
     none = F.array().cast(scanned.schema["found"].dataType)
