@@ -1,11 +1,12 @@
 """Personal data: patterns for direct identifiers, co-occurrence for what gives them away.
 
 Patterns find e-mail and IP addresses, card and phone numbers; each distinct
-value is a protected entity.  Words that stand near an entity are counted with
-it over the whole corpus, and so are these words anywhere.  A word discloses
+value is a protected entity.  The words of all texts that hold an entity are
+counted with it, once for a text, and so are these words anywhere.  A word discloses
 the share log(P(e|w) / P(e)) / -log P(e) of the entity's information, where
 P(e|w) is estimated as (n_both + P(e)) / (n_word + 1), so that what is seen once
-weighs less than what is seen often; words over a threshold are spans as well.
+weighs less than what is seen often.  Each occurrence of a word over a threshold,
+in every text that holds the entity, is a span as well.
 Sanitising replaces identifiers by their kind and revealing words by a mark.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,8 +28,6 @@ from pyspark.sql import types as T
 from .common import ARROW_ROWS, map_batches, materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that are taken as its company.
-CONTEXT = 8
 #: Share of an entity's information from which on a word is removed.
 DISCLOSURE = 0.8
 _BUCKETS = 1 << 20
@@ -91,8 +91,8 @@ def entity_of(kind: str, value: str) -> int:
     return _hash(f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{re.sub('[^0-9]', '', value)}")
 
 
-def company(text: str, found: list[tuple[str, int, int]], context: int = CONTEXT) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of each word within ``context`` words of an identifier, outside all identifiers."""
+def words_of(text: str, found: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
+    """(term, start, end) of each word of three characters or more outside the identifiers; none where there is no identifier."""
     if not found:
         return []
     merged: list[list[int]] = []
@@ -101,45 +101,47 @@ def company(text: str, found: list[tuple[str, int, int]], context: int = CONTEXT
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
-    starts = np.array([m[0] for m in merged])
-    words = []
+    starts, out = [m[0] for m in merged], []
     for m in _WORD.finditer(text):
-        at = int(np.searchsorted(starts, m.end(), side="left")) - 1
+        at = bisect_left(starts, m.end()) - 1
         if len(m.group()) >= 3 and not (at >= 0 and m.start() < merged[at][1]):
-            words.append((m.start(), m.end(), m.group().lower()))
-    begins = [w[0] for w in words]
-    out = []
-    for kind, a, b in found:
-        entity, at = entity_of(kind, text[a:b]), int(np.searchsorted(begins, a))
-        for start, end, word in words[max(0, at - context) : at + context]:
-            out.append((entity, _term(word), start, end))
+            out.append((_term(m.group().lower()), *m.span()))
     return out
 
 
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-_COMPANY = T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_WORDS = T.StructType([T.StructField("term", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, context: int) -> DataFrame:
-    """(row, doc_id, digest, found, near) of every row, written once."""
+def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, found, entities, words) of every row, written once."""
     schema = T.StructType([
-        T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("digest", T.LongType()),
-        T.StructField("found", T.ArrayType(_SPAN)), T.StructField("near", T.ArrayType(_COMPANY)),
+        T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType),
+        T.StructField("found", T.ArrayType(_SPAN)), T.StructField("entities", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(_WORDS)),
     ])
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         texts = [t or "" for t in batch["text"]]
         found = [identifiers(t) for t in texts]
         return {
-            "row": batch["row"], "doc_id": batch["doc_id"], "digest": batch["digest"],
+            "row": batch["row"], "doc_id": batch["doc_id"],
             "found": [[dict(zip(_SPAN.names, f)) for f in fs] for fs in found],
-            "near": [[dict(zip(_COMPANY.names, c)) for c in company(t, fs, context)] for t, fs in zip(texts, found)],
+            "entities": [sorted({entity_of(kind, t[a:b]) for kind, a, b in fs}) for t, fs in zip(texts, found)],
+            "words": [[dict(zip(_WORDS.names, w)) for w in words_of(t, fs)] for t, fs in zip(texts, found)],
         }
 
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return materialize(map_batches(src, run, schema), "identifiers")
 
 
+def _entity_rows(scanned: DataFrame) -> DataFrame:
+    """(row, entity, n_entity) of every text that holds an entity; entities that stand in the same texts are one, named by a hash of these."""
+    held = scanned.select("row", F.explode("entities").alias("value"))
+    alike = held.groupBy("value").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("row")).alias("rows"))
+    named = materialize(alike.select("value", "n_entity", F.xxhash64("n_entity", "rows").alias("entity")), "entities")
+    return materialize(held.join(named, "value").select("row", "entity", "n_entity").distinct(), "entity-rows")
+
+
 def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df): in how many texts each word of ``terms`` stands, over all of ``docs``.
 
@@ -177,32 +179,33 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
     return counted.groupBy("term").agg(F.sum("n").alias("df")).join(terms.select("term").distinct(), "term")
 
 
-def revealing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
+def revealing(docs: DataFrame, scanned: DataFrame, entities: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term) pairs whose term discloses at least ``disclosure`` of the entity's information."""
     n_docs = scanned.count()
-    pairs = scanned.select("row", F.inline("near")).select("row", "entity", "term").distinct()
-    often = materialize(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "together")
-    if often.isEmpty():
-        return often.select("entity", "term")
-    entities = scanned.select("row", F.inline("near")).select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    df = document_frequency(docs, often, text_col)
+    terms = scanned.where(F.size("words") > 0).select("row", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    together = materialize(terms.join(entities, "row").groupBy("entity", "term", "n_entity").agg(F.count("*").alias("n_both")), "together")
+    if together.isEmpty():
+        return together.select("entity", "term")
+    df = document_frequency(docs, together, text_col)
     p_entity = F.col("n_entity") / F.lit(float(n_docs))
     p_given = F.least(F.lit(1.0), (F.col("n_both") + p_entity) / (F.col("df") + 1))
     share = F.when(p_entity < 1, F.log(p_given / p_entity) / -F.log(p_entity)).otherwise(0.0)
-    return often.join(df, "term").join(entities, "entity").where(share >= disclosure).select("entity", "term")
+    return together.join(df, "term").where(share >= disclosure).select("entity", "term")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(row, doc_id, found, terms) of every row: identifier spans, and spans of revealing words near them.
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
+    """(row, doc_id, found, terms) of every row: identifier spans, and spans of the words that reveal one of them.
 
     Spans are (kind, start, end) in code points, found by kind in the order of
     KINDS and then start, terms by start.  Null and empty texts have none; rows
     with null or repeated ids are kept apart; an empty table gives no rows.
     """
-    scanned = _scan(docs, id_col, text_col, context)
-    pairs = revealing(docs, scanned, text_col, disclosure)
-    near = scanned.select("row", F.inline("near")).join(pairs, ["entity", "term"])
-    terms = near.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
+    scanned = _scan(docs, id_col, text_col)
+    entities = _entity_rows(scanned)
+    pairs = revealing(docs, scanned, entities, text_col, disclosure)
+    words = scanned.where(F.size("words") > 0).select("row", F.inline("words"))
+    marked = words.join(entities, "row").join(pairs, ["entity", "term"])
+    terms = marked.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
     none = F.array().cast(scanned.schema["found"].dataType)
     return scanned.select("row", "doc_id", "found").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none))
 
