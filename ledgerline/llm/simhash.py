@@ -43,6 +43,11 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
         starts = list(accumulate(map(len, tokens), lambda a, b: a + b + 1, initial=0))
         digest = xxhash.xxh64_digest
         digests = b"".join([digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[words:])])
+    return majority(digests)
+
+
+def majority(digests: bytes) -> int:
+    """Signed 64-bit SimHash of 8-byte hashes: a bit is set if it is in over half of them."""
     rows = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(rows), 65536):

@@ -1,13 +1,20 @@
-"""Near copies by exact Jaccard similarity of word shingles, by prefix filtering.
+"""Near copies by exact Jaccard similarity of word shingles: SimHash trees first, prefix filtering for the rest.
 
 A text is the set of its hashed shingles, in one order that holds for the whole
-corpus: shingles that a sample shows in several texts come last.  Two sets of
-at least ``share`` Jaccard similarity have a shingle in common among the first
-n - ceil(share * n) + 1 of each, whatever the order is, so the texts that meet
-on such a key are all candidates there can be.  Candidates are confirmed on
-their whole sets.  Each text of a key is compared with the key's least text
-first; after that only texts of different groups are, so that a large group of
-copies makes few pairs.
+corpus: shingles that a sample shows in several texts (hot ones) come last.  Two
+sets of similarity ``share`` or more have at least ``_floor(n)`` shingles in
+common among the first ``prefix_length(n)`` of each, for the n of either, so:
+
+1. A text with fewer shingles in its prefix that any other text's prefix has
+   cannot have a partner and is done.  One shuffle of the prefixes tells.
+2. What is left gets fingerprints; the vantage-point trees of ``simhash`` link
+   those within a few bits.  64 bits cannot reach all pairs of the similarity
+   asked for, so each text is also compared with the least text of each of its
+   rarest prefix shingles, one of which a partner must have.
+3. Candidates are compared by their prefixes, which rejects most wrong ones, and
+   confirmed on their whole sets; the components of the links are groups.
+4. Texts of different groups that share a rare prefix shingle are compared as
+   well.  A large group of copies makes few pairs, as inside a group none are.
 """
 
 from __future__ import annotations
@@ -16,18 +23,25 @@ from itertools import accumulate
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, materialize
+from .common import discard, fresh_names, map_batches, materialize
 from .components import connected_components
+from .simhash import link_fingerprints, majority
 
 #: Similarity from which on two texts are near copies, as a fraction of whole numbers.
 SHARE = (4, 5)
 WORDS = 5
+#: A prefix is longer than it has to be by n / SLACK, so that partners have several shingles of it in common.
+SLACK = 20
+#: Differing bits up to which the trees propose pairs.
+RADIUS = 5
 #: Texts whose shingles the order is taken from, and shingles that are told apart by it, at most.
 ORDER_TEXTS, ORDER_SHINGLES = 4_000, 500_000
+#: Sets that a task remembers, so that copies send their prefix once.
+_REMEMBERED = 200_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -42,8 +56,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def prefix_length(n: int, share: tuple[int, int] = SHARE) -> int:
-    """How many of n shingles, in the common order, can hold the first that a near copy shares."""
-    return n - -(-share[0] * n // share[1]) + 1 if n else 0
+    """How many of n shingles, in the common order, make the prefix."""
+    return n - -(-share[0] * n // share[1]) + -(-n // SLACK)
+
+
+def _floor(n: Column, share: tuple[int, int]) -> Column:
+    """Shingles that the prefix of a set of n and that of any partner have in common at least."""
+    return F.ceil(n * share[0] / (share[1] * SLACK))
 
 
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,27 +80,104 @@ def _node(hashes: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes()), "big", signed=True)
 
 
-def _keys(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """(doc_id, digest, node, n, keys) of every row of (doc_id, text): node is a hash of the set of n shingles, keys are its first in the common order."""
+def _prefixes(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """(doc_id, digest, node, n, fp, keys, hot) of every row of (doc_id, text), written once.
+
+    node is a hash of the set of n shingles, fp its SimHash; keys and hot are its
+    prefix, the hot shingles with their counts in the sample apart.  Of equal
+    sets a task gives the prefix of the first.
+    """
     common, often = _common(docs, words)
+    counted = T.StructType([T.StructField("key", T.LongType()), T.StructField("often", T.LongType())])
     schema = T.StructType([
-        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("digest", T.LongType()),
-        T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("digest", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("hot", T.ArrayType(counted)),
     ])
 
-    def ordered(hashes: np.ndarray) -> np.ndarray:
+    def prefix(hashes: np.ndarray) -> tuple[np.ndarray, list[dict]]:
+        most = prefix_length(len(hashes), share)
         if not len(common) or not len(hashes):
-            return hashes
+            return hashes[:most], []
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         rank = np.where(common[at] == hashes, often[at], 0)
-        return hashes[np.argsort(rank, kind="stable")] if rank.any() else hashes
+        by = np.argsort(rank, kind="stable")[:most]
+        cold = int((rank[by] == 0).sum())
+        return hashes[by[:cold]], [{"key": int(h), "often": int(c)} for h, c in zip(hashes[by[cold:]], rank[by[cold:]])]
 
-    def run(batch: dict[str, list]) -> dict[str, list]:
-        made = [shingles(t, words) for t in batch["text"]]
-        keys = [ordered(m)[: prefix_length(len(m), share)] for m in made]
-        return {"doc_id": batch["doc_id"], "digest": batch["digest"], "node": [_node(m) for m in made], "n": [len(m) for m in made], "keys": keys}
+    seen: set[int] = set()  # each task has its own copy
 
-    return materialize(map_batches(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text"), run, schema), "keys")
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {name: [] for name in schema.names}
+        for doc_id, digest, text in zip(batch["doc_id"], batch["digest"], batch["text"]):
+            made = shingles(text, words)
+            node = _node(made)
+            keys, hot = ([], []) if node in seen else prefix(made)
+            if len(seen) >= _REMEMBERED:
+                seen.clear()
+            seen.add(node)
+            for name, value in zip(schema.names, (doc_id, digest, node, len(made), majority(made.astype(">i8").tobytes()), keys, hot)):
+                out[name].append(value)
+        return out
+
+    return materialize(map_batches(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text"), run, schema), "prefixes")
+
+
+def _candidates(held: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(node, n, fp, keys, hot) of the sets that may have a partner; keys are those of the prefix that another prefix has."""
+    entries = held.select("node", F.explode("keys").alias("key"))
+    # Hot shingles are left out, so no key is that of a large part of all texts.
+    same_key = Window.partitionBy("key")
+    shared = entries.select("node", "key", F.min("node").over(same_key).alias("lead"), F.max("node").over(same_key).alias("last")).where("lead <> last")
+    by_node = shared.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    nodes = held.where(F.size("keys") + F.size("hot") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("hot").alias("hot"))
+    found = nodes.join(by_node, "node", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
+    return materialize(found.where(F.size("keys") + F.size("hot") >= _floor(F.col("n"), share)), "candidates")
+
+
+def _rarest(found: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(node, n, key, hot) of the prefix shingles of ``found`` that suffice to meet a partner, the rarest."""
+    entries = found.select("node", F.explode("keys").alias("key"))
+    df = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    cold = entries.join(df, "key").select("node", F.struct(F.lit(False).alias("hot"), "df", "key").alias("k"))
+    hot = found.select("node", F.inline("hot")).select("node", F.struct(F.lit(True).alias("hot"), F.col("often").alias("df"), "key").alias("k"))
+    by_node = cold.unionByName(hot).groupBy("node").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    enough = F.size("ks") - _floor(F.col("n"), share).cast("int") + 1
+    chosen = by_node.join(found.select("node", "n"), "node").where(enough > 0).select("node", "n", F.inline(F.slice("ks", F.lit(1), enough)))
+    return materialize(chosen.select("node", "n", "key", "hot"), "rarest")
+
+
+def _tree_pairs(found: DataFrame) -> DataFrame:
+    """(a, b) of the sets whose fingerprints the vantage-point trees link, and of those with one fingerprint."""
+    least = materialize(found.groupBy("fp").agg(F.min("node").alias("lead")), "points")
+    links = link_fingerprints(least.select("fp"), RADIUS)
+    near = links.join(least.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return near.unionByName(found.join(least, "fp").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+
+
+def _lead_pairs(rarest: DataFrame) -> DataFrame:
+    """(a, b): each set with the least one of each of its keys."""
+    least = lambda rows: rows.groupBy("key").agg(F.min("node").alias("lead"))
+    cold, hot = rarest.where("not hot"), rarest.where("hot")
+    # There are ORDER_SHINGLES hot shingles at most.
+    led = cold.join(least(cold), "key").unionByName(hot.join(F.broadcast(least(hot)), "key"))
+    return led.select(F.col("lead").alias("a"), F.col("node").alias("b"))
+
+
+def _plausible(pairs: DataFrame, found: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The ``pairs`` (a, b), each once, that the sizes and prefixes of their sets allow to be similar.
+
+    The prefix that ends first in the common order has all but a few of its
+    shingles in the other prefix; which one that is need not be known.
+    """
+    side = lambda name, k: found.select(F.col("node").alias(name), F.col("n").alias(f"n{k}"), F.concat("keys", F.transform("hot", lambda h: h["key"])).alias(f"k{k}"))
+    p, q = share
+    both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a", 1), "a").join(side("b", 2), "b")
+    n1, n2 = F.col("n1"), F.col("n2")
+    # prefix_length(n) - n, in columns.
+    over = lambda n: F.ceil(n / SLACK) - F.ceil(n * p / q)
+    least = F.least(over(n1), over(n2)) + F.ceil((n1 + n2) * p / (p + q))
+    fits = (n1 * q >= n2 * p) & (n2 * q >= n1 * p)
+    return both.where(fits).where(F.size(F.array_intersect("k1", "k2")) >= least).select("a", "b")
 
 
 def _sets(docs: DataFrame, held: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -97,14 +193,15 @@ def _sets(docs: DataFrame, held: DataFrame, nodes: DataFrame, words: int) -> Dat
     return materialize(map_batches(some, run, schema), "sets")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose sets are similar."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, held: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose whole sets are similar."""
+    asked = materialize(pairs, "asked")
+    sets = _sets(docs, held, asked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     # |x & y| / |x | y| >= p / q, in whole numbers.
     both, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    near = (F.size("x") * share[1] >= F.size("y") * share[0]) & (F.size("y") * share[1] >= F.size("x") * share[0])
-    return pairs.join(left, "a").join(right, "b").where(near).where(both * sum(share) >= total * share[0]).select("a", "b")
+    return materialize(asked.join(left, "a").join(right, "b").where(both * sum(share) >= total * share[0]).select("a", "b"), "links")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -112,25 +209,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Near copies are texts whose sets of shingles have Jaccard similarity of at
     least share[0] / share[1]; sets and shingles are told apart by 64-bit hashes.
-    Texts without words are copies of each other.  digest is the hash of the text.
+    Null and empty texts and those without words are copies of each other; long
+    texts are compared whole; repeated rows have one root; an empty table gives
+    no rows.  digest is the hash of the text.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    held = _keys(src, words, share)
-    entries = held.select("node", "n", F.explode("keys").alias("key"))
-    shared = materialize(entries.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("key", "lead"), "shared")
-    members = materialize(entries.join(shared, "key").select("key", "node", "n", "lead").distinct(), "members")
-    sets = _sets(src, held, members.select("node").distinct(), words)
-    links = materialize(_confirmed(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), sets, share), "links")
+    held = _prefixes(src, words, share)
+    found = _candidates(held, share)
+    rarest = _rarest(found, share)
+    first = _plausible(_tree_pairs(found).unionByName(_lead_pairs(rarest)), found, share)
+    links = _confirmed(first, src, held, words, share)
     groups = connected_components(links)
-    named = members.join(groups, "node", "left").select("key", "node", "n", "lead", F.coalesce("root", "node").alias("root"))
+    named = rarest.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A key whose texts are all in one group has nothing left to compare.
-    mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    left = materialize(named.join(mixed, "key", "left_semi"), "left")
+    mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("lead")).where("least <> most").select("key", "lead")
+    left = materialize(named.join(mixed, "key").where("node <> lead").select("node", "n", "key", "root"), "left")
     a, b = left.alias("a"), left.alias("b")
-    other = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") != F.col("a.lead"))
+    other = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
     length_fits = (F.col("a.n") * share[1] >= F.col("b.n") * share[0]) & (F.col("b.n") * share[1] >= F.col("a.n") * share[0])
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & other & length_fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    roots = connected_components(links.unionByName(_confirmed(rest, sets, share)))
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & other & length_fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    more = _confirmed(_plausible(rest, found, share), src, held, words, share)
+    roots = connected_components(links.unionByName(more))
     return held.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
 
@@ -138,15 +237,17 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with one row of each group of near copies, that of smallest id; columns unchanged.
 
     A row without an id stays only if no row of its group has one.  Of rows with
-    the same id in different groups each group keeps its own.
+    the same id in different groups each group keeps its own.  Columns may have
+    any names; an empty table gives no rows.
     """
     groups = materialize(similar_groups(docs, id_col, text_col, **options), "groups")
+    name, digest, text = fresh_names(docs, "name", "digest", "text_digest")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k")
-    keep = materialize(groups.groupBy("root").agg(least).select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest")), "keep")
-    marked = docs.withColumn("_text", F.xxhash64(text_col))
-    kept = marked.join(keep, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_digest")), "left_semi")
+    keep = materialize(groups.groupBy("root").agg(least).select(F.col("k.doc_id").alias(name), F.col("k.digest").alias(digest)), "keep")
+    marked = docs.withColumn(text, F.xxhash64(text_col))
+    kept = marked.join(keep, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(text) == F.col(digest)), "left_semi")
     # Rows that repeat both id and text.
-    again = groups.groupBy("doc_id", "digest").count().where("count > 1")
-    if not again.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_text"])
+    again = groups.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
+    if not again.join(keep, F.col("i").eqNullSafe(F.col(name)) & (F.col("d") == F.col(digest)), "left_semi").isEmpty():
+        kept = kept.dropDuplicates([id_col, text])
     return kept.select(docs.columns)
