@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,31 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS * 2))
 
 
+def bitmap(keys: DataFrame, most: int = 1 << 26) -> np.ndarray:
+    """Which buckets of the one long column of ``keys`` have rows: a filter of bounded size that may pass too much, never too little."""
+    n, key = max(1, keys.count()), keys.columns[0]
+    size = min(most, 1 << (16 * n - 1).bit_length())
+    buckets = keys.select(F.pmod(key, F.lit(size)).cast("long").alias("b"))
+    # Gathered as 32-bit words of the map, so at most size / 32 rows.
+    words = buckets.groupBy((F.col("b") / 32).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(b % 32)))").alias("bits")).toPandas()
+    bits = np.zeros(size // 32 + 1, dtype=np.uint32)
+    bits[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return bits
+
+
+def filtered(rows: DataFrame, bits: np.ndarray, wanted: bool = True) -> DataFrame:
+    """Rows whose first column's bucket is set (or not) in a ``bitmap``."""
+    size = (len(bits) - 1) * 32
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy() % size
+            yield batch.filter(pa.array(((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1) == wanted))
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def stretches(sizes: list[int], most: int) -> Iterator[slice]:
     """Consecutive slices whose sizes add up to at most ``most``; a larger item is alone."""
     start = held = 0

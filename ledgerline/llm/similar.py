@@ -1,24 +1,27 @@
 """Near copies by exact Jaccard similarity of word shingles: SimHash trees first, prefix filtering for the rest.
 
 A text is the set of its hashed shingles, in one order that holds for the whole
-corpus: shingles that a sample shows in several texts (hot ones) come last.  Two
-sets of similarity ``share`` or more have at least ``_floor(n)`` shingles in
-common among the first ``prefix_length(n)`` of each, for the n of either, so:
-
-1. A text with fewer shingles in its prefix that any other text's prefix has
-   cannot have a partner and is done.  One shuffle of the prefixes tells.
-2. What is left gets fingerprints; the vantage-point trees of ``simhash`` link
-   those within a few bits.  64 bits cannot reach all pairs of the similarity
-   asked for, so each text is also compared with the least text of each of its
-   rarest prefix shingles, one of which a partner must have.
-3. Candidates are compared by their prefixes, which rejects most wrong ones, and
-   confirmed on their whole sets; the components of the links are groups.
-4. Texts of different groups that share a rare prefix shingle are compared as
-   well.  A large group of copies makes few pairs, as inside a group none are.
+corpus: shingles that a sample shows in several texts (hot ones) come last.
+
+1. Two sets of similarity ``share`` or more have ``_floor(n)`` shingles in
+   common among the first ``prefix_length(n)`` of each, for the n of either.  A
+   text with fewer shingles in its prefix that any other prefix has is done.
+2. Of the texts left, whole sets are counted: one without a share of shingles
+   that others have as well is done, too.  The rarest of these shingles, just
+   so many that a partner must have one of them, are the text's keys.
+3. The vantage-point trees of ``simhash`` propose pairs within a few bits.  64
+   bits cannot reach all pairs of the similarity asked for, so each text is also
+   compared with a few texts that share a key.  Each set has parity bits: a
+   shingle flips one of them, so two sets differ in as many shingles as bits at
+   least.  Pairs that these allow are compared on their whole sets, and the
+   components of the links are groups.
+4. Texts of different groups that share a key are compared as well.  A large
+   group of copies makes few pairs, as inside a group none are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, fresh_names, map_batches, materialize
+from .common import bitmap, discard, filtered, fresh_names, map_batches, materialize
 from .components import connected_components
 from .simhash import link_fingerprints, majority
 
@@ -40,6 +43,10 @@ SLACK = 20
 RADIUS = 5
 #: Texts whose shingles the order is taken from, and shingles that are told apart by it, at most.
 ORDER_TEXTS, ORDER_SHINGLES = 4_000, 500_000
+#: Orders in which keys choose the text that the others with the key are compared with.
+LEADS = 4
+#: Longs of parity bits of a set.
+PARITY = 16
 #: Sets that a task remembers, so that copies send their prefix once.
 _REMEMBERED = 200_000
 
@@ -80,42 +87,46 @@ def _node(hashes: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes()), "big", signed=True)
 
 
-def _prefixes(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """(doc_id, digest, node, n, fp, keys, hot) of every row of (doc_id, text), written once.
+_COUNTED = T.StructType([T.StructField("key", T.LongType()), T.StructField("often", T.LongType())])
 
-    node is a hash of the set of n shingles, fp its SimHash; keys and hot are its
-    prefix, the hot shingles with their counts in the sample apart.  Of equal
-    sets a task gives the prefix of the first.
-    """
-    common, often = _common(docs, words)
-    counted = T.StructType([T.StructField("key", T.LongType()), T.StructField("often", T.LongType())])
-    schema = T.StructType([
-        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("digest", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
-        T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("hot", T.ArrayType(counted)),
-    ])
 
-    def prefix(hashes: np.ndarray) -> tuple[np.ndarray, list[dict]]:
-        most = prefix_length(len(hashes), share)
+def _splitter(common: np.ndarray, often: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, list[dict]]]:
+    """A function from shingles to those that are not hot, and to the hot ones with their counts in the sample, least first."""
+
+    def split(hashes: np.ndarray) -> tuple[np.ndarray, list[dict]]:
         if not len(common) or not len(hashes):
-            return hashes[:most], []
+            return hashes, []
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         rank = np.where(common[at] == hashes, often[at], 0)
-        by = np.argsort(rank, kind="stable")[:most]
-        cold = int((rank[by] == 0).sum())
+        by = np.argsort(rank, kind="stable")
+        cold = int((rank == 0).sum())
         return hashes[by[:cold]], [{"key": int(h), "often": int(c)} for h, c in zip(hashes[by[cold:]], rank[by[cold:]])]
 
+    return split
+
+
+def _prefixes(docs: DataFrame, words: int, share: tuple[int, int], split) -> DataFrame:
+    """(doc_id, digest, node, n, fp, keys, hot) of every row of (doc_id, text), written once.
+
+    node is a hash of the set of n shingles, fp its SimHash; keys and hot are its
+    prefix, hot shingles apart.  Of equal sets a task gives the prefix of the first.
+    """
+    schema = T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("digest", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("hot", T.ArrayType(_COUNTED)),
+    ])
     seen: set[int] = set()  # each task has its own copy
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {name: [] for name in schema.names}
         for doc_id, digest, text in zip(batch["doc_id"], batch["digest"], batch["text"]):
             made = shingles(text, words)
-            node = _node(made)
-            keys, hot = ([], []) if node in seen else prefix(made)
+            node, most = _node(made), prefix_length(len(made), share)
+            cold, hot = ([], []) if node in seen else split(made)
             if len(seen) >= _REMEMBERED:
                 seen.clear()
             seen.add(node)
-            for name, value in zip(schema.names, (doc_id, digest, node, len(made), majority(made.astype(">i8").tobytes()), keys, hot)):
+            for name, value in zip(schema.names, (doc_id, digest, node, len(made), majority(made.astype(">i8").tobytes()), cold[:most], hot[: max(0, most - len(cold))])):
                 out[name].append(value)
         return out
 
@@ -123,85 +134,99 @@ def _prefixes(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
 
 
 def _candidates(held: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(node, n, fp, keys, hot) of the sets that may have a partner; keys are those of the prefix that another prefix has."""
+    """(node, n, fp) of the sets whose prefix has enough shingles that another prefix has."""
     entries = held.select("node", F.explode("keys").alias("key"))
     # Hot shingles are left out, so no key is that of a large part of all texts.
     same_key = Window.partitionBy("key")
     shared = entries.select("node", "key", F.min("node").over(same_key).alias("lead"), F.max("node").over(same_key).alias("last")).where("lead <> last")
-    by_node = shared.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    nodes = held.where(F.size("keys") + F.size("hot") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("hot").alias("hot"))
-    found = nodes.join(by_node, "node", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
-    return materialize(found.where(F.size("keys") + F.size("hot") >= _floor(F.col("n"), share)), "candidates")
+    by_node = shared.groupBy("node").agg(F.count_distinct("key").alias("s"))
+    nodes = held.where(F.size("keys") + F.size("hot") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.max(F.size("hot")).alias("h"))
+    found = nodes.join(by_node, "node", "left").where(F.coalesce("s", F.lit(0)) + F.col("h") >= _floor(F.col("n"), share))
+    return materialize(found.select("node", "n", "fp"), "candidates")
 
 
-def _rarest(found: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(node, n, key, hot) of the prefix shingles of ``found`` that suffice to meet a partner, the rarest."""
-    entries = found.select("node", F.explode("keys").alias("key"))
+def parity(hashes: np.ndarray) -> list[int]:
+    """Bits that an odd number of the shingles fall on."""
+    bits = np.bincount(hashes & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _sets(docs: DataFrame, held: DataFrame, nodes: DataFrame, words: int, split) -> DataFrame:
+    """(node, parity, cold, hot) of ``nodes``, from one text of each: the shingles, hot ones apart."""
+    who = held.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id", "digest")).alias("who")).select("who")
+    keyed = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("who"), "text")
+    some = filtered(keyed, bitmap(who)).join(who, "who", "left_semi").dropDuplicates(["who"]).select("text")
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("parity", longs), T.StructField("cold", longs), T.StructField("hot", T.ArrayType(_COUNTED))])
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        made = [shingles(t, words) for t in batch["text"]]
+        cold, hot = zip(*map(split, made)) if made else ((), ())
+        return {"node": [_node(m) for m in made], "parity": [parity(m) for m in made], "cold": cold, "hot": hot}
+
+    return materialize(map_batches(some, run, schema), "sets")
+
+
+def _ranked(sets: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(node, n, s, fp, parity, keys): s of the n shingles are shared with other candidates, keys are the rarest of these."""
+    entries = sets.select("node", F.explode("cold").alias("key"))
     df = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     cold = entries.join(df, "key").select("node", F.struct(F.lit(False).alias("hot"), "df", "key").alias("k"))
-    hot = found.select("node", F.inline("hot")).select("node", F.struct(F.lit(True).alias("hot"), F.col("often").alias("df"), "key").alias("k"))
-    by_node = cold.unionByName(hot).groupBy("node").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    enough = F.size("ks") - _floor(F.col("n"), share).cast("int") + 1
-    chosen = by_node.join(found.select("node", "n"), "node").where(enough > 0).select("node", "n", F.inline(F.slice("ks", F.lit(1), enough)))
-    return materialize(chosen.select("node", "n", "key", "hot"), "rarest")
+    by_node = cold.groupBy("node").agg(F.collect_list("k").alias("ks"))
+    hot = F.transform("hot", lambda h: F.struct(F.lit(True).alias("hot"), h["often"].alias("df"), h["key"].alias("key")))
+    own = sets.select("node", "parity", hot.alias("h"))
+    ks = F.array_sort(F.concat(F.coalesce("ks", F.array().cast(own.schema["h"].dataType)), F.col("h")))
+    whole = nodes.join(own, "node").join(by_node, "node", "left").select("node", "n", "fp", "parity", ks.alias("ks"))
+    least = F.ceil(F.col("n") * share[0] / share[1]).cast("int")
+    chosen = F.transform(F.slice("ks", F.lit(1), F.size("ks") - least + 1), lambda k: k["key"])
+    return materialize(whole.where(F.size("ks") >= least).select("node", "n", F.size("ks").alias("s"), "fp", "parity", chosen.alias("keys")), "ranked")
 
 
-def _tree_pairs(found: DataFrame) -> DataFrame:
+def _tree_pairs(ranked: DataFrame) -> DataFrame:
     """(a, b) of the sets whose fingerprints the vantage-point trees link, and of those with one fingerprint."""
-    least = materialize(found.groupBy("fp").agg(F.min("node").alias("lead")), "points")
+    least = materialize(ranked.groupBy("fp").agg(F.min("node").alias("lead")), "points")
     links = link_fingerprints(least.select("fp"), RADIUS)
     near = links.join(least.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return near.unionByName(found.join(least, "fp").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    return near.unionByName(ranked.join(least, "fp").select(F.col("lead").alias("a"), F.col("node").alias("b")))
 
 
-def _lead_pairs(rarest: DataFrame) -> DataFrame:
-    """(a, b): each set with the least one of each of its keys."""
-    least = lambda rows: rows.groupBy("key").agg(F.min("node").alias("lead"))
-    cold, hot = rarest.where("not hot"), rarest.where("hot")
-    # There are ORDER_SHINGLES hot shingles at most.
-    led = cold.join(least(cold), "key").unionByName(hot.join(F.broadcast(least(hot)), "key"))
-    return led.select(F.col("lead").alias("a"), F.col("node").alias("b"))
-
-
-def _plausible(pairs: DataFrame, found: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The ``pairs`` (a, b), each once, that the sizes and prefixes of their sets allow to be similar.
-
-    The prefix that ends first in the common order has all but a few of its
-    shingles in the other prefix; which one that is need not be known.
-    """
-    side = lambda name, k: found.select(F.col("node").alias(name), F.col("n").alias(f"n{k}"), F.concat("keys", F.transform("hot", lambda h: h["key"])).alias(f"k{k}"))
-    p, q = share
-    both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a", 1), "a").join(side("b", 2), "b")
-    n1, n2 = F.col("n1"), F.col("n2")
-    # prefix_length(n) - n, in columns.
-    over = lambda n: F.ceil(n / SLACK) - F.ceil(n * p / q)
-    least = F.least(over(n1), over(n2)) + F.ceil((n1 + n2) * p / (p + q))
-    fits = (n1 * q >= n2 * p) & (n2 * q >= n1 * p)
-    return both.where(fits).where(F.size(F.array_intersect("k1", "k2")) >= least).select("a", "b")
+def _lead_pairs(ranked: DataFrame) -> DataFrame:
+    """(a, b): each set with one of those that have the key, for each of its keys; keys choose in LEADS different orders."""
+    entries = ranked.select("node", F.explode("keys").alias("key"))
+    lead = entries.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.pmod("key", F.lit(LEADS)))).alias("lead"), F.count("*").alias("df")).where("df > 1")
+    return entries.join(lead, "key").select(F.col("lead").alias("a"), F.col("node").alias("b"))
 
 
-def _sets(docs: DataFrame, held: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of ``nodes``, from one text of each."""
-    who = held.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id", "digest")).alias("who")).select("who")
-    some = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("who"), "text").join(who, "who", "left_semi").dropDuplicates(["who"]).select("text")
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+def _rest_pairs(ranked: DataFrame, groups: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b) of sets in different groups that share a key, each found at the first key they share."""
+    named = ranked.join(groups, "node", "left").select("node", "n", "s", "parity", "keys", F.coalesce("root", "node").alias("root"), F.posexplode("keys").alias("at", "key"))
+    # A key whose texts are all in one group has nothing left to compare.
+    mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    left = materialize(named.join(mixed, "key").withColumn("before", F.slice("keys", F.lit(1), F.col("at"))).drop("keys", "at"), "left")
+    other = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    first = ~F.arrays_overlap("a.before", "b.before")
+    met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & other & _plausible("a.", "b.", share) & first)
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
-    def run(batch: dict[str, list]) -> dict[str, list]:
-        made = [shingles(t, words) for t in batch["text"]]
-        return {"node": [_node(m) for m in made], "shingles": made}
 
-    return materialize(map_batches(some, run, schema), "sets")
+def _plausible(one: str, two: str, share: tuple[int, int]) -> Column:
+    """Whether sizes, shared shingles and parity bits, in columns with these prefixes, allow two sets to be similar."""
+    p, q = share
+    total = F.col(f"{one}n") + F.col(f"{two}n")
+    differ = sum((F.bit_count(F.col(f"{one}parity")[i].bitwiseXOR(F.col(f"{two}parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col(f"{one}parity")[0].bitwiseXOR(F.col(f"{two}parity")[0])))
+    return (total * p <= F.least(f"{one}s", f"{two}s") * (p + q)) & (differ * (p + q) <= total * (q - p))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, held: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose whole sets are similar."""
-    asked = materialize(pairs, "asked")
-    sets = _sets(docs, held, asked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+def _confirmed(pairs: DataFrame, ranked: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose whole sets are similar, each once."""
+    p, q = share
+    once = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = lambda name: ranked.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "s", "parity")))
+    asked = materialize(once.join(one("a"), "a").join(one("b"), "b").where(_plausible("a_", "b_", share)).select("a", "b"), "asked")
+    side = lambda name, k: sets.select(F.col("node").alias(name), F.concat("cold", F.transform("hot", lambda h: h["key"])).alias(k))
     # |x & y| / |x | y| >= p / q, in whole numbers.
-    both, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return materialize(asked.join(left, "a").join(right, "b").where(both * sum(share) >= total * share[0]).select("a", "b"), "links")
+    similar = F.size(F.array_intersect("x", "y")) * (p + q) >= (F.size("x") + F.size("y")) * p
+    return materialize(asked.join(side("a", "x"), "a").join(side("b", "y"), "b").where(similar).select("a", "b"), "links")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -214,22 +239,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no rows.  digest is the hash of the text.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    held = _prefixes(src, words, share)
-    found = _candidates(held, share)
-    rarest = _rarest(found, share)
-    first = _plausible(_tree_pairs(found).unionByName(_lead_pairs(rarest)), found, share)
-    links = _confirmed(first, src, held, words, share)
-    groups = connected_components(links)
-    named = rarest.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # A key whose texts are all in one group has nothing left to compare.
-    mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("lead")).where("least <> most").select("key", "lead")
-    left = materialize(named.join(mixed, "key").where("node <> lead").select("node", "n", "key", "root"), "left")
-    a, b = left.alias("a"), left.alias("b")
-    other = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    length_fits = (F.col("a.n") * share[1] >= F.col("b.n") * share[0]) & (F.col("b.n") * share[1] >= F.col("a.n") * share[0])
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & other & length_fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    more = _confirmed(_plausible(rest, found, share), src, held, words, share)
+    split = _splitter(*_common(src, words))
+    held = _prefixes(src, words, share, split)
+    nodes = _candidates(held, share)
+    sets = _sets(src, held, nodes, words, split)
+    ranked = _ranked(sets, nodes, share)
+    links = _confirmed(_tree_pairs(ranked).unionByName(_lead_pairs(ranked)), ranked, sets, share)
+    more = _confirmed(_rest_pairs(ranked, connected_components(links), share), ranked, sets, share)
     roots = connected_components(links.unionByName(more))
+    discard(nodes, sets, ranked, links, more)
     return held.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ARROW_ROWS, map_batches, materialize, small_batches
+from .common import ARROW_ROWS, bitmap, filtered, map_batches, materialize, small_batches
 
 LENGTH = 400
 K = 32
@@ -294,35 +294,11 @@ def _anchor_table(docs: DataFrame, length: int, k: int) -> DataFrame:
     return materialize(docs.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(run, schema), "anchors")
 
 
-def _bitmap(keys: DataFrame, most: int = 1 << 26) -> np.ndarray:
-    """Which buckets of k1 have rows: a filter of bounded size that may pass too much, never too little."""
-    n = max(1, keys.count())
-    size = min(most, 1 << (16 * n - 1).bit_length())
-    buckets = keys.select(F.pmod("k1", F.lit(size)).cast("long").alias("b"))
-    # Gathered as 32-bit words of the map, so at most size / 32 rows.
-    words = buckets.groupBy((F.col("b") / 32).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(b % 32)))").alias("bits")).toPandas()
-    bits = np.zeros(size // 32 + 1, dtype=np.uint32)
-    bits[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return bits
-
-
-def _filtered(docs: DataFrame, bits: np.ndarray, wanted: bool = True) -> DataFrame:
-    """Rows whose key's bucket is set (or not)."""
-    size = (len(bits) - 1) * 32
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(0).to_numpy() % size
-            yield batch.filter(pa.array(((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1) == wanted))
-
-    return docs.mapInArrow(keep, docs.schema)
-
-
 def _contexts(docs: DataFrame, asked: DataFrame, length: int, k: int) -> DataFrame:
     """(gram, around, low, high, left, right): the bytes of one occurrence of each asked context."""
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "around", "low", "high")] + [T.StructField(n, T.BinaryType()) for n in ("left", "right")])
     by_doc = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "around", "place", "first", "last")).alias("at"))
-    texts = _filtered(docs.select("k1", "k2", "text"), _bitmap(by_doc.select("k1"))).dropDuplicates(["k1", "k2"])
+    texts = filtered(docs.select("k1", "k2", "text"), bitmap(by_doc.select("k1"))).dropDuplicates(["k1", "k2"])
 
     def cut(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in schema.names}
@@ -484,7 +460,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     out[name].append(value)
         return out
 
-    bits = _bitmap(spans)
-    touched = _filtered(src, bits).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    clean = _filtered(src, bits, wanted=False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    bits = bitmap(spans.select("k1"))
+    touched = filtered(src, bits).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    clean = filtered(src, bits, wanted=False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return map_batches(touched.unionByName(clean), remove, schema)
