@@ -21,9 +21,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """Folder shared by driver and executors: spark.checkpoint.dir; where that is unset a new local one, which only a local session can use."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -90,10 +92,29 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS * 2))
 
 
-def bitmap(keys: DataFrame, most: int = 1 << 26) -> np.ndarray:
+def keep_least(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of smallest id of each group of ``groups`` (doc_id, digest of the text, root); columns unchanged.
+
+    A row without an id stays only if no row of its group has one.  Of rows with
+    the same id in different groups each group keeps its own, of rows that
+    repeat id and text one stays.  Columns may have any names; an empty table
+    gives no rows.
+    """
+    groups = materialize(groups, "groups")
+    name, digest, text = fresh_names(docs, "name", "digest", "text_digest")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k")
+    keep = materialize(groups.groupBy("root").agg(least).select(F.col("k.doc_id").alias(name), F.col("k.digest").alias(digest)), "keep")
+    kept = docs.withColumn(text, F.xxhash64(text_col)).join(keep, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(text) == F.col(digest)), "left_semi")
+    again = groups.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
+    if not again.join(keep, F.col("i").eqNullSafe(F.col(name)) & (F.col("d") == F.col(digest)), "left_semi").isEmpty():
+        kept = kept.dropDuplicates([id_col, text])
+    return kept.select(docs.columns)
+
+
+def bitmap(keys: DataFrame, most: int = 1 << 26, bits_each: int = 16) -> np.ndarray:
     """Which buckets of the one long column of ``keys`` have rows: a filter of bounded size that may pass too much, never too little."""
     n, key = max(1, keys.count()), keys.columns[0]
-    size = min(most, 1 << (16 * n - 1).bit_length())
+    size = min(most, 1 << (bits_each * n - 1).bit_length())
     buckets = keys.select(F.pmod(key, F.lit(size)).cast("long").alias("b"))
     # Gathered as 32-bit words of the map, so at most size / 32 rows.
     words = buckets.groupBy((F.col("b") / 32).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(b % 32)))").alias("bits")).toPandas()

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,8 @@ LIMIT = 16
 STRIDE = 128
 #: Ids of a block, about; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
+#: Ids of a part, about: the parts of large tables follow the data.
+PART_IDS = 1 << 22
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -157,37 +160,31 @@ def count_ids(tokens: DataFrame, vocabulary: int, width: int) -> np.ndarray:
 
 
 def write_ids(docs: DataFrame, path: str, encoder: CachedEncoder, vocabulary: int, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the ids of all texts under ``path``: ``blocks`` in ascending (id, row) order, and ``code`` with the code lengths.
+    """Write the ids of all texts under ``path``: ``blocks`` in ascending (id, row) order, ``code`` with the code lengths, ``parts`` with the ids before each part.
 
-    Rows with a null id come first; equal ids keep the order of their rows.
+    Ids of any type that has an order; rows with a null id come first, and equal
+    ids keep the order of their rows, over several parts if there are many.
+    Null and empty texts have only the end id, long texts a block of their own;
+    other columns are not read; an empty table gives empty files.
     """
     spark = docs.sparkSession
     small_batches(spark)
     tokens = token_table(docs, encoder, end_id, id_col, text_col)
     width = 2 if vocabulary <= 1 << 16 else 4
-    lengths = code_lengths(count_ids(tokens, vocabulary, width))
+    counted = count_ids(tokens, vocabulary, width)
+    lengths = code_lengths(counted)
     codes = canonical_codes(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, length int").coalesce(1).write.parquet(f"{path}/code")
 
     id_type = docs.schema[id_col].dataType
-    n_parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Borders of the parts: quantiles of the ids, one row for each part.
-    ranked = tokens.where("doc_id is not null").agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n_parts) for i in range(1, n_parts)]), F.lit(10_000)).alias("q")).first()["q"] if n_parts > 1 else []
-    borders = sorted(set(ranked or []))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b <= F.col("doc_id"))) if borders else F.lit(0)
-    tokens = tokens.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
-    sums = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sums):
-        before[p], total = total, total + sums[p]
-
-    coded = T.StructType([tokens.schema["part"], tokens.schema["row"], tokens.schema["doc_id"], tokens.schema["n"], T.StructField("bits", T.BinaryType()), T.StructField("marks", T.BinaryType())])
+    n_parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counted.sum()) // PART_IDS))
+    coded = T.StructType([tokens.schema["row"], tokens.schema["doc_id"], tokens.schema["n"], T.StructField("bits", T.BinaryType()), T.StructField("marks", T.BinaryType())])
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         found = []
         for part in stretches(batch["n"], 1 << 20):
             found += encode([np.frombuffer(b, dtype=f"<u{width}") for b in batch["ids"][part]], lengths, codes)
-        return {"part": batch["part"], "row": batch["row"], "doc_id": batch["doc_id"], "n": batch["n"], "bits": [f[0] for f in found], "marks": [f[1] for f in found]}
+        return {"row": batch["row"], "doc_id": batch["doc_id"], "n": batch["n"], "bits": [f[0] for f in found], "marks": [f[1] for f in found]}
 
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)),
@@ -197,26 +194,32 @@ def write_ids(docs: DataFrame, path: str, encoder: CachedEncoder, vocabulary: in
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        now, block, start, size = None, 0, 0, 0
+        part, block, start, size = TaskContext.get().partitionId(), 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            values = [now, block, start, [h[0] for h in held], [h[1] for h in held], [len(h[2]) for h in held], b"".join(h[2] for h in held), b"".join(h[3] for h in held)]
+            values = [part, block, start, [h[0] for h in held], [h[1] for h in held], [len(h[2]) for h in held], b"".join(h[2] for h in held), b"".join(h[3] for h in held)]
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, arrow)], schema=arrow)
 
         for batch in batches:
-            for p, _, doc_id, n, bits, marks in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (p != now or size + n > BLOCK_IDS):
+            for _, *entry in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and size + entry[1] > BLOCK_IDS:
                     yield flush()
                     start, block, size, held = start + size, block + 1, 0, []
-                if p != now:
-                    now, block, start = p, 0, before[p]
-                held.append((doc_id, n, bits, marks))
-                size += n
+                held.append(entry)
+                size += entry[1]
         if held:
             yield flush()
 
-    dealt = map_batches(tokens, run, coded).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "doc_id", "row")
+    # The ranges are parts: their number is the order of their ids.
+    dealt = map_batches(tokens, run, coded).repartitionByRange(n_parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     dealt.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    sizes = spark.read.parquet(f"{path}/blocks").select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
+    # One row for each part.
+    rows, before = [], 0
+    for r in sizes.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        rows.append((r["part"], before))
+        before += r["n"]
+    spark.createDataFrame(rows, "part int, before long").coalesce(1).write.parquet(f"{path}/parts")
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -226,7 +229,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     for r in code:
         lengths[r["id"]] = r["length"]
     table = decoding_table(lengths)
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks").join(spark.read.parquet(f"{path}/parts"), "part").withColumn("start", F.col("start") + F.col("before"))
     schema = T.StructType([T.StructField("doc_id", blocks.schema["doc_ids"].dataType.elementType), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     if with_ids:
         schema.add("ids", T.BinaryType())

@@ -232,8 +232,8 @@ def labelled_sample(docs: DataFrame, allowed: Column, per_lang: int, id_col: str
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     picked = ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_lang).select("_id", "_lang").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= longest))
-    rows = texts.join(F.broadcast(picked), ["_id", "_lang"]).collect()
-    rows = sorted({(r["_id"], r["_lang"], r["_text"]) for r in rows})
+    # Of the texts of an id and language one is collected.
+    rows = sorted(tuple(r) for r in texts.join(F.broadcast(picked), ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.max("_text")).collect())
     return [r[2] for r in rows], [r[1] for r in rows]
 
 
@@ -244,7 +244,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     (start, stop, lang) in code points from the first to the last word of a run.
     Null texts, texts without a letter, and all texts if the model knows no
     language are "und" with score 0.  Of equal shares the first name counts.
-    Rows with null or repeated ids are kept.
+    Rows with null or repeated ids are kept; long texts are read whole, in
+    pieces; other columns are not read; an empty table gives an empty result.
     """
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("lang", T.StringType())])
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_spans", T.LongType())])

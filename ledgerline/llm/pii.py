@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ARROW_ROWS, map_batches, materialize, small_batches
+from .common import ARROW_ROWS, fresh_names, map_batches, materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information from which on a word is removed.
@@ -197,8 +197,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(row, doc_id, found, terms) of every row: identifier spans, and spans of the words that reveal one of them.
 
     Spans are (kind, start, end) in code points, found by kind in the order of
-    KINDS and then start, terms by start.  Null and empty texts have none; rows
-    with null or repeated ids are kept apart; an empty table gives no rows.
+    KINDS and then start, terms by start.  Null and empty texts have none; long
+    texts are read whole; rows with null or repeated ids and equal rows are kept
+    apart; other columns are not read; an empty table gives no rows.
     """
     scanned = _scan(docs, id_col, text_col)
     entities = _entity_rows(scanned)
@@ -221,11 +222,15 @@ def _masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with identifiers and revealing words of every text replaced by marks; columns and rows unchanged."""
+    """``docs`` with identifiers and revealing words of every text replaced by marks; columns of any name and rows unchanged.
+
+    Null, empty and long texts, repeated rows and empty tables are as in ``find_personal_data``.
+    """
+    name, marks = fresh_names(docs, "key", "spans")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
     found = find_personal_data(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", **options)
-    spans = found.where(F.size("found") + F.size("terms") > 0).select(F.col("doc_id").alias("_key"), F.concat("found", "terms").alias("_spans")).dropDuplicates(["_key"])
-    joined = docs.join(spans, key.eqNullSafe(F.col("_key")), "left").drop("_key")
+    spans = found.where(F.size("found") + F.size("terms") > 0).select(F.col("doc_id").alias(name), F.concat("found", "terms").alias(marks)).dropDuplicates([name])
+    joined = docs.join(spans, key.eqNullSafe(F.col(name)), "left").drop(name)
     at = docs.columns.index(text_col)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid
-from .common import id_crc, scratch_path
+from .common import id_crc, materialize, scratch_path
 from .huffman import read_ids, write_ids
 from .packing import pack_documents
 from .pii import KINDS, find_personal_data
@@ -49,12 +49,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_policy(ledger(_table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    return apply_policy(materialize(ledger(_table(spark, sf_dir, "documents")), "ledger")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy version removes, from the mask counts."""
-    return ablations(ledger(_table(spark, sf_dir, "documents")))
+    return ablations(materialize(ledger(_table(spark, sf_dir, "documents")), "ledger"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, materialize
+from .common import keep_least, map_batches, materialize
 from .components import connected_components
 
 BITS = 64
@@ -200,10 +200,10 @@ def link_shard(points: np.ndarray, home: np.ndarray, mask: int, band_radius: int
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; null texts have no words."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(src, lambda b: {"doc_id": b["doc_id"], "fp": [fingerprint(t, words) for t in b["text"]]}, schema)
+    """(doc_id, digest, fp) of every row, with the hash of its text; null texts have no words."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("digest", T.LongType()), T.StructField("fp", T.LongType())])
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    return map_batches(src, lambda b: {"doc_id": b["doc_id"], "digest": b["digest"], "fp": [fingerprint(t, words) for t in b["text"]]}, schema)
 
 
 def link_fingerprints(points: DataFrame, radius: int = 4, bands: int = 3, shard_rows: int = 20_000, sample_rows: int = 16_384) -> DataFrame:
@@ -259,45 +259,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id reachable by links of at most ``radius``
     bits.  Null and wordless texts have fingerprint zero and link like others;
-    rows with a null id are kept and take the smallest non-null id of their
-    component, or null if it has none.  Repeated rows are kept.  An empty table
-    gives an empty result.
+    long texts count whole; rows with a null id are kept and take the smallest
+    non-null id of their component, or null if it has none.  Repeated rows are
+    kept; other columns are not read; an empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = link_fingerprints(points.select("fp"), radius, bands, shard_rows, sample_rows)
-    roots = connected_components(edges)
-    whole = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints, whole = _components(docs, id_col, text_col, radius, words, bands, shard_rows, sample_rows)
     named = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     label = whole.select("fp", "root").join(named, "root").select("fp", "component_id")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(label, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the row of smallest id from each near-duplicate component; columns unchanged.
+def _components(docs: DataFrame, id_col: str, text_col: str, radius: int = 4, words: int = 4, bands: int = 3, shard_rows: int = 20_000, sample_rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, fp) of every row, and (fp, least, root) of every fingerprint with its least id."""
+    prints = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    edges = link_fingerprints(points.select("fp"), radius, bands, shard_rows, sample_rows)
+    roots = connected_components(edges)
+    return prints, points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
-    Of rows that repeat that id only one stays; rows with a null id stay only if
-    no row of their component has an id.
-    """
-    groups = materialize(near_duplicates(docs, id_col, text_col, **options), "groups")
-    # What goes is the smaller side; a group without an id keeps its row of least fingerprint.
-    go = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(go, id_col, "left_anti").select(docs.columns)
-    if not groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    if groups.where("doc_id is null").isEmpty():
-        return kept
-    return kept.unionByName(_nameless(docs, groups, id_col, text_col, options.get("words", 4)))
-
-
-def _nameless(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """One row of each distinct fingerprint among rows without an id whose component has no id."""
-    lone = [r["fingerprint"] for r in groups.where("component_id is null").select("fingerprint").distinct().limit(1).collect()]
-    if not lone:
-        return docs.limit(0)
-    prints = fingerprints(docs.where(F.col(id_col).isNull()).withColumn("_key", F.xxhash64(text_col)), "_key", text_col, words)
-    text = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    keep = prints.withColumn("fingerprint", text).join(groups.where("component_id is null").select("fingerprint").distinct(), "fingerprint").groupBy("fingerprint").agg(F.min("doc_id").alias("_key"))
-    rows = docs.where(F.col(id_col).isNull()).withColumn("_key", F.xxhash64(text_col)).dropDuplicates(["_key"])
-    return rows.join(keep.select("_key"), "_key", "left_semi").select(docs.columns)
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the row of smallest id from each near-duplicate component; columns unchanged, as in ``keep_least``."""
+    prints, whole = _components(docs, id_col, text_col, **options)
+    return keep_least(docs, prints.join(whole.select("fp", "root"), "fp").select("doc_id", "digest", "root"), id_col, text_col)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, discard, filtered, fresh_names, map_batches, materialize
+from .common import bitmap, discard, filtered, keep_least, map_batches, materialize
 from .components import connected_components
 from .simhash import link_fingerprints, majority
 
@@ -252,20 +252,5 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of near copies, that of smallest id; columns unchanged.
-
-    A row without an id stays only if no row of its group has one.  Of rows with
-    the same id in different groups each group keeps its own.  Columns may have
-    any names; an empty table gives no rows.
-    """
-    groups = materialize(similar_groups(docs, id_col, text_col, **options), "groups")
-    name, digest, text = fresh_names(docs, "name", "digest", "text_digest")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k")
-    keep = materialize(groups.groupBy("root").agg(least).select(F.col("k.doc_id").alias(name), F.col("k.digest").alias(digest)), "keep")
-    marked = docs.withColumn(text, F.xxhash64(text_col))
-    kept = marked.join(keep, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(text) == F.col(digest)), "left_semi")
-    # Rows that repeat both id and text.
-    again = groups.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
-    if not again.join(keep, F.col("i").eqNullSafe(F.col(name)) & (F.col("d") == F.col(digest)), "left_semi").isEmpty():
-        kept = kept.dropDuplicates([id_col, text])
-    return kept.select(docs.columns)
+    """``docs`` with one row of each group of near copies, that of smallest id; columns unchanged, as in ``keep_least``."""
+    return keep_least(docs, similar_groups(docs, id_col, text_col, **options), id_col, text_col)

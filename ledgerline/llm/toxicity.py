@@ -1,9 +1,11 @@
-"""Toxicity by compression distance between two zstandard dictionaries.
+"""Toxicity by compression lengths with two zstandard dictionaries.
 
-An ordinary dictionary is trained on windows of ordinary text, a toxic one on
-the same and on the terms that stand out in toxic text.  A window of a text
-that compresses better with the toxic dictionary holds toxic matter; how many
-bytes it saves, over all windows, goes through a calibrated logistic function.
+The ordinary dictionary is trained by zstandard on windows of ordinary text.
+The toxic one is that and, before it, the terms of highest odds in toxic text:
+it is not trained by zstandard, which was tried on windows of several words and
+did worse (README).  So a window is one word, and what it saves with the toxic
+dictionary says how much of a toxic term it holds; how many bytes all windows
+save goes through a calibrated logistic function.
 
 zstandard stores a short block raw, and never starts a match in the last bytes
 of a block, so each window is compressed between fixed phrases of the ordinary
@@ -90,7 +92,7 @@ class ToxicityModel:
     def features(self, text: str) -> list[float]:
         gain = self.gains(text)
         if not len(gain):
-            return [0.0] * (3 * len(STEPS) + 1)
+            return [0.0] * (3 * len(STEPS)) + [1.0]
         found = []
         for step in STEPS:
             hits = int((gain >= step).sum())
@@ -163,9 +165,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_cla
         part = known.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= longest))
-    # The bounded side: 2 * per_class ids.
-    rows = texts.join(F.broadcast(picked), "_id").collect()
-    rows = sorted({r["_id"]: (r["_id"], r["_text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_text"]))}.values())
+    # The bounded side: 2 * per_class ids.  Of the texts of an id one is collected.
+    rows = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.max("_text").alias("_text")).collect()
+    rows = sorted((r["_id"], r["_text"], r["_label"]) for r in rows)
     total = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     held = Counter(r[2] for r in rows)
     return [r[1] for r in rows], [r[2] for r in rows], [total[r[2]] / held[r[2]] for r in rows]
@@ -174,8 +176,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_cla
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) for every row of ``docs``.
 
-    Null and wordless texts are scored as a text without windows.  Rows with
-    null or repeated ids are kept; an empty table gives an empty result.
+    Null and wordless texts are scored as a text without windows, long texts
+    whole.  Rows with null or repeated ids are kept; equal texts have equal
+    scores; other columns are not read; an empty table gives an empty result.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -184,7 +187,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Rows of ``docs`` whose text scores under ``threshold``; columns unchanged."""
+    """Rows of ``docs`` whose text scores under ``threshold``; columns of any name unchanged, nulls and repeated rows scored like others."""
 
     def keep(batches):
         for batch in batches:

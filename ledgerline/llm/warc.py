@@ -41,6 +41,13 @@ def _same_tag(a: Column, b: Column) -> Column:
     return F.regexp_replace(a, "^W/", "") == F.regexp_replace(b, "^W/", "")
 
 
+def _lower_names(headers: Column) -> Column:
+    """Header fields by lower-case name; of names that differ in case only the one that sorts last counts, and null has no fields."""
+    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    beaten = lambda e: F.exists(entries, lambda x: (F.lower(x["key"]) == F.lower(e["key"])) & (x["key"] > e["key"]))
+    return F.map_from_entries(F.transform(F.filter(entries, lambda e: ~beaten(e)), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+
+
 def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """One row for each revisit of ``records``.
 
@@ -54,7 +61,8 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     there is nothing to compare; "no_response" if there is no earlier response.
     Only resolved revisits have merged headers and the response's size.  Earlier
     is strictly before; of responses at one time the greatest record_id counts.
-    Revisits without URL or time have no response; repeated rows are kept; an
+    Revisits without URL or time have no response; repeated rows are kept; long
+    values are kept whole; other columns are not read, whatever their names; an
     empty table gives no rows.
     """
     info = F.struct("record_id", "etag", "last_modified", "headers", "n_bytes")
@@ -75,9 +83,8 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     tags, dates = hit["etag"].isNotNull() & F.col("etag").isNotNull(), hit["last_modified"].isNotNull() & F.col("last_modified").isNotNull()
     same = F.when(tags, _same_tag(hit["etag"], F.col("etag"))).when(dates, hit["last_modified"] == F.col("last_modified"))
     outcome = F.when(hit.isNull(), "no_response").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
-    lower = lambda m: F.map_from_entries(F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]), e["value"])))
-    news = F.map_filter(lower(F.col("headers")), lambda k, v: k.isin(*PERMITTED_HEADERS))
-    merged = F.map_concat(F.map_filter(lower(hit["headers"]), lambda k, v: ~F.array_contains(F.map_keys(news), k)), news)
+    news = F.map_filter(_lower_names(F.col("headers")), lambda k, v: k.isin(*PERMITTED_HEADERS))
+    merged = F.map_concat(F.map_filter(_lower_names(hit["headers"]), lambda k, v: ~F.array_contains(F.map_keys(news), k)), news)
     done = F.col("outcome") == "resolved"
     return found.withColumn("outcome", outcome).select(
         "record_id", "canonical_url", "captured_at", hit["record_id"].alias("response_id"), "outcome", F.when(done, merged).alias("headers"), F.when(done, hit["n_bytes"]).alias("n_bytes")

@@ -1,36 +1,36 @@
 """Benchmark decontamination by winnowing.
 
-Texts are words; each run of ``k`` words has a hash, and of every ``w``
+Texts are words; each run of ``K`` words has a hash, and of every ``W``
 consecutive hashes the least one (the last of equals) is a fingerprint.  With
-k + w - 1 words in a window, equal windows choose the same fingerprint, so a
-shared span of that many words cannot be missed.  Fingerprints of documents
-and items are joined; the words around a fingerprint, which travel with it,
-show how far the match extends, and extensions that reach a whole window are
-hits.  Items shorter than a window are looked up whole.
+K + W - 1 = 10 words in a window, equal windows choose the same fingerprint, so
+a shared span of that many words cannot be missed.  A filter of bounded size
+holds the items' fingerprints; where a document has one of them, it is extended
+to the windows that chose it, and fingerprint and window together are joined
+with those of the items.  So a phrase shorter than a window makes no join rows,
+however many documents and items have it.  Items shorter than a window are
+looked up whole.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ARROW_ROWS, map_batches, materialize, small_batches
+from .common import bitmap, fresh_names, map_batches, materialize
 
 #: Words of a hashed run, and runs of a winnowing window: together 10 words.
 K, W = 5, 6
 SPAN = K + W - 1
-#: Item fingerprints up to which their set is sent to the tasks, to leave out what cannot match (8 bytes each).
-FILTER_ROWS = 1_000_000
+#: Bits of the filter for each fingerprint, and at most.
+FILTER_BITS, FILTER_MOST = 64, 1 << 26
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
-_TABLE = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -50,12 +50,11 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def winnow(hashes: np.ndarray, w: int = W) -> np.ndarray:
-    """Places of the fingerprints: the last least hash of every w consecutive ones."""
+    """For every w consecutive hashes the place of their fingerprint: the least one, the last of equals."""
     if len(hashes) < w:
         return np.empty(0, dtype=np.int64)
     seen = np.lib.stride_tricks.sliding_window_view(hashes, w)
-    place = np.arange(len(seen)) + (w - 1 - seen[:, ::-1].argmin(axis=1))
-    return place[np.concatenate([[True], place[1:] != place[:-1]])]
+    return np.arange(len(seen)) + (w - 1 - seen[:, ::-1].argmin(axis=1))
 
 
 def _checksums(words: list[bytes]) -> np.ndarray:
@@ -63,80 +62,57 @@ def _checksums(words: list[bytes]) -> np.ndarray:
 
 
 class Filter:
-    """Set of item fingerprints, or of everything if there are too many to send."""
+    """The items' fingerprints in a bit table of bounded size: it may pass others, but none of them is missed."""
 
-    def __init__(self, values: np.ndarray | None):
-        self.values = values
-        if values is not None:
-            self.values = np.unique(values)
-            self.table = np.zeros(_TABLE, dtype=bool)
-            self.table[(self.values >> np.uint64(40)) & np.uint64(_TABLE - 1)] = True
+    def __init__(self, prints: DataFrame):
+        halves = prints.select(F.explode(F.array("fp", F.shiftrightunsigned("fp", 20))).alias("h"))
+        self.bits = bitmap(halves, FILTER_MOST, FILTER_BITS)
+
+    def _set(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.int64) % ((len(self.bits) - 1) * 32)
+        return (self.bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
     def keep(self, hashes: np.ndarray) -> np.ndarray:
-        """Which hashes are in the set."""
-        if self.values is None:
-            return np.ones(len(hashes), dtype=bool)
-        found = self.table[(hashes >> np.uint64(40)) & np.uint64(_TABLE - 1)]
-        at = np.flatnonzero(found)
-        if len(at):
-            place = np.minimum(np.searchsorted(self.values, hashes[at]), len(self.values) - 1)
-            found[at] = self.values[place] == hashes[at]
-        return found
+        """Which hashes may be fingerprints of items."""
+        return self._set(hashes) & self._set(hashes >> np.uint64(20))
 
 
-def fingerprints(words: list[bytes], short: list[int], allowed: Filter) -> list[dict]:
-    """Fingerprints of a text: winnowed runs with the words around them, and all runs of the lengths in ``short``.
+def _window(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
-    size is K for a winnowed run, minus the length for a short item's.
-    """
+
+def fingerprints(words: list[bytes], short: list[int], allowed: Filter | None) -> list[tuple[int, int, int, int]]:
+    """(fp, window, place, size) of each window of a text with its fingerprint, and of all runs of the lengths in ``short``; ``allowed`` leaves out what no item has."""
     sums, out = _checksums(words), []
     hashes = run_hashes(sums, K)
     places = winnow(hashes)
-    for p in places[allowed.keep(hashes[places])]:
-        lead = min(int(p), SPAN - K)
-        out.append({"fp": int(hashes[p].astype(np.int64)), "place": int(p), "size": K, "lead": lead, "around": b" ".join(words[p - lead : p + SPAN]).decode()})
+    chosen = hashes[places]
+    for at in np.flatnonzero(allowed.keep(chosen)) if allowed else range(len(places)):
+        out.append((int(chosen[at].astype(np.int64)), _window(words[at : at + SPAN]), int(at), SPAN))
     for m in short:
         hashes = run_hashes(sums, m)
-        for p in np.flatnonzero(allowed.keep(hashes)):
-            out.append({"fp": int(hashes[p].astype(np.int64)), "place": int(p), "size": -m, "lead": 0, "around": b" ".join(words[p : p + m]).decode()})
+        for at in np.flatnonzero(allowed.keep(hashes)) if allowed else range(len(hashes)):
+            out.append((int(hashes[at].astype(np.int64)), _window(words[at : at + m]), int(at), m))
     return out
 
 
-_PRINT = T.StructType([T.StructField("fp", T.LongType()), T.StructField("place", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("lead", T.IntegerType()), T.StructField("around", T.StringType())])
+_PRINT = T.StructType([T.StructField("fp", T.LongType()), T.StructField("window", T.LongType()), T.StructField("place", T.LongType()), T.StructField("size", T.LongType())])
+
+
+def _structs(found: list[tuple[int, int, int, int]]) -> list[dict]:
+    return [dict(zip(_PRINT.names, f)) for f in found]
 
 
 def index_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(fp, size, lead, around, items): the distinct fingerprints of all items with the ids that have them; wordless items have none."""
+    """(fp, window, size, items): the distinct windows of all items with the ids that have them; wordless items have none."""
     schema = T.StructType([T.StructField("item", items.schema[id_col].dataType), T.StructField("prints", T.ArrayType(_PRINT))])
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        found = []
-        for text in batch["text"]:
-            words = words_of(text)
-            if 0 < len(words) < SPAN:
-                h = run_hashes(_checksums(words), len(words))
-                found.append([{"fp": int(h[0].astype(np.int64)), "place": 0, "size": -len(words), "lead": 0, "around": b" ".join(words).decode()}])
-            else:
-                found.append(fingerprints(words, [], Filter(None)))
-        return {"item": batch["item"], "prints": found}
+        words = [words_of(t) for t in batch["text"]]
+        return {"item": batch["item"], "prints": [_structs(fingerprints(w, [len(w)] if 0 < len(w) < SPAN else [], None)) for w in words]}
 
     rows = map_batches(items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")), run, schema)
-    flat = rows.select("item", F.inline("prints"))
-    return flat.groupBy("fp", "size", "lead", "around").agg(F.collect_set("item").alias("items"))
-
-
-def _extent(a: str, lead_a: int, b: str, lead_b: int, size: int) -> tuple[int, int]:
-    """(words before, words after) by which the match around two equal runs extends; (-1, 0) if the runs differ."""
-    x, y = a.split(" "), b.split(" ")
-    if x[lead_a : lead_a + size] != y[lead_b : lead_b + size]:
-        return -1, 0
-    before = after = 0
-    while before < lead_a and before < lead_b and x[lead_a - 1 - before] == y[lead_b - 1 - before]:
-        before += 1
-    x, y = x[lead_a + size :], y[lead_b + size :]
-    while after < len(x) and after < len(y) and x[after] == y[after]:
-        after += 1
-    return before, after
+    return rows.select("item", F.inline("prints")).groupBy("fp", "window", "size").agg(F.collect_set("item").alias("items"))
 
 
 def _covered(spans: Column) -> Column:
@@ -151,59 +127,40 @@ def _covered(spans: Column) -> Column:
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(row, doc_id, n_words, n_hit, spans, items) for every row of ``docs``.
 
-    spans are the hit word ranges (start, stop), items the sorted ids of items
-    with a window in the text.  Null and wordless texts have no words; rows with
-    null or repeated ids are kept apart; an item with a null id hits words but
-    is not listed; an empty item table hits nothing.
+    spans are the windows hit, as word ranges (start, stop), items the sorted ids
+    of items with a window in the text.  Null and wordless texts have no words;
+    long texts are searched whole; rows with null or repeated ids and equal rows
+    are kept apart; an item with a null id hits words but is not listed, and ids
+    that several items have are listed once; an empty item table hits nothing;
+    an empty table gives no rows; other columns are not read.
     """
     index = materialize(index_items(items, item_id, item_text), "items")
     # At most SPAN - 1 rows.
-    short = sorted(-r["size"] for r in index.where("size < 0").select("size").distinct().collect())
-    n = index.select("fp").distinct().count()
-    allowed = Filter(np.array([r["fp"] for r in index.select("fp").distinct().collect()], dtype=np.int64).view(np.uint64) if 0 < n <= FILTER_ROWS else None)
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("prints", T.ArrayType(_PRINT))])
+    short = sorted(r["size"] for r in index.where(F.col("size") < SPAN).select("size").distinct().collect())
+    allowed = Filter(index.select("fp").distinct())
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("prints", T.ArrayType(_PRINT))])
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         words = [words_of(t) for t in batch["text"]]
-        found = [fingerprints(w, short, allowed) if n else [] for w in words]
-        return {"row": batch["row"], "doc_id": batch["doc_id"], "n_words": [len(w) for w in words], "prints": found}
+        return {"row": batch["row"], "doc_id": batch["doc_id"], "n_words": [len(w) for w in words], "prints": [_structs(fingerprints(w, short, allowed)) for w in words]}
 
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = materialize(map_batches(src, run, schema), "fingerprints")
-
-    flat = base.select("row", F.inline("prints"))
-    other = index.select("fp", "size", F.col("lead").alias("lead_2"), F.col("around").alias("around_2"), "items")
-    item_type = index.schema["items"].dataType
-    hits_schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("items", item_type)])
-
-    def verify(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in hits_schema.names}
-        for row, place, size, lead, around, lead_2, around_2, found in zip(*(batch[k] for k in ("row", "place", "size", "lead", "around", "lead_2", "around_2", "items"))):
-            if size < 0:
-                if around == around_2:
-                    start, stop = place, place - size
-                else:
-                    continue
-            else:
-                before, after = _extent(around, lead, around_2, lead_2, size)
-                if before < 0 or before + size + after < SPAN:
-                    continue
-                start, stop = place - before, place + size + after
-            for k, v in zip(hits_schema.names, (row, start, stop, found)):
-                out[k].append(v)
-        return out
-
-    hits = map_batches(flat.join(other, ["fp", "size"]), verify, hits_schema)
-    by_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = base.select("row", F.inline("prints")).join(index, ["fp", "window", "size"]).select("row", "items", F.struct(F.col("place").alias("start"), (F.col("place") + F.col("size")).alias("stop")).alias("span"))
+    by_row = hits.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     none = F.array().cast(by_row.schema["spans"].dataType)
     whole = base.select("row", "doc_id", "n_words").join(by_row, "row", "left").withColumn("spans", F.coalesce("spans", none))
-    return whole.select("row", "doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "spans", F.coalesce("items", F.array().cast(item_type)).alias("items"))
+    return whole.select("row", "doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "spans", F.coalesce("items", F.array().cast(index.schema["items"].dataType)).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` without any benchmark window; columns unchanged.  A row goes if any row with its id and text is hit."""
-    key = F.struct(F.col(id_col), F.xxhash64(text_col))
+    """Rows of ``docs`` without any benchmark window; columns of any name unchanged.
+
+    A row goes if any row with its id and text is hit; null, empty and long
+    texts, repeated rows and empty tables are as in ``find_contamination``.
+    """
+    (name,) = fresh_names(docs, "key")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
     found = find_contamination(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, "key", "text", **options)
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(hit, key.eqNullSafe(F.col("_key")), "left_anti")
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, key.eqNullSafe(F.col(name)), "left_anti")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 
 def prose(rng: random.Random, n: int) -> str:
@@ -27,7 +28,9 @@ def texts() -> list[str | None]:
 def docs(spark, texts):
     """The texts with ids; two rows without an id, one id twice, and columns that operators use themselves."""
     rows = [(None if i in (3, 8) else i if i != 9 else 10, t, "en" if i % 3 else None, "s0", 1, "k", i) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, fp int").repartition(5)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, fp int")
+    taken = ("key", "_key", "spans", "_spans", "name", "digest", "text_digest", "node", "root", "items", "n_hit", "found", "terms", "score", "predicted", "_id", "k1", "kept", "window", "size")
+    return frame.withColumns({c: F.concat(F.lit(c), "fp") for c in taken}).repartition(5)
 
 
 @pytest.fixture(scope="session")

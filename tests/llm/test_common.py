@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from ledgerline.llm.common import materialize, scratch_dir, stretches
+import pytest
+
+from ledgerline.llm.common import discard, fresh_names, materialize, scratch_dir, stretches
 
 
 class _Unset:
@@ -13,11 +15,25 @@ class _Unset:
 
     class sparkContext:
         applicationId = "app-test"
+        master = "local[2]"
+
+
+class _Cluster(_Unset):
+    class sparkContext:
+        applicationId = "app-cluster"
+        master = "spark://host:7077"
 
 
 def test_scratch(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(_Unset) == scratch_dir(_Unset) and scratch_dir(_Unset).startswith("/tmp/spark-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(_Cluster)
+    table = materialize(spark.range(3), "x")
+    discard(table)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(table.scratch)
+    assert fresh_names(spark.sql("select 1 as a, 2 as B"), "a", "b", "c") == ["a_", "b_", "c"]
     assert materialize(spark.range(3), "x").count() == 3 and materialize(spark.range(0), "x").count() == 0
 
 
