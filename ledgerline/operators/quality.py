@@ -52,6 +52,32 @@ def reference_check(df: DataFrame, table: str, column: str, parent: DataFrame, p
     return both.select(F.lit("reference").alias("check"), F.lit(table).alias("table"), F.lit(column).alias("columns"), "tested", "violations")
 
 
+def checks_report(tables: Mapping[str, DataFrame], grains: Mapping[str, Sequence[str]], references: Mapping[str, Sequence[tuple[str, str, str]]]) -> DataFrame:
+    """A row for each grain check and each reference (column, parent table, parent's column) of all ``tables``.
+
+    The same counts as ``grain_check`` and ``reference_check``, for all tables
+    at once: the keys of all tables are grouped together, and their references,
+    unfolded to a row each, meet the keys of all parents in one join.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    listed = [("grain", t, ",".join(keys)) for t, keys in grains.items()] + [("reference", t, c) for t, refs in references.items() for c, _, _ in refs]
+    asked = spark.createDataFrame(listed, "check string, table string, columns string")
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    key = lambda columns: F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"})
+    groups = union([tables[t].select(F.lit(t).alias("table"), key(keys).alias("k")) for t, keys in grains.items()]).groupBy("table", "k").agg(F.count("*").alias("n"))
+    grain = groups.groupBy("table").agg(F.sum("n").alias("tested"), F.sum(F.col("n") - 1).alias("violations")).withColumn("check", F.lit("grain"))
+    found = [grain.join(spark.createDataFrame([(t, ",".join(keys)) for t, keys in grains.items()], "table string, columns string"), "table").select("check", "table", "columns", "tested", "violations")]
+    if any(references.values()):
+        unfold = lambda refs: F.explode(F.array(*[F.struct(F.lit(c).alias("columns"), F.lit(f"{d}.{k}").alias("parent"), F.col(c).cast("string").alias("k")) for c, d, k in refs]))
+        values = union([tables[t].select(F.lit(t).alias("table"), unfold(refs).alias("r")).select("table", "r.*") for t, refs in references.items() if refs]).where("k is not null").distinct()
+        parents = sorted({(d, k) for refs in references.values() for _, d, k in refs})
+        known = union([tables[d].select(F.lit(f"{d}.{k}").alias("parent"), F.col(k).cast("string").alias("k")) for d, k in parents]).distinct().withColumn("known", F.lit(True))
+        counts = values.join(known, ["parent", "k"], "left").groupBy("table", "columns").agg(F.count("*").alias("tested"), F.count_if(F.col("known").isNull()).alias("violations"))
+        found.append(counts.select(F.lit("reference").alias("check"), "table", "columns", "tested", "violations"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return asked.join(union(found), ["check", "table", "columns"], "left").select("check", "table", "columns", zero("tested"), zero("violations"))
+
+
 class CheckFailed(Exception):
     """Some checks have violations; all were run."""
 

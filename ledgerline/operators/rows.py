@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """One row of each key: the first under ``order``.
 
-    Ties are settled by the hash and then the text of the whole row, so the
-    choice does not depend on how rows are dealt to tasks.  Null keys are a key.
+    Ties are settled by the other columns in their order, so the choice does not
+    depend on how rows are dealt to tasks.  Null keys are a key.
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
-    window = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(row), F.to_json(row))
+    rest = [f for f in df.schema if f.name not in keys]
+    # Maps, and what holds one, have no order.
+    ties = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in rest]
+    window = Window.partitionBy(*keys).orderBy(*order, *ties)
     return df.withColumn("_place", F.row_number().over(window)).where("_place = 1").drop("_place")
 
 

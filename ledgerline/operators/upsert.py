@@ -11,24 +11,27 @@ from pyspark.sql import functions as F
 from .rows import latest_per_key
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of all keys: a row whose key has a null merges with its like."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def marked(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """Rows after a merge with ``_origin``: "kept", "updated" or "inserted".
 
-    Of incoming rows with one key the first under ``order`` counts.  Existing
-    rows without an incoming one stay; columns that one side lacks are null.
+    ``existing`` has one row for a key; of incoming rows with one key the first
+    under ``order`` counts.  Existing rows without an incoming one stay; columns
+    that one side lacks are null; a key with a null merges with its like.  Both
+    sides are read once: one full outer join tells old, new and common keys.
     """
     fresh = latest_per_key(incoming, keys, order)
-    news = fresh.select(*keys)
-    kept = existing.join(news, same_key(existing, news, keys), "left_anti").withColumn("_origin", F.lit("kept"))
-    known = existing.select(*keys).distinct().withColumn("_known", F.lit(True))
-    origin = F.when(F.col("_known"), "updated").otherwise("inserted")
-    placed = fresh.join(known, same_key(fresh, known, keys), "left").select(*[fresh[c] for c in fresh.columns], origin.alias("_origin"))
-    return kept.unionByName(placed, allowMissingColumns=True)
+    old = existing.select(*keys, F.struct(*existing.columns).alias("_old"))
+    new = fresh.select(*[F.col(k).alias(f"_new_{k}") for k in keys], F.struct(*fresh.columns).alias("_new"))
+    same = reduce(lambda a, b: a & b, [old[k].eqNullSafe(new[f"_new_{k}"]) for k in keys])
+    is_new, is_old = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+
+    def value(name: str) -> Column:
+        sides = [F.col(f"{side}.{name}") if name in frame.columns else F.lit(None) for side, frame in (("_new", fresh), ("_old", existing))]
+        return F.when(is_new, sides[0]).otherwise(sides[1]).alias(name)
+
+    names = [*existing.columns, *[c for c in fresh.columns if c not in existing.columns]]
+    origin = F.when(is_new & is_old, "updated").when(is_new, "inserted").otherwise("kept")
+    return old.join(new, same, "full_outer").select(*[value(n) for n in names], origin.alias("_origin"))
 
 
 def merge(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:

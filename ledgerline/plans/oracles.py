@@ -14,7 +14,7 @@ lines AS (SELECT l_orderkey, (count(*) FILTER (WHERE l_returnflag = 'R'))::INT A
 m0 AS (SELECT *, year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS y, o_custkey % 30 AS home_team_id, (o_custkey % 30 + 1 + o_orderkey % 29) % 30 AS away_team_id
        FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey),
 matchup AS (SELECT o_orderkey AS match_id, o_orderpriority AS competition_code, substr(o_orderpriority, 1, 1)::BIGINT AS competition_id, 'Competition ' || o_orderpriority AS competition_name, y::BIGINT AS season_id,
-       make_date(y, 7, 1) AS season_start_date, make_date(y + 1, 6, 30) AS season_end_date, o_orderdate::DATE AS match_date, month(o_orderdate)::INT AS matchday,
+       make_date(y, 7, 1) AS season_start_date, make_date(y + 1, 6, 30) AS season_end_date, o_orderdate::DATE AS match_date, o_orderdate AS kickoff_utc, month(o_orderdate)::INT AS matchday,
        CASE o_orderstatus WHEN 'F' THEN 'FINISHED' WHEN 'O' THEN 'SCHEDULED' ELSE 'POSTPONED' END AS match_status, CASE WHEN o_orderkey % 50 = 0 THEN 'KNOCKOUT' ELSE 'REGULAR_SEASON' END AS stage,
        home_team_id, away_team_id, home_goals, away_goals, o_orderstatus = 'F' AS is_finished, y || '/' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') AS label FROM m0),
 scorers AS (SELECT o_custkey, o_orderpriority, year(o_orderdate) AS y, count(DISTINCT o_orderkey) AS played_matches, count(*) FILTER (WHERE l_returnflag = 'R') AS goals,
@@ -23,10 +23,10 @@ scorers AS (SELECT o_custkey, o_orderpriority, year(o_orderdate) AS y, count(DIS
 
 _FACT = f"""
 fm AS (SELECT match_id, (year(match_date) * 10000 + month(match_date) * 100 + day(match_date))::INT AS date_key, {_sk('competition_code')} AS competition_key, {_sk('label')} AS season_key,
-       {_sk('home_team_id')} AS home_team_key, {_sk('away_team_id')} AS away_team_key, matchday, stage, 'NONE' AS group_name, match_status, is_finished, home_goals, away_goals,
+       {_sk('home_team_id')} AS home_team_key, {_sk('away_team_id')} AS away_team_key, matchday, stage, 'NONE' AS group_name, match_status, is_finished, kickoff_utc, home_goals, away_goals,
        is_finished AND home_goals IS NOT NULL AND away_goals IS NOT NULL AS ok FROM matchup),
-sides AS (SELECT match_id, date_key, competition_key, season_key, matchday, stage, group_name, match_status, is_finished, ok, 'HOME' AS venue, home_team_key AS team_key, away_team_key AS opponent_key, home_goals AS goals_for, away_goals AS goals_against FROM fm
-       UNION ALL SELECT match_id, date_key, competition_key, season_key, matchday, stage, group_name, match_status, is_finished, ok, 'AWAY', away_team_key, home_team_key, away_goals, home_goals FROM fm),
+sides AS (SELECT match_id, date_key, competition_key, season_key, matchday, stage, group_name, match_status, is_finished, kickoff_utc, ok, 'HOME' AS venue, home_team_key AS team_key, away_team_key AS opponent_key, home_goals AS goals_for, away_goals AS goals_against FROM fm
+       UNION ALL SELECT match_id, date_key, competition_key, season_key, matchday, stage, group_name, match_status, is_finished, kickoff_utc, ok, 'AWAY', away_team_key, home_team_key, away_goals, home_goals FROM fm),
 ftm AS (SELECT * EXCLUDE (ok), CASE WHEN ok THEN goals_for - goals_against END AS goal_difference, CASE WHEN ok THEN CASE WHEN goals_for > goals_against THEN 'WIN' WHEN goals_for < goals_against THEN 'LOSS' ELSE 'DRAW' END END AS result,
        CASE WHEN ok THEN CASE WHEN goals_for > goals_against THEN 3 WHEN goals_for = goals_against THEN 1 ELSE 0 END END AS points, CASE WHEN ok THEN goals_against = 0 END AS is_clean_sheet FROM sides)"""
 
@@ -141,6 +141,7 @@ SELECT o_orderkey, {_sk('p')} AS priority_key, coalesce((year(d) * 10000 + month
     "upsert_schema_growth": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 <> 1 THEN s_nationkey END AS s_nationkey FROM supplier",
     "delete_where": "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE NOT (s_suppkey % 7 <> 0 AND s_acctbal < 0)",
     "snapshot_accumulate": f"WITH {_DAILY} SELECT user_id, snapshot_date, CASE WHEN day(snapshot_date) >= 15 THEN n_events + 100 ELSE n_events END AS n_events FROM daily",
+    "lake_schema_growth": f"WITH {_DAILY} SELECT user_id, snapshot_date, CASE WHEN day(snapshot_date) = 15 AND user_id % 2 = 0 THEN 0 ELSE n_events END AS n_events, CASE WHEN day(snapshot_date) BETWEEN 11 AND 20 AND NOT (day(snapshot_date) = 15 AND user_id % 2 = 0) THEN n_events * 2 END AS twice, CASE WHEN day(snapshot_date) > 20 THEN n_events / 2 END AS half FROM daily",
     "snapshot_filter": f"WITH {_DAILY} SELECT * FROM daily WHERE snapshot_date = DATE '2024-01-10'",
     "snapshot_delta": f"WITH {_DAILY} SELECT *, n_events - lag(n_events) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS delta FROM daily",
     "running_orders": "WITH d AS (SELECT o_custkey, o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1, 2) SELECT *, (sum(n) OVER (PARTITION BY o_custkey ORDER BY day ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM d",

@@ -50,7 +50,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = o.select(
         F.col("o_orderkey").alias("match_id"), F.col("o_orderpriority").alias("competition_code"), F.substring("o_orderpriority", 1, 1).cast("long").alias("competition_id"),
         F.concat(F.lit("Competition "), F.col("o_orderpriority")).alias("competition_name"), year.cast("long").alias("season_id"), F.make_date(year, F.lit(7), F.lit(1)).alias("season_start_date"),
-        F.make_date(year + 1, F.lit(6), F.lit(30)).alias("season_end_date"), day.alias("match_date"), F.month(day).alias("matchday"), status.alias("match_status"),
+        F.make_date(year + 1, F.lit(6), F.lit(30)).alias("season_end_date"), day.alias("match_date"), F.col("o_orderdate").alias("kickoff_utc"), F.month(day).alias("matchday"), status.alias("match_status"),
         F.when(F.col("o_orderkey") % 50 == 0, "KNOCKOUT").otherwise("REGULAR_SEASON").alias("stage"), F.lit("NONE").alias("group_name"), home.alias("home_team_id"), away.alias("away_team_id"),
         F.concat(F.lit("Team "), home.cast("string")).alias("home_team_name"), F.concat(F.lit("Team "), away.cast("string")).alias("away_team_name"),
         F.concat(F.lit("T"), home.cast("string")).alias("home_team_tla"), F.concat(F.lit("T"), away.cast("string")).alias("away_team_tla"), "home_goals", "away_goals",
@@ -299,6 +299,18 @@ def snapshot_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge(days.where("day(snapshot_date) <= 20"), days.where("day(snapshot_date) >= 15").withColumn("n_events", F.col("n_events") + 100), ["user_id", "snapshot_date"])
 
 
+@query
+def lake_schema_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by day whose loads bring new columns twice, merged into an early day at the end: nothing of the early rows is lost."""
+    lake, days, keys = _scratch_lake(spark), _daily(spark, sf_dir), ["user_id", "snapshot_date"]
+    last = F.dayofmonth("snapshot_date")
+    lake.upsert(days.where(last <= 10), "bronze", "daily", keys, partition="snapshot_date")
+    lake.upsert(days.where((last > 10) & (last <= 20)).withColumn("twice", F.col("n_events") * 2), "bronze", "daily", keys, partition="snapshot_date")
+    lake.upsert(days.where(last > 20).withColumn("half", F.col("n_events") / 2), "bronze", "daily", keys, partition="snapshot_date")
+    lake.upsert(days.where((last == 15) & (F.col("user_id") % 2 == 0)).withColumn("n_events", F.lit(0).cast("long")), "bronze", "daily", keys, partition="snapshot_date")
+    return lake.read("bronze", "daily").select("user_id", "snapshot_date", "n_events", "twice", "half")
+
+
 @query
 def snapshot_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir).where(F.col("snapshot_date") == F.to_date(F.lit("2024-01-10")))
@@ -388,8 +400,10 @@ def agg_matchday_progress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def league_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = star(spark, sf_dir)
-    rows = agg_team_season(s.fact_team_match()).join(s.dim_team(), "team_key").join(s.dim_competition(), "competition_key").join(s.dim_season(), "season_key")
-    picked = rows.where("competition_code = '1-URGENT' and season_label = '1997/98'")
+    # A table is ranked inside its competition and season, so these are chosen before anything is added up.
+    competition, season = s.dim_competition().where("competition_code = '1-URGENT'").select("competition_key"), s.dim_season().where("season_label = '1997/98'").select("season_key")
+    played = s.fact_team_match().join(competition, "competition_key", "left_semi").join(season, "season_key", "left_semi")
+    picked = agg_team_season(played).join(s.dim_team(), "team_key")
     return top(picked.select("season_rank", "team_name", "matches_played", "points", "goal_difference"), [F.col("season_rank"), F.col("team_name")], 10)
 
 
@@ -442,11 +456,15 @@ def star_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch_lake(spark: SparkSession) -> Lake:
-    """A lake of its own in the folder that the cluster shares for such things."""
+    """A lake of its own in the folder that the cluster shares for such things; a local session that names none gets a new one."""
     import tempfile
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return Lake(spark, f"{folder.rstrip('/')}/lake-{uuid.uuid4().hex}")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import UNKNOWN_KEY, date_key, decided, period_key, period_label, points, rate, surrogate_key, verdict
 from ..operators.aggregates import progress_table, season_table, venue_table
 from ..operators.dimensions import calendar, enriched, periods, with_late_members, with_unknown
-from ..operators.quality import grain_check, reference_check
+from ..operators.quality import checks_report
 from ..operators.rows import latest_per_key, two_sided
 
 #: Kind and country of the known competitions.
@@ -54,7 +54,9 @@ class Star:
 
     def dim_competition(self) -> DataFrame:
         names = ["competition_code", "competition_id", "competition_name"]
-        recent = latest_per_key(self.matches.where("competition_code is not null"), ["competition_code"], self._newest(self.matches)).select(*names)
+        # Only what is needed, so that a view of matches need not be worked out whole.
+        named = self.matches.where("competition_code is not null").select(*names, *[c for c in [self.recency] if c in self.matches.columns])
+        recent = latest_per_key(named, ["competition_code"], self._newest(self.matches)).select(*names)
         known = self.matches.sparkSession.createDataFrame([(c, *v) for c, v in self.competitions.items()], "competition_code string, competition_type string, country string")
         full = enriched(recent, known, ["competition_code"], {"competition_type": "UNKNOWN", "country": "UNKNOWN"})
         keyed = full.select(self._key("competition_code").alias("competition_key"), *names, "competition_type", "country")
@@ -94,7 +96,7 @@ class Star:
         )
 
     def fact_team_match(self) -> DataFrame:
-        names = ["match_id", "date_key", "competition_key", "season_key", "matchday", "stage", "group_name", "match_status", "is_finished"]
+        names = ["match_id", "date_key", "competition_key", "season_key", "matchday", "stage", "group_name", "match_status", "is_finished", *[c for c in ["kickoff_utc"] if c in self.matches.columns]]
         base = self.fact_matches().select(*names, "home_team_key", "away_team_key", "home_goals", "away_goals")
         side = lambda own, other: {"team_key": f"{own}_team_key", "opponent_key": f"{other}_team_key", "goals_for": f"{own}_goals", "goals_against": f"{other}_goals"}
         both = two_sided(base, {"HOME": side("home", "away"), "AWAY": side("away", "home")}, "venue")
@@ -152,10 +154,6 @@ REFERENCES: dict[str, list[tuple[str, str, str]]] = {
 
 def validation_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """All grain and reference checks of the given star tables, a row each."""
-    checks = [grain_check(tables[t], t, keys) for t, (keys, _) in TABLES.items() if t in tables]
-    for table, references in REFERENCES.items():
-        checks += [reference_check(tables[table], table, c, tables[d], k) for c, d, k in references if table in tables and d in tables]
-    report = checks[0]
-    for check in checks[1:]:
-        report = report.unionByName(check)
-    return report
+    grains = {t: keys for t, (keys, _) in TABLES.items() if t in tables}
+    references = {t: [r for r in refs if r[1] in tables] for t, refs in REFERENCES.items() if t in tables}
+    return checks_report(tables, grains, references)

@@ -2,22 +2,29 @@
 
 A full or merged table is a row of version folders; readers take the last one.
 A new version is written aside and renamed, so a crash leaves the old one, and
-a table can be read while its next version is made.  Tables kept by partition
-(snapshots) replace only the partitions that a write touches.
+a table can be read while its next version is made, on file systems that rename
+a folder at once (HDFS, local disks; object stores copy).  A table has one
+writer at a time.  Tables kept by partition (snapshots) replace only the
+partitions that a write touches, and keep their columns, which may grow with
+each write, in a file beside the partitions.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.upsert import marked
 
+#: File with the columns of a table kept by partition; readers of the data skip names that begin like this.
+_COLUMNS = "_columns.json"
 _MISSING = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
 
@@ -51,11 +58,33 @@ class Lake:
 
     def read(self, layer: str, name: str, snapshot: tuple[str, str] | None = None) -> DataFrame:
         """A table; ``snapshot`` (column, date) keeps one capture, and prunes if the table is partitioned by it."""
-        df = self.spark.read.format(self.fmt).load(self.current(layer, name))
+        reader, schema = self.spark.read.format(self.fmt), self._schema(layer, name)
+        df = (reader.schema(schema) if schema else reader).load(self.current(layer, name))
         if snapshot is not None and snapshot[0] in df.columns:
             df = df.where(F.col(snapshot[0]) == F.to_date(F.lit(snapshot[1])))
         return df
 
+    def _schema(self, layer: str, name: str) -> T.StructType | None:
+        """Columns of a table kept by partition, with those that only some partitions have."""
+        fs, at = self._fs(f"{self.path(layer, name)}/{_COLUMNS}")
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return T.StructType.fromJson(json.loads(text))
+
+    def _keep_schema(self, df: DataFrame, layer: str, name: str) -> None:
+        """Add the columns of ``df`` to those of the table."""
+        known = self._schema(layer, name)
+        if known is None and self.exists(layer, name):
+            known = self.read(layer, name).schema
+        fields = [*(known or []), *[f for f in df.schema if known is None or f.name not in known.names]]
+        fs, at = self._fs(f"{self.path(layer, name)}/{_COLUMNS}")
+        out = fs.create(at, True)
+        out.write(bytearray(T.StructType([T.StructField(f.name, f.dataType) for f in fields]).json().encode()))
+        out.close()
+
     def exists(self, layer: str, name: str) -> bool:
         """Whether the table can be read; any error but a missing one is raised."""
         fs, at = self._fs(self.path(layer, name))
@@ -92,7 +121,8 @@ class Lake:
             raise OSError(f"could not rename {source}")
 
     def replace_partitions(self, df: DataFrame, layer: str, name: str, by: Sequence[str]) -> None:
-        """Replace the partitions that ``df`` has rows for; others stay."""
+        """Replace the partitions that ``df`` has rows for; others stay, and have null in new columns."""
+        self._keep_schema(df, layer, name)
         df.write.format(self.fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).save(self.path(layer, name))
 
     def upsert(self, df: DataFrame, layer: str, name: str, keys: Sequence[str], order: Sequence[Column] = (), partition: str | None = None) -> dict[str, int]:
@@ -117,7 +147,7 @@ class Lake:
             # The touched partitions are read and replaced, so their new rows are written aside first.
             aside = f"{self.path(layer, name)}-staged-{uuid.uuid4().hex}"
             rows.drop("_origin").write.format(self.fmt).save(aside)
-            self.replace_partitions(self.spark.read.format(self.fmt).load(aside), layer, name, [partition])
+            self.replace_partitions(self.spark.read.format(self.fmt).schema(rows.drop("_origin").schema).load(aside), layer, name, [partition])
             fs, at = self._fs(aside)
             fs.delete(at, True)
         return {o: counts.get[o] for o in ("inserted", "updated", "kept")}
@@ -147,14 +177,18 @@ class Lake:
         """Rewrite a table ordered by ``by`` over ``files`` files, so that readers skip by the files' least and greatest values."""
         self.replace(clustered(self.read(layer, name), by, files), layer, name)
 
-    def publish(self, tables: Sequence[tuple[str, str]], schema: str, prefix: str = "") -> list[str]:
-        """Write (layer, name) tables as catalog tables of ``schema``, in the given order; returns their names."""
+    def tables(self, layer: str) -> list[str]:
+        """Names of the tables of a layer."""
+        fs, at = self._fs(f"{self.root.rstrip('/')}/{layer}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+    def publish(self, tables: Sequence[tuple[str, str]], schema: str, prefix: str = "", more: Mapping[str, DataFrame] = {}) -> list[str]:
+        """Write (layer, name) tables as catalog tables of ``schema``, in the given order, and then the frames of ``more``; returns their names."""
         self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
         made = []
-        for layer, name in tables:
-            target = f"{schema}.{prefix}{name}"
-            self.read(layer, name).write.format(self.fmt).mode("overwrite").saveAsTable(target)
-            made.append(target)
+        for name, df in [*((name, self.read(layer, name)) for layer, name in tables), *more.items()]:
+            df.write.format(self.fmt).mode("overwrite").saveAsTable(f"{schema}.{prefix}{name}")
+            made.append(f"{schema}.{prefix}{name}")
         return made
 
 
