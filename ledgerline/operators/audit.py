@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import traceback
 import uuid
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,19 @@ def failures(log: DataFrame) -> DataFrame:
     return log.where("status = 'FAILED'")
 
 
+def by_batch(log: DataFrame) -> DataFrame:
+    """Log rows by batch and load type, with the rows each batch met."""
+    return roll_up(log, "batch_id", "load_type", "status")
+
+
+def snapshot_presence(df: DataFrame, column: str, expected: Sequence[str]) -> DataFrame:
+    """(snapshot_date, n_rows, is_present) of each expected capture: whether a load has arrived."""
+    asked = df.sparkSession.createDataFrame([(d,) for d in expected], "d string").select(F.to_date("d").alias("snapshot_date"))
+    counts = df.groupBy(F.col(column).cast("date").alias("snapshot_date")).agg(F.count("*").alias("n_rows"))
+    n = F.coalesce("n_rows", F.lit(0)).cast("long")
+    return asked.join(counts, "snapshot_date", "left").select("snapshot_date", n.alias("n_rows"), (n > 0).alias("is_present"))
+
+
 def stamped(df: DataFrame, batch_id: str, load_type: str, with_source: bool = True) -> DataFrame:
     """Lineage columns: load time, batch, load type and source file ("UNKNOWN" where the frame has none)."""
     out = df.withColumns({"load_timestamp": F.current_timestamp(), "batch_id": F.lit(batch_id), "load_type": F.lit(load_type)})

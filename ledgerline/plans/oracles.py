@@ -141,6 +141,10 @@ SELECT o_orderkey, {_sk('p')} AS priority_key, coalesce((year(d) * 10000 + month
     "upsert_schema_growth": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 <> 1 THEN s_nationkey END AS s_nationkey FROM supplier",
     "delete_where": "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE NOT (s_suppkey % 7 <> 0 AND s_acctbal < 0)",
     "snapshot_accumulate": f"WITH {_DAILY} SELECT user_id, snapshot_date, CASE WHEN day(snapshot_date) >= 15 THEN n_events + 100 ELSE n_events END AS n_events FROM daily",
+    "feed_matches": f"""WITH {_MATCHES}, g AS (SELECT *, CASE WHEN match_id % 19 <> 0 THEN home_goals END AS h FROM matchup WHERE match_id % 17 <> 0 AND match_id % 13 <> 0)
+SELECT match_id, competition_code, season_id, season_start_date, match_date, match_status, is_finished, matchday, stage, 'NONE' AS group_name, home_team_id, 'Team ' || away_team_id AS away_team_name, h AS home_goals, away_goals,
+CASE WHEN is_finished AND h IS NOT NULL AND away_goals IS NOT NULL THEN CASE WHEN h > away_goals THEN 'HOME_WIN' WHEN h < away_goals THEN 'AWAY_WIN' ELSE 'DRAW' END END AS result, CASE WHEN is_finished THEN h + away_goals END AS total_goals FROM g""",
+    "feed_scorers": "SELECT 'PL' AS competition_code, 7::BIGINT AS season_id, c_custkey AS player_id, c_name AS player_name, (DATE '1990-01-01' + (c_custkey % 900)::INT)::DATE AS player_date_of_birth, c_custkey % 30 AS team_id, 'Team ' || (c_custkey % 30) AS team_name, (c_custkey % 38)::INT AS played_matches, CASE WHEN c_custkey % 9 <> 0 THEN (c_custkey % 40)::INT ELSE 0 END AS goals, 0 AS assists, 0 AS penalties, DATE '2025-10-01' AS snapshot_date FROM customer WHERE c_custkey % 7 <> 0",
     "lake_schema_growth": f"WITH {_DAILY} SELECT user_id, snapshot_date, CASE WHEN day(snapshot_date) = 15 AND user_id % 2 = 0 THEN 0 ELSE n_events END AS n_events, CASE WHEN day(snapshot_date) BETWEEN 11 AND 20 AND NOT (day(snapshot_date) = 15 AND user_id % 2 = 0) THEN n_events * 2 END AS twice, CASE WHEN day(snapshot_date) > 20 THEN n_events / 2 END AS half FROM daily",
     "snapshot_filter": f"WITH {_DAILY} SELECT * FROM daily WHERE snapshot_date = DATE '2024-01-10'",
     "snapshot_delta": f"WITH {_DAILY} SELECT *, n_events - lag(n_events) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS delta FROM daily",

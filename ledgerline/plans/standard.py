@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checked_cast, clock_seconds, date_key, has_drift, json_leaf, period_key, period_label, share_of, surrogate_key
@@ -14,9 +14,11 @@ from ..operators.flatten import first_of, flatten, size_or_zero
 from ..operators.quality import CAST_FAILED, NULL_REQUIRED, grain_check, quarantine_summary, quarantined, reference_check, split_required, split_rows
 from ..operators.rows import change_since, latest_per_key, ranked, running_totals, top
 from ..operators.upsert import merge, merge_counts, without
-from ..sources import key_from_path
+from ..sources import key_from_path, read_feed
 from ..sources.lake import Lake, clustered
+from .feeds import FEEDS, FLATTENERS
 from .star import TABLES, Star, agg_home_away, agg_matchday_progress, agg_team_season, validation_report
+from .typed import TYPED
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -243,6 +245,59 @@ def quarantine_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarantine_summary(held, spark)
 
 
+# --- the feeds' own readers, flatteners and typed tables on files made from the standard tables -----------
+
+
+#: Stands for a number that is spelled out in the files.
+_TWO = -99_999
+
+
+def _files(spark: SparkSession, rows: DataFrame, key: str, root: str, **head: tuple[str, str]) -> str:
+    """Write the structs ``row`` of ``rows`` as JSON documents of about a thousand in the list ``root``; returns their folder."""
+    n = max(1, rows.count() // 1_000)
+    lists = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("b")).agg(F.collect_list("row").alias(root))
+    made = lists.select(F.to_json(F.struct(*[F.from_json(F.lit(text), kind).alias(k) for k, (text, kind) in head.items()], root)).alias("value"))
+    made = made.select(F.replace("value", F.lit(f":{_TWO}"), F.lit(':"two"')).alias("value"))
+    path = f"{_scratch_lake(spark).root}/raw"
+    made.write.option("maxRecordsPerFile", 1).text(path)
+    return f"{path}/*.txt"
+
+
+def _typed_feed(spark: SparkSession, name: str, paths: str, **more: Column) -> DataFrame:
+    """The feed's files as its typed rows: read, flattened, split by what is required, cast and split by drift."""
+    flat = FLATTENERS[name](read_feed(spark, FEEDS[name], paths)).withColumns(more)
+    return TYPED[name].split(split_required(flat, FEEDS[name].required)[0])[0]
+
+
+@query
+def feed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match files with missing ids, broken times and wrongly typed goals."""
+    m = matches(spark, sf_dir).withColumn("i", F.col("match_id"))
+    i, text = F.col("i"), lambda day: F.date_format(day, "yyyy-MM-dd")
+    team = lambda side: F.struct(F.col(f"{side}_team_id").alias("id"), F.col(f"{side}_team_name").alias("name"), F.col(f"{side}_team_tla").alias("tla"))
+    goals = F.struct(F.when(i % 19 == 0, _TWO).otherwise(F.col("home_goals")).alias("home"), F.col("away_goals").alias("away"))
+    row = F.struct(
+        F.when(i % 17 != 0, i).alias("id"), F.when(i % 13 == 0, "soon").otherwise(F.concat(text("match_date"), F.lit("T12:00:00Z"))).alias("utcDate"), F.col("match_status").alias("status"), "matchday", "stage",
+        F.lit("2024-01-01T00:00:00Z").alias("lastUpdated"), F.struct(F.col("competition_id").alias("id"), F.col("competition_name").alias("name"), F.col("competition_code").alias("code")).alias("competition"),
+        F.struct(F.col("season_id").alias("id"), text("season_start_date").alias("startDate"), text("season_end_date").alias("endDate")).alias("season"),
+        team("home").alias("homeTeam"), team("away").alias("awayTeam"), F.struct(goals.alias("fullTime")).alias("score"), F.lit("x").alias("undeclared"),
+    )
+    found = _typed_feed(spark, "matches", _files(spark, m.select("i", row.alias("row")), "i", "matches"))
+    return found.select("match_id", "competition_code", "season_id", "season_start_date", "match_date", "match_status", "is_finished", "matchday", "stage", "group_name", "home_team_id", "away_team_name", "home_goals", "away_goals", "result", "total_goals")
+
+
+@query
+def feed_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scorer files of one capture: counts that are missing are zero, and a broken birth date rejects its row."""
+    c = table(spark, sf_dir, "customer").withColumn("i", F.col("c_custkey"))
+    i = F.col("i")
+    player = F.struct(i.alias("id"), F.col("c_name").alias("name"), F.when(i % 7 == 0, "unknown").otherwise(F.date_format(F.date_add(F.to_date(F.lit("1990-01-01")), (i % 900).cast("int")), "yyyy-MM-dd")).alias("dateOfBirth"))
+    row = F.struct(player.alias("player"), F.struct((i % TEAMS).alias("id"), F.concat(F.lit("Team "), (i % TEAMS).cast("string")).alias("name")).alias("team"), (i % 38).cast("int").alias("playedMatches"), F.when(i % 9 != 0, (i % 40).cast("int")).alias("goals"))
+    head = {"competition": ('{"id": 1, "code": "PL", "name": "First"}', "id bigint, code string, name string"), "season": ('{"id": 7}', "id bigint")}
+    found = _typed_feed(spark, "scorers", _files(spark, c.select("i", row.alias("row")), "i", "scorers", **head), snapshot_date=F.to_date(F.lit("2025-10-01")))
+    return found.select("competition_code", "season_id", "player_id", "player_name", "player_date_of_birth", "team_id", "team_name", "played_matches", "goals", "assists", "penalties", "snapshot_date")
+
+
 # --- keys, merges, snapshots ------------------------------------------------------------------------------
 
 

@@ -7,10 +7,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators.audit import RunLog, failures
+from ledgerline.operators.audit import RunLog, by_batch, failures, snapshot_presence
 from ledgerline.operators.quality import CheckFailed, require_clean
 from ledgerline.plans.feeds import FEEDS, FLATTENERS
-from ledgerline.plans.layers import build_star, build_typed, load_feed, run_all
+from ledgerline.plans.layers import build_star, build_typed, load_feed, publish_all, quarantine_of, run_all
 from ledgerline.plans.star import TABLES, validation_report
 from ledgerline.plans.typed import TYPED
 from ledgerline.sources import Lake, key_from_path, raw_text, read_feed
@@ -69,6 +69,7 @@ def test_faults(spark, lake, tmp_path):
         assert made["inserted"] == (0 if attempt else 5) and made["updated"] == (5 if attempt else 0)
     assert {r["quarantine_reason"] for r in lake.read("quarantine", "bronze_matches").collect()} == {"null_required_field"}
     assert path.endswith("matches_1.json")
+    assert {(r["source_table"], r["n_rows"]) for r in quarantine_of(lake).groupBy("source_table").agg(F.sum("n_rows").alias("n_rows")).collect()} == {("bronze_matches", lake.read("quarantine", "bronze_matches").count()), ("silver_matches", 2)}
 
 
 def test_events_and_lineups(spark, lake, tmp_path):
@@ -133,6 +134,14 @@ def test_run_twice_and_snapshots(spark, lake, tmp_path):
     assert spark.table(published[0]).count() == first["dim_team"]
     lake.cluster("gold", "fact_matches", ["date_key"], 2)
     assert lake.read("gold", "fact_matches").count() == first["fact_matches"]
+    again = RunLog(spark, "b9", "FULL")
+    made = build_star(lake, again, validate=False, optimise=True)
+    assert {n: df.count() for n, df in made.items()} == first and [r[1] for r in again.rows if r[1] == "gold_layout"] == ["gold_layout"] * 3
+    names = publish_all(lake, "published_all")
+    assert names[-2:] == ["published_all.quarantine_summary", "published_all.run_log"] and len(names) == len(TABLES) + 2
+    seen = snapshot_presence(lake.read("silver", "scorers"), "snapshot_date", ["2025-10-02", "2025-10-09"]).orderBy("snapshot_date").collect()
+    assert [(r["n_rows"], r["is_present"]) for r in seen] == [(1, True), (0, False)]
+    assert by_batch(log).count() == 2 and quarantine_of(lake).count() == 0
 
 
 def test_failed_checks_and_log(spark, lake, tmp_path):
