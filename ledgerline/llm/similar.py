@@ -169,9 +169,10 @@ def _sets(docs: DataFrame, held: DataFrame, nodes: DataFrame, words: int, split)
 
 def _ranked(sets: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(node, n, s, fp, parity, keys): s of the n shingles are shared with other candidates, keys are the rarest of these."""
+    # One shuffle; hot shingles are left out here as well.
     entries = sets.select("node", F.explode("cold").alias("key"))
-    df = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    cold = entries.join(df, "key").select("node", F.struct(F.lit(False).alias("hot"), "df", "key").alias("k"))
+    counted = entries.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
+    cold = counted.select("node", F.struct(F.lit(False).alias("hot"), "df", "key").alias("k"))
     by_node = cold.groupBy("node").agg(F.collect_list("k").alias("ks"))
     hot = F.transform("hot", lambda h: F.struct(F.lit(True).alias("hot"), h["often"].alias("df"), h["key"].alias("key")))
     own = sets.select("node", "parity", hot.alias("h"))

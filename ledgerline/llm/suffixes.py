@@ -395,11 +395,12 @@ def _counted_matches(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """docs (k1, k2, text) -> (k1, k2, spans): maximal byte ranges covered by strings of ``length`` bytes that start elsewhere too."""
     table = _anchor_table(docs, length, k)
-    often = table.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written tables on both sides let Spark split the join's partition of a very frequent K-gram.
+    often = materialize(table.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
     candidates = materialize(table.join(often, "gram", "left_semi"), "candidates")
     one = F.min(F.struct("k1", "k2", "place", "first", "last")).alias("one")
     around = materialize(candidates.groupBy("gram", "around").agg(F.count("*").alias("n"), one), "around")
-    several = around.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    several = materialize(around.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "several")
     asked = around.join(several, "gram", "left_semi").select("gram", "around", "one.*")
     contexts, crowded = _contexts(docs, asked, length, k), several.where(F.col("m") > CROWDED).select("gram")
     if crowded.isEmpty():
@@ -432,9 +433,10 @@ def _united(spans: list[dict]) -> list[tuple[int, int]]:
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, with_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row of ``docs``.
 
-    Null texts are empty; texts under ``length`` bytes lose nothing.  Repeated
-    rows are kept and repeat each other's bytes; rows with a null id are kept;
-    an empty table gives an empty result.
+    Null texts are empty; texts under ``length`` bytes lose nothing; long texts
+    are searched whole.  Repeated rows are kept and repeat each other's bytes;
+    rows with a null id are kept; other columns are not read; an empty table
+    gives an empty result.
     """
     key = [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2")]
     src = docs.select(*key, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
