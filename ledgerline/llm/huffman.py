@@ -210,9 +210,9 @@ def write_ids(docs: DataFrame, path: str, encoder: CachedEncoder, vocabulary: in
         if held:
             yield flush()
 
-    # The ranges are parts: their number is the order of their ids.
-    dealt = map_batches(tokens, run, coded).repartitionByRange(n_parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    dealt.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    # The ranges are parts: their number is the order of their ids.  Ids are coded behind the shuffle, as its borders are sampled from what stands before it.
+    dealt = tokens.repartitionByRange(n_parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    map_batches(dealt, run, coded).mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
     sizes = spark.read.parquet(f"{path}/blocks").select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
     # One row for each part.
     rows, before = [], 0
