@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -213,6 +214,43 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.labelled_sample(df, labels.limit(0), F.lit(True), 5) == ([], [], [])
     few = toxicity.fit(*toxicity.labelled_sample(df, labels, ~held, 40))
     assert abs(sum(few.score(m[1]) for m in made) / len(made) - 0.25) < 0.1
+    assert toxicity.drop_toxic(empty, model).collect() == []
+    whole = toxicity.drop_toxic(docs, model)
+    assert whole.columns == docs.columns and whole.count() == toxicity.score_toxicity(docs, model).where("predicted = 0").count()
+
+
+def test_toxicity_terms(spark):
+    from tests.llm.conftest import prose
+
+    rng, texts, labels = random.Random(5), [], []
+    for i in range(120):
+        words = prose(rng, 40).split() + (["Scoundrel,", "scoundrels!"] if i % 3 == 0 and i % 2 else []) + (["Ünwürdige"] if i % 3 == 0 else [])
+        texts.append(" ".join(words))
+        labels.append(int(i % 3 == 0))
+    texts, labels = [*texts, "", "1 2 3"], [*labels, 0, 0]
+    model = toxicity.fit(texts, labels)
+    plain_words = [["".join(c for c in w if c.isalpha()) for w in t.lower().split()] for t in texts]
+
+    def in_text(term, words):
+        return any(w.startswith(term[:-1]) and len(w) >= len(term) for w in words) if term.endswith("*") else term in words
+
+    wanted, terms = {}, {w for words in plain_words for w in words if w}
+    terms |= {w[:k] + "*" for w in terms for k in range(4, 11) if len(w) > k}
+    n_toxic, n_other = sum(labels), len(labels) - sum(labels)
+    for term in terms:
+        toxic = sum(in_text(term, w) for w, y in zip(plain_words, labels) if y)
+        other = sum(in_text(term, w) for w, y in zip(plain_words, labels) if not y)
+        odds = math.log((toxic + 0.5) / n_toxic / ((other + 0.5) / n_other))
+        if toxic >= max(3, 0.015 * n_toxic) and odds > math.log(6):
+            wanted[term] = odds
+    assert model.terms == pytest.approx(wanted) and {"scoundrel", "scou*", "ünwürdige"} <= set(wanted)
+    for text, words in zip(texts, plain_words):
+        best = [max([v for t, v in wanted.items() if in_text(t, [w])], default=0.0) for w in words if w]
+        hits = [v for v in best if v]
+        plain = [math.log1p(len(hits)), math.sqrt(len(hits) / len(best)), 1.0, max(hits), math.log1p(sum(hits)), 1.0] if hits else [0.0] * 5 + [1.0]
+        assert model.features(text) == pytest.approx(plain)
+        x = [(a - m) / s for a, m, s in zip(plain, model.mean, model.scale)]
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-sum(a * w for a, w in zip(x, model.weights)))))
 
 
 # --- 5 and 10 ---------------------------------------------------------------------------------------------
