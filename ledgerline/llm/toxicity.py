@@ -40,10 +40,11 @@ def _held_terms(texts: list[str], toxic: list[int]) -> list[set[str]]:
     for text, label in zip(texts, toxic):
         if label:
             count.update({t for w in set(_WORD.findall(text.lower())) for t in _terms_of(w)})
-    shared, held = {}, []
+    known, shared, held = {t for t, c in count.items() if c >= 3}, {}, []
+    del count
     for text in texts:
         words = set(_WORD.findall(text.lower()))
-        shared.update((w, [t for t in _terms_of(w) if count[t] >= 3]) for w in words.difference(shared))
+        shared.update((w, tuple(t for t in _terms_of(w) if t in known)) for w in words.difference(shared))
         held.append({t for w in words for t in shared[w]})
     return held
 
