@@ -34,28 +34,38 @@ def _terms_of(word: str) -> list[str]:
     return [word, *(word[:k] + _MARK for k in _BEGINNINGS if len(word) > k)]
 
 
-def _held_terms(texts: list[str], toxic: list[int]) -> list[set[str]]:
-    """The terms of each text that 3 toxic texts hold; no other can be graded."""
-    count = Counter()
-    for text, label in zip(texts, toxic):
-        if label:
-            count.update({t for w in set(_WORD.findall(text.lower())) for t in _terms_of(w)})
-    known, shared, held = {t for t, c in count.items() if c >= 3}, {}, []
-    del count
-    for text in texts:
-        words = set(_WORD.findall(text.lower()))
-        shared.update((w, tuple(t for t in _terms_of(w) if t in known)) for w in words.difference(shared))
-        held.append({t for w in words for t in shared[w]})
-    return held
-
-
-def graded_terms(held: list[set[str]], toxic: list[int], least_share: float, contrast: float) -> dict[str, float]:
+def _held_terms(texts: list[str], toxic: list[int]) -> tuple[list[str], list[np.ndarray]]:
+    """The terms that 3 toxic texts hold, no other can be graded; and the numbers of those that each text holds."""
+    number: dict[str, int] = {}
+    words = [np.array([number.setdefault(w, len(number)) for w in set(_WORD.findall(t.lower()))], dtype=np.int32) for t in texts]
+    names: list[str] = []
+    held: list[list[np.ndarray]] = [[] for _ in texts]
+    # One length at a time, so that only its terms are in memory besides the words.
+    for size in (None, *_BEGINNINGS):
+        made: dict[str, int] = {}
+        of_word = np.array([made.setdefault(w if size is None else w[:size] + _MARK, len(made)) if size is None or len(w) > size else -1 for w in number], dtype=np.int32)
+        found = [np.unique(of_word[w]) for w in words]
+        found = [f[f >= 0] for f in found]
+        count = np.zeros(len(made), dtype=np.int32)
+        for f, label in zip(found, toxic):
+            if label:
+                count[f] += 1
+        known = count >= 3
+        place = np.cumsum(known, dtype=np.int32) - 1 + len(names)
+        names += [t for t, k in zip(made, known) if k]
+        for i, f in enumerate(found):
+            held[i].append(place[f[known[f]]])
+    return names, [np.concatenate(h) for h in held]
+
+
+def graded_terms(names: list[str], held: list[np.ndarray], toxic: list[int], least_share: float, contrast: float) -> dict[str, float]:
     """Term -> log odds ratio, of the terms in ``least_share`` of the toxic texts (and 3) whose ratio exceeds ``contrast``."""
-    seen, n = (Counter(), Counter()), (max(1, len(toxic) - sum(toxic)), max(1, sum(toxic)))
+    seen, n = np.zeros((2, len(names))), (max(1, len(toxic) - sum(toxic)), max(1, sum(toxic)))
     for terms, label in zip(held, toxic):
-        seen[label].update(terms)
-    odds = {t: math.log((c + 0.5) / n[1] * n[0] / (seen[0][t] + 0.5)) for t, c in seen[1].items() if c >= max(3, least_share * n[1])}
-    return {t: v for t, v in odds.items() if v > math.log(contrast)}
+        seen[label, terms] += 1
+    odds = np.log((seen[1] + 0.5) / n[1] * n[0] / (seen[0] + 0.5))
+    graded = (seen[1] >= max(3, least_share * n[1])) & (odds > math.log(contrast))
+    return {names[t]: float(odds[t]) for t in np.flatnonzero(graded)}
 
 
 @dataclass
@@ -107,7 +117,7 @@ def fit(texts: list[str], toxic: list[int], weights: list[float] | None = None,
     model = ToxicityModel(prior=float((y * share).mean()) if len(y) else 0.0)
     if len(y) == 0 or y.min() == y.max():
         return model
-    held = _held_terms(texts, toxic)
+    names, held = _held_terms(texts, toxic)
     # Each class is dealt to the folds in turn, so that every fold has both.
     fold, dealt = [], [0, 0]
     for label in toxic:
@@ -116,11 +126,11 @@ def fit(texts: list[str], toxic: list[int], weights: list[float] | None = None,
     rows: list = [None] * len(texts)
     for k in range(folds):
         others = [i for i, f in enumerate(fold) if f != k]
-        part = ToxicityModel(graded_terms([held[i] for i in others], [toxic[i] for i in others], least_share, contrast))
+        part = ToxicityModel(graded_terms(names, [held[i] for i in others], [toxic[i] for i in others], least_share, contrast))
         for i, f in enumerate(fold):
             if f == k:
                 rows[i] = part.features(texts[i])
-    model.terms = graded_terms(held, toxic, least_share, contrast)
+    model.terms = graded_terms(names, held, toxic, least_share, contrast)
     x = np.array(rows)
     mean = (x * share[:, None]).mean(0)
     scale = np.sqrt(((x - mean) ** 2 * share[:, None]).mean(0)) + 1e-6
