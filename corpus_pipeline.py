@@ -54,7 +54,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Compression lengths, fingerprints and tokens have no SQL form.
+#: The fitted classifier, fingerprints and tokens have no SQL form.
 ORACLE_SQL = None
 
 
