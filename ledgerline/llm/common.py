@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 ARROW_ROWS = 256
 
 
+#: Bits of the smallest bitmap: whole 32-bit words, and room for a few keys.
+_LEAST_BITS = 1024
+
+
 #: Local folders of sessions that name none, by application.
 _LOCAL: dict[str, str] = {}
 
@@ -114,7 +118,7 @@ def keep_least(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -
 def bitmap(keys: DataFrame, most: int = 1 << 26, bits_each: int = 16) -> np.ndarray:
     """Which buckets of the one long column of ``keys`` have rows: a filter of bounded size that may pass too much, never too little."""
     n, key = max(1, keys.count()), keys.columns[0]
-    size = min(most, 1 << (bits_each * n - 1).bit_length())
+    size = max(_LEAST_BITS, min(most, 1 << (bits_each * n - 1).bit_length()))
     buckets = keys.select(F.pmod(key, F.lit(size)).cast("long").alias("b"))
     # Gathered as 32-bit words of the map, so at most size / 32 rows.
     words = buckets.groupBy((F.col("b") / 32).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(b % 32)))").alias("bits")).toPandas()
@@ -126,6 +130,8 @@ def bitmap(keys: DataFrame, most: int = 1 << 26, bits_each: int = 16) -> np.ndar
 def filtered(rows: DataFrame, bits: np.ndarray, wanted: bool = True) -> DataFrame:
     """Rows whose first column's bucket is set (or not) in a ``bitmap``."""
     size = (len(bits) - 1) * 32
+    if size < _LEAST_BITS:
+        raise ValueError("not a bitmap")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

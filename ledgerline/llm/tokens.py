@@ -93,11 +93,13 @@ class CachedEncoder:
             self.__dict__.update(shared)
             return
         self._load()
-        _SHARED[self.path, self.style, self.cache_rows] = {k: v for k, v in self.__dict__.items() if k in ("_full", "_cache", "_code", "dtype")}
+        _SHARED[self.path, self.style, self.cache_rows] = {k: v for k, v in self.__dict__.items() if k in ("_full", "_cache", "_code", "_special", "dtype")}
 
     def _load(self) -> None:
         self._full = Tokenizer.from_file(self.path)
-        self._full.encode_special_tokens = True
+        # Special tokens may stand in a text; such a text is not cut.
+        special = [t.content for t in self._full.get_added_tokens_decoder().values()]
+        self._special = [s.lower() for s in special] if self.style == "word" else special
         # Its own cache would only repeat this one's.
         self._full.model._resize_cache(0)
         self.dtype = np.dtype("<u2" if self._full.get_vocab_size() <= 1 << 16 else "<u4")
@@ -105,9 +107,12 @@ class CachedEncoder:
         self._cache: dict[str, bytes] = {}
 
     def _units(self, text: str) -> list[str] | None:
+        low = text.lower() if self.style == "word" else text
+        if any([special in low for special in self._special]):
+            return None
         if self.style == "word":
             if _is_low(text):
-                text = text.lower()
+                text = low
             return _set_off_punct(text, " ").replace("\n", " ").split(" ")
         if text[0].isspace() or text[-1].isspace() or any([run in text for run in _SPACE_RUNS]) or any([c in text for c in _ODD_SPACES]):
             return None

@@ -18,11 +18,11 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import discard, map_batches, materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms; the mark keeps them apart from whole words.
@@ -147,8 +147,8 @@ def fit(texts: list[str], toxic: list[int], weights: list[float] | None = None,
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", longest: int = 100_000) -> tuple[list[str], list[int], list[float]]:
-    """At most ``per_class`` labelled texts of each class, of up to ``longest`` characters, chosen by hash of the id; and how many labels each stands for.
+def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", longest: int = 100_000, most_chars: int = 16_000_000) -> tuple[list[str], list[int], list[float]]:
+    """At most ``per_class`` labelled texts of each class, of up to ``longest`` characters and ``most_chars`` together, chosen by hash of the id; and how many labels each stands for.
 
     Only these reach the driver.  ``allowed`` is a condition on the label rows.
     Rows with a null id, text or label are not used; of repeated ids one label counts.
@@ -160,7 +160,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_cla
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= longest))
     # The bounded side: 2 * per_class ids.  Of the texts of an id one is collected.
-    rows = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.max("_text").alias("_text")).collect()
+    held = materialize(texts.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.max("_text").alias("_text")), "labelled")
+    # The sums run over the lengths alone, per_class rows of each class.
+    so_far = F.sum("n").over(Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id"))
+    within = held.select("_id", "_label", F.length("_text").alias("n")).withColumn("sum", so_far).where(F.col("sum") <= most_chars).select("_id")
+    rows = held.join(F.broadcast(within), "_id", "left_semi").collect()
+    discard(held)
     rows = sorted((r["_id"], r["_text"], r["_label"]) for r in rows)
     total = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     held = Counter(r[2] for r in rows)

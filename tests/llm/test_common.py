@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from ledgerline.llm.common import discard, fresh_names, materialize, scratch_dir, stretches
+from ledgerline.llm.common import bitmap, discard, filtered, fresh_names, materialize, scratch_dir, stretches
 
 
 class _Unset:
@@ -40,3 +40,14 @@ def test_scratch(spark):
 def test_stretches():
     assert [(s.start, s.stop) for s in stretches([3, 3, 9, 1, 1], 6)] == [(0, 2), (2, 3), (3, 5)]
     assert list(stretches([], 6)) == []
+
+
+@pytest.mark.parametrize("keys", [[], [7], [-3, 7], [1 << 40, -(1 << 62), 0, 5, 6]])
+@pytest.mark.parametrize("most", [1 << 26, 16])
+def test_bitmap(spark, keys, most):
+    """A filter misses none of its keys, passes hardly any other, and its two sides are all rows."""
+    bits = bitmap(spark.createDataFrame([(k,) for k in keys], "k long"), most)
+    rows = spark.createDataFrame([(k,) for k in [*keys, *range(1000, 1500)]], "k long")
+    held, rest = ({r["k"] for r in filtered(rows, bits, wanted).collect()} for wanted in (True, False))
+    assert set(keys) <= held and not held & rest and len(held | rest) == len(keys) + 500
+    assert len(held) <= len(keys) + 20

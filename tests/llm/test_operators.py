@@ -212,6 +212,9 @@ def test_toxicity(spark, docs, empty):
     none = toxicity.fit(["a"], [0])
     assert none.score("anything") == 0.0 and toxicity.fit([], []).score(None) == 0.0
     assert toxicity.labelled_sample(df, labels.limit(0), F.lit(True), 5) == ([], [], [])
+    length = {t: len(t) for _, t, _ in made}
+    some = toxicity.labelled_sample(df, labels, ~held, 100, most_chars=4_000)
+    assert all(2_000 < sum(length[t] for t, y in zip(*some[:2]) if y == label) <= 4_000 for label in (0, 1))
     few = toxicity.fit(*toxicity.labelled_sample(df, labels, ~held, 40))
     assert abs(sum(few.score(m[1]) for m in made) / len(made) - 0.25) < 0.1
     assert toxicity.drop_toxic(empty, model).collect() == []
@@ -260,13 +263,12 @@ FILES = {"word": "word_bpe_49k.json", "byte": "byte_bpe_50k.json"}
 
 def encode_all(style, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(FILES[style]))
-    tokenizer.encode_special_tokens = True
     return [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("style", ["word", "byte"])
 def test_encoder(style, texts):
-    odd = ["it's we'll 'tis don't.", "x_y.z,,w ..", "É. é, ñ!", "a b.c", "<|endoftext|> x.", "«oui».", "…,x", "İstanbul.", "ẞ", "½,x²", " lead", "trail ", "a \n b", " ."]
+    odd = ["it's we'll 'tis don't.", "x_y.z,,w ..", "É. é, ñ!", "a b.c", "<|endoftext|> x.", "hello <|endoftext|> world", "a<|endoftext|>b.<|EndOfText|>", "<|startoftext|>, c", "<|endoftext", "<|endoftext|>", "«oui».", "…,x", "İstanbul.", "ẞ", "½,x²", " lead", "trail ", "a \n b", " ."]
     for rows in (10, 100_000):
         encoder = CachedEncoder(public_tokenizers.path(FILES[style]), style, rows)
         assert [x.tolist() for x in encoder.ids(texts + odd)] == encode_all(style, texts + odd)
@@ -493,6 +495,26 @@ def test_repeated_strings(docs, empty, length, k, chunk, pairwise, crowded, monk
     assert suffixes.remove_repeated(empty, length=length, k=k).count() == 0
 
 
+def test_few_texts_to_change(spark):
+    """One text, or one part of one text, is all there is to remove; also with one key in the filter of texts to change."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    for _ in range(4):
+        p, made = letters(500), [letters(900), letters(700)]
+        texts = [f"{p}{letters(40)}{p}", made[0], made[1] + letters(3)]
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = [tuple(r)[:5] for r in suffixes.remove_repeated(frame).orderBy("doc_id").collect()]
+        assert found == [(i, *x) for i, x in enumerate(plain_removed(texts, 400))] and found[0][2] == 1000
+    # A part of a context is repeated in one other text alone.
+    q = letters(430)
+    texts = [letters(300) + q + letters(300), letters(50) + q + letters(777), letters(800)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [tuple(r)[:5] for r in suffixes.remove_repeated(frame).orderBy("doc_id").collect()] == [(i, *x) for i, x in enumerate(plain_removed(texts, 400))]
+    for n in (401, 300_000):
+        frame = spark.createDataFrame([(0, "a" * n), (1, letters(600))], "doc_id long, text string")
+        assert [tuple(r)[1:4] for r in suffixes.remove_repeated(frame).orderBy("doc_id").collect()] == [(n, n, 1), (600, 0, 0)]
+
+
 def test_anchors_and_classes():
     rng = random.Random(8)
     for _ in range(30):
