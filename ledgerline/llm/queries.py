@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from . import langid
 from .common import id_crc, materialize, scratch_path
 from .huffman import read_ids, write_ids
+from .jaccard import jaccard_groups
+from .negatives import mine_negatives
 from .packing import pack_documents
 from .pii import KINDS, find_personal_data
 from .quality import ablations, apply_policy, ledger
+from .resample import resample
 from .simhash import near_duplicates
 from .suffixes import remove_repeated
 from .tokens import CachedEncoder
@@ -99,6 +102,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), encoder, end_id=1, with_ids=False)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 _LEDGER_SQL = r"""
 words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                  row_number() OVER () AS rid FROM documents),
@@ -171,9 +188,29 @@ SELECT record_id, canonical_url, captured_at, response_id, outcome,
        CASE WHEN outcome = 'resolved' THEN strlen(html) END AS n_bytes FROM g"""
 
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+e AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM g a JOIN g b USING (g) WHERE a.rid <> b.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM e JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+r(rid, near) AS (SELECT rid, rid FROM d UNION SELECT r.rid, l.y FROM r JOIN l ON l.x = r.near),
+c AS (SELECT r.rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.near GROUP BY r.rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)"""
+
+OP12_SQL = """
+WITH q AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+f AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INT AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT * FROM f WHERE rank <= 3"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op6_decontamination, op7_warc_revisits, op8_personal_data, op9_suffix_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_quality_rules, quality_ablations, op4_toxicity, op5_token_files, op6_decontamination, op7_warc_revisits, op8_personal_data, op9_suffix_dedup, op10_packing, op11_jaccard_join, op12_hard_negatives, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "quality_ablations": ABLATIONS_SQL, "op6_decontamination": OP6_SQL, "op7_warc_revisits": OP7_SQL}
+    return {"op3_quality_rules": OP3_SQL, "quality_ablations": ABLATIONS_SQL, "op6_decontamination": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op11_jaccard_join": OP11_SQL, "op12_hard_negatives": OP12_SQL}
