@@ -7,18 +7,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import fresh, named, spelled
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """One row of each key: the first under ``order``.
 
     Ties are settled by the other columns in their order, so the choice does not
-    depend on how rows are dealt to tasks.  Null keys are a key.
+    depend on how rows are dealt to tasks.  Null keys are a key.  Columns may
+    have any names.
     """
+    keys, place = spelled(df, keys), fresh("place", df.columns)
     rest = [f for f in df.schema if f.name not in keys]
     # Maps, and what holds one, have no order.
-    ties = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in rest]
-    window = Window.partitionBy(*keys).orderBy(*order, *ties)
-    return df.withColumn("_place", F.row_number().over(window)).where("_place = 1").drop("_place")
+    ties = [F.to_json(F.struct(named(f.name))) if "map<" in f.dataType.simpleString() else named(f.name) for f in rest]
+    window = Window.partitionBy(*map(named, keys)).orderBy(*order, *(ties or map(named, keys)))
+    return df.withColumn(place, F.row_number().over(window)).where(F.col(place) == 1).drop(place)
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:

@@ -146,6 +146,12 @@ SELECT match_id, competition_code, season_id, season_start_date, match_date, mat
 CASE WHEN is_finished AND h IS NOT NULL AND away_goals IS NOT NULL THEN CASE WHEN h > away_goals THEN 'HOME_WIN' WHEN h < away_goals THEN 'AWAY_WIN' ELSE 'DRAW' END END AS result, CASE WHEN is_finished THEN h + away_goals END AS total_goals FROM g""",
     "feed_scorers": "SELECT 'PL' AS competition_code, 7::BIGINT AS season_id, c_custkey AS player_id, c_name AS player_name, (DATE '1990-01-01' + (c_custkey % 900)::INT)::DATE AS player_date_of_birth, c_custkey % 30 AS team_id, 'Team ' || (c_custkey % 30) AS team_name, (c_custkey % 38)::INT AS played_matches, CASE WHEN c_custkey % 9 <> 0 THEN (c_custkey % 40)::INT ELSE 0 END AS goals, 0 AS assists, 0 AS penalties, DATE '2025-10-01' AS snapshot_date FROM customer WHERE c_custkey % 7 <> 0",
     "lake_schema_growth": f"WITH {_DAILY} SELECT user_id, snapshot_date, CASE WHEN day(snapshot_date) = 15 AND user_id % 2 = 0 THEN 0 ELSE n_events END AS n_events, CASE WHEN day(snapshot_date) BETWEEN 11 AND 20 AND NOT (day(snapshot_date) = 15 AND user_id % 2 = 0) THEN n_events * 2 END AS twice, CASE WHEN day(snapshot_date) > 20 THEN n_events / 2 END AS half FROM daily",
+    "lake_null_capture": f"""WITH {_DAILY}, early AS (SELECT * FROM daily WHERE day(snapshot_date) <= 12), lost AS (SELECT user_id, sum(n_events)::BIGINT AS n_events FROM early GROUP BY user_id)
+SELECT user_id, snapshot_date, CASE WHEN day(snapshot_date) = 5 AND user_id % 2 = 0 THEN -n_events ELSE n_events END AS n_events FROM early
+UNION ALL SELECT user_id, NULL, CASE WHEN user_id % 3 > 0 THEN -n_events ELSE n_events END FROM lost""",
+    "lake_type_growth": f"""WITH {_DAILY} SELECT user_id, snapshot_date, (CASE WHEN day(snapshot_date) = 3 AND user_id % 2 = 0 THEN 0.5 WHEN day(snapshot_date) BETWEEN 9 AND 16 THEN n_events::DOUBLE * 8589934592
+WHEN day(snapshot_date) BETWEEN 17 AND 24 THEN n_events / 8 ELSE n_events END)::DOUBLE AS n_events FROM daily""",
+    "lake_partition_delete": f"""WITH {_DAILY} SELECT * FROM daily WHERE NOT (day(snapshot_date) IN (4, 11) OR (day(snapshot_date) <= 15 AND n_events > 1)) OR (day(snapshot_date) = 4 AND user_id % 3 = 0)""",
     "snapshot_filter": f"WITH {_DAILY} SELECT * FROM daily WHERE snapshot_date = DATE '2024-01-10'",
     "snapshot_delta": f"WITH {_DAILY} SELECT *, n_events - lag(n_events) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS delta FROM daily",
     "running_orders": "WITH d AS (SELECT o_custkey, o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1, 2) SELECT *, (sum(n) OVER (PARTITION BY o_custkey ORDER BY day ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM d",

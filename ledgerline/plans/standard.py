@@ -366,6 +366,40 @@ def lake_schema_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.read("bronze", "daily").select("user_id", "snapshot_date", "n_events", "twice", "half")
 
 
+@query
+def lake_null_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by day, some of whose rows have none: a later load of such rows leaves the earlier ones in place."""
+    lake, keys = _scratch_lake(spark), ["user_id", "snapshot_date"]
+    days = _daily(spark, sf_dir).where("day(snapshot_date) <= 12")
+    lost = days.groupBy("user_id").agg(F.sum("n_events").alias("n_events")).withColumn("snapshot_date", F.lit(None).cast("date"))
+    lake.upsert(days.unionByName(lost.where("user_id % 3 < 2")), "bronze", "daily", keys, partition="snapshot_date")
+    lake.upsert(days.where("day(snapshot_date) = 5 and user_id % 2 = 0").unionByName(lost.where("user_id % 3 > 0")).withColumn("n_events", -F.col("n_events")), "bronze", "daily", keys, partition="snapshot_date")
+    return lake.read("bronze", "daily")
+
+
+@query
+def lake_type_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that comes as int, then as long, then as double, by day, and once more as int."""
+    lake, days, keys, last = _scratch_lake(spark), _daily(spark, sf_dir), ["user_id", "snapshot_date"], F.dayofmonth("snapshot_date")
+    n = F.col("n_events")
+    for part, value in ((last <= 8, n.cast("int")), ((last > 8) & (last <= 16), n * (1 << 33)), ((last > 16) & (last <= 24), n / 8), (last > 24, n.cast("int"))):
+        lake.upsert(days.where(part).withColumn("n_events", value), "bronze", "daily", keys, partition="snapshot_date")
+    lake.upsert(days.where((last == 3) & (F.col("user_id") % 2 == 0)).withColumn("n_events", F.lit(0.5)), "bronze", "daily", keys, partition="snapshot_date")
+    return lake.read("bronze", "daily")
+
+
+@query
+def lake_partition_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole days and single rows deleted from a table by day, a later load, and a new order of the rows."""
+    lake, days, keys = _scratch_lake(spark), _daily(spark, sf_dir), ["user_id", "snapshot_date"]
+    last = F.dayofmonth("snapshot_date")
+    lake.upsert(days, "bronze", "daily", keys, partition="snapshot_date")
+    lake.delete_where("bronze", "daily", last.isin(4, 11) | ((last <= 15) & (F.col("n_events") > 1)))
+    lake.upsert(days.where((last == 4) & (F.col("user_id") % 3 == 0)), "bronze", "daily", keys, partition="snapshot_date")
+    lake.cluster("bronze", "daily", ["user_id"], 4)
+    return lake.read("bronze", "daily")
+
+
 @query
 def snapshot_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir).where(F.col("snapshot_date") == F.to_date(F.lit("2024-01-10")))
