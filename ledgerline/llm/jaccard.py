@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ FREQUENT, VERY_FREQUENT, VERY_SHARE = 16, 256, 500
 CLASSED, LOCAL = 1 << 18, 3
 #: Sets a task remembers, so that copies are stored once, and tokens it counts at once.
 _REMEMBERED, _COUNTED = 200_000, 4_000_000
+#: Longs of the parity bits that stand beside signatures.
+MARK = 4
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -185,44 +188,56 @@ def _signed(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
 
 
 def _sharing(signed: DataFrame) -> DataFrame:
-    """(node, n, parity, keys, leads): the sets with signatures that others have, these signatures, and the least set of each."""
+    """(node, n, parity, mark, keys, leads): the sets with signatures that others have, these signatures, and the least set of each."""
     entries = signed.select("node", F.explode("keys").alias("key"))
     # Counted apart and joined back, so that Spark can split the rows of a hot signature.
-    leads = entries.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("key", "lead")
-    shared = entries.join(leads, "key").groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set("lead").alias("leads"))
-    return materialize(shared.join(signed.select("node", "n", "parity").dropDuplicates(["node"]), "node"), "sharing")
-
-
-def _may_be_similar(a: str, b: str, share: tuple[int, int]) -> Column:
+    several = entries.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
+    shared = materialize(entries.join(several, "key"), "shared")
+    leads = shared.groupBy("key").agg(F.min("node").alias("lead"))
+    keyed = shared.join(leads, "key").groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set("lead").alias("leads"))
+    # Parity bits folded to MARK longs still differ in no more bits than the sets in tokens.
+    fold = lambda i: reduce(lambda a, b: a.bitwiseXOR(b), [F.col("parity")[k] for k in range(i, PARITY, MARK)])
+    marks = F.array(*[fold(i) for i in range(MARK)])
+    made = materialize(keyed.join(signed.select("node", "n", "parity", marks.alias("mark")).dropDuplicates(["node"]), "node"), "sharing")
+    discard(shared)
+    return made
+
+
+def _may_be_similar(a: str, b: str, bits: str, longs: int, share: tuple[int, int]) -> Column:
     """Whether sizes and parity bits, in columns with these prefixes, allow similarity: sets that differ in d tokens have at most d differing bits."""
     p, q = share
-    differ = sum((F.bit_count(F.col(f"{a}parity")[i].bitwiseXOR(F.col(f"{b}parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col(f"{a}parity")[0].bitwiseXOR(F.col(f"{b}parity")[0])))
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{bits}")[i].bitwiseXOR(F.col(f"{b}{bits}")[i])) for i in range(longs)])
     return (F.least(f"{a}n", f"{b}n") * q >= F.greatest(f"{a}n", f"{b}n") * p) & (differ * (p + q) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (q - p))
 
 
+def _side(sharing: DataFrame, name: str, bits: str) -> DataFrame:
+    return sharing.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col(bits).alias(f"{name}_{bits}"))
+
+
 def _lead_pairs(sharing: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b): each set with the least ones of its signatures."""
-    pairs = sharing.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("parity").alias("b_parity"), F.explode("leads").alias("a")).where("a <> b")
-    leads = sharing.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("parity").alias("a_parity"))
-    return pairs.join(leads, "a").where(_may_be_similar("a_", "b_", share)).select("a", "b")
+    pairs = sharing.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("mark").alias("b_mark"), F.explode("leads").alias("a")).where("a <> b")
+    return pairs.join(_side(sharing, "a", "mark"), "a").where(_may_be_similar("a_", "b_", "mark", MARK, share)).select("a", "b")
 
 
 def _rest_pairs(sharing: DataFrame, groups: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b) of sets in different groups that share a signature, each pair at the first that it shares."""
-    named = sharing.join(groups, "node", "left").select("node", "n", "parity", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    named = sharing.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
     # A signature whose sets are all in one group has nothing left to compare.
     mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    kept = named.join(mixed, "key").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("root").alias("root"), F.array_sort(F.collect_set("key")).alias("keys"))
-    left = materialize(kept.select("node", "n", "parity", "root", "keys", F.posexplode("keys").alias("at", "key")).withColumn("before", F.slice("keys", F.lit(1), F.col("at"))).drop("keys", "at"), "left")
+    kept = named.join(mixed, "key").groupBy("node").agg(F.first("root").alias("root"), F.array_sort(F.collect_set("key")).alias("keys")).join(sharing.select("node", "n", "mark"), "node")
+    left = materialize(kept.select("node", "n", "mark", "root", "keys", F.posexplode("keys").alias("at", "key")).withColumn("before", F.slice("keys", F.lit(1), F.col("at"))).drop("keys", "at"), "left")
     other = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & other & _may_be_similar("a.", "b.", share) & ~F.arrays_overlap("a.before", "b.before"))
+    met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & other & _may_be_similar("a.", "b.", "mark", MARK, share) & ~F.arrays_overlap("a.before", "b.before"))
     return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, sharing: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Those of the ``pairs`` (a, b) whose whole sets are similar, each once."""
     p, q = share
-    asked = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "asked")
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = once.join(_side(sharing, "a", "parity"), "a").join(_side(sharing, "b", "parity"), "b").where(_may_be_similar("a_", "b_", "parity", PARITY, share))
+    asked = materialize(near.select("a", "b"), "asked")
     nodes = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stored = filtered(sets.where("tokens is not null").select("node", "tokens"), bitmap(nodes)).join(nodes, "node", "left_semi").dropDuplicates(["node"])
     whole = materialize(stored, "whole")
@@ -253,8 +268,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signed = _signed(sets, share)
     sharing = _sharing(signed)
     discard(signed)
-    links = _verified(_lead_pairs(sharing, share), sets, share)
-    more = _verified(_rest_pairs(sharing, connected_components(links), share), sets, share)
+    links = _verified(_lead_pairs(sharing, share), sharing, sets, share)
+    more = _verified(_rest_pairs(sharing, connected_components(links), share), sharing, sets, share)
     roots = connected_components(links.unionByName(more))
     discard(sharing, links, more)
     least = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -75,6 +75,34 @@ dd AS (SELECT (year(d) * 10000 + month(d) * 100 + day(d))::INT AS date_key, d AS
 
 _DATE = _spine("SELECT least(min(match_date), (SELECT min(make_date(y, 12, 31)) FROM scorers)) AS lo, greatest(max(match_date), (SELECT max(make_date(y, 12, 31)) FROM scorers)) AS hi FROM matchup")
 _CLOCK = "clocks AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'bad' ELSE strftime(ts, '%H:%M:%S.%g') END AS clock, CASE WHEN event_id % 11 <> 0 THEN round(hour(ts) * 3600 + minute(ts) * 60 + millisecond(ts) / 1000, 3) END AS seconds FROM events)"
+def _linkage(rounds: int) -> str:
+    """Rounds of mutual best between two spellings of the matches, written out; as many as the standard tables need and some more."""
+    base = "lower({0}.n_name) || CASE WHEN {1}_team_id >= 25 THEN ' city' ELSE '' END"
+    spelled = "CASE (match_id + {1}) % 4 WHEN 0 THEN replace(upper({0}), 'I', 'Y') WHEN 1 THEN upper({0})[:-2] WHEN 2 THEN 'A.F.C. ' || upper({0}) ELSE upper({0}) END"
+    norm = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    gram = "list_transform(range(1, greatest(len({0}), 1) + 1), lambda i: '{1}:' || substr('#' || {0} || '#', i, 3))"
+    order = "score DESC, l, r"
+    steps = [
+        f"named AS (SELECT match_id, match_date AS day, {base.format('h', 'home')} AS home, {base.format('a', 'away')} AS away FROM matchup JOIN nation h ON h.n_nationkey = home_team_id % 25 JOIN nation a ON a.n_nationkey = away_team_id % 25)",
+        "one AS (SELECT match_id AS id, day, home || ' fc' AS home, away || ' fc' AS away FROM named WHERE match_id % 10 <> 3)",
+        f"two AS (SELECT match_id * 7 + 1 AS id, (day + CASE WHEN match_id % 11 = 0 THEN 1 ELSE 0 END)::DATE AS day, {spelled.format('home', 0)} AS home, {spelled.format('away', 1)} AS away FROM named WHERE match_id % 13 <> 5)",
+    ]
+    for source, side in (("one", "l"), ("two", "r")):
+        steps.append(f"{side}n AS (SELECT id, day, {norm.format('home')} AS home, {norm.format('away')} AS away FROM {source})")
+        steps.append(f"{side}c AS MATERIALIZED (SELECT min(id) AS {side}, day, list_distinct({gram.format('home', 0)} || {gram.format('away', 1)}) AS g, list(id ORDER BY id) AS {side}_ids FROM {side}n GROUP BY day, home, away)")
+    steps.append("near AS (SELECT l, r, l_ids, r_ids, 2::DOUBLE * len(list_intersect(lc.g, rc.g)) / (len(lc.g) + len(rc.g)) AS score FROM lc, (SELECT *, unnest([-1, 0, 1]) AS shift FROM rc) rc WHERE lc.day = rc.day + shift)")
+    steps.append("p0 AS MATERIALIZED (SELECT *, len(l_ids) AS l_n, len(r_ids) AS r_n, 0 AS l_from, 0 AS r_from FROM near WHERE score >= 0.5)")
+    for k in range(1, rounds + 1):
+        steps.append(f"t{k} AS MATERIALIZED (SELECT *, least(l_n, r_n) AS n FROM p{k - 1} QUALIFY row_number() OVER (PARTITION BY l ORDER BY {order}) = 1 AND row_number() OVER (PARTITION BY r ORDER BY {order}) = 1)")
+        steps.append(
+            f"p{k} AS MATERIALIZED (SELECT p.* REPLACE (p.l_n - coalesce(x.n, 0) AS l_n, p.r_n - coalesce(y.n, 0) AS r_n, p.l_from + coalesce(x.n, 0) AS l_from, p.r_from + coalesce(y.n, 0) AS r_from)"
+            f" FROM p{k - 1} p LEFT JOIN t{k} x ON x.l = p.l LEFT JOIN t{k} y ON y.r = p.r WHERE p.l_n > coalesce(x.n, 0) AND p.r_n > coalesce(y.n, 0))"
+        )
+    steps.append("every AS (" + " UNION ALL ".join(f"SELECT l_ids, r_ids, l_from, r_from, score, n FROM t{k}" for k in range(1, rounds + 1)) + ")")
+    steps.append("paired AS (SELECT l_ids[l_from + k] AS left_id, r_ids[r_from + k] AS right_id, score FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM every))")
+    return f"WITH {_MATCHES}, " + ",\n".join(steps) + " SELECT *, left_id * 7 + 1 = right_id AS is_true FROM paired"
+
+
 _DAILY = "daily AS (SELECT user_id, ts::DATE AS snapshot_date, count(*) AS n_events FROM events GROUP BY 1, 2)"
 _PROGRESS = """
 steps AS (SELECT team_key, competition_key, season_key, stage, group_name, matchday, sum(points)::BIGINT AS points, sum(goals_for)::BIGINT AS goals_for, sum(goals_against)::BIGINT AS goals_against
@@ -146,6 +174,7 @@ SELECT match_id, competition_code, season_id, season_start_date, match_date, mat
 CASE WHEN is_finished AND h IS NOT NULL AND away_goals IS NOT NULL THEN CASE WHEN h > away_goals THEN 'HOME_WIN' WHEN h < away_goals THEN 'AWAY_WIN' ELSE 'DRAW' END END AS result, CASE WHEN is_finished THEN h + away_goals END AS total_goals FROM g""",
     "feed_scorers": "SELECT 'PL' AS competition_code, 7::BIGINT AS season_id, c_custkey AS player_id, c_name AS player_name, (DATE '1990-01-01' + (c_custkey % 900)::INT)::DATE AS player_date_of_birth, c_custkey % 30 AS team_id, 'Team ' || (c_custkey % 30) AS team_name, (c_custkey % 38)::INT AS played_matches, CASE WHEN c_custkey % 9 <> 0 THEN (c_custkey % 40)::INT ELSE 0 END AS goals, 0 AS assists, 0 AS penalties, DATE '2025-10-01' AS snapshot_date FROM customer WHERE c_custkey % 7 <> 0",
     "lake_schema_growth": f"WITH {_DAILY} SELECT user_id, snapshot_date, CASE WHEN day(snapshot_date) = 15 AND user_id % 2 = 0 THEN 0 ELSE n_events END AS n_events, CASE WHEN day(snapshot_date) BETWEEN 11 AND 20 AND NOT (day(snapshot_date) = 15 AND user_id % 2 = 0) THEN n_events * 2 END AS twice, CASE WHEN day(snapshot_date) > 20 THEN n_events / 2 END AS half FROM daily",
+    "cross_source_matches": _linkage(12),
     "lake_null_capture": f"""WITH {_DAILY}, early AS (SELECT * FROM daily WHERE day(snapshot_date) <= 12), lost AS (SELECT user_id, sum(n_events)::BIGINT AS n_events FROM early GROUP BY user_id)
 SELECT user_id, snapshot_date, CASE WHEN day(snapshot_date) = 5 AND user_id % 2 = 0 THEN -n_events ELSE n_events END AS n_events FROM early
 UNION ALL SELECT user_id, NULL, CASE WHEN user_id % 3 > 0 THEN -n_events ELSE n_events END FROM lost""",

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import checked_cast, clock_seconds, date_key, has_drift, json_leaf, period_key, period_label, share_of, surrogate_key
 from ..operators.audit import RunLog, roll_up
 from ..operators.dimensions import calendar
+from ..operators.linkage import Source, link_records
 from ..operators.flatten import first_of, flatten, size_or_zero
 from ..operators.quality import CAST_FAILED, NULL_REQUIRED, grain_check, quarantine_summary, quarantined, reference_check, split_required, split_rows
 from ..operators.rows import change_since, latest_per_key, ranked, running_totals, top
 from ..operators.upsert import merge, merge_counts, without
+from ..session import scratch_folder
 from ..sources import key_from_path, read_feed
 from ..sources.lake import Lake, clustered
 from .feeds import FEEDS, FLATTENERS
@@ -298,6 +300,33 @@ def feed_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("competition_code", "season_id", "player_id", "player_name", "player_date_of_birth", "team_id", "team_name", "played_matches", "goals", "assists", "penalties", "snapshot_date")
 
 
+def _spellings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The matches as two providers have them: other ids and spellings, some days later by one, some matches missing on either side."""
+    clubs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.lower("n_name").alias("name"))
+    m = matches(spark, sf_dir).select("match_id", F.col("match_date").alias("day"), "home_team_id", "away_team_id")
+    for side in ("home", "away"):
+        team = F.col(f"{side}_team_id")
+        city = F.when(team >= 25, " city").otherwise("")
+        m = m.join(F.broadcast(clubs), team % 25 == F.col("nation")).withColumn(side, F.concat("name", city)).drop("nation", "name")
+    i = F.col("match_id")
+
+    def respelled(name: str, k: int) -> Column:
+        way, upper = (i + k) % 4, F.upper(name)
+        return F.when(way == 0, F.replace(upper, F.lit("I"), F.lit("Y"))).when(way == 1, F.substring(upper, F.lit(1), F.length(upper) - 1)).when(way == 2, F.concat(F.lit("A.F.C. "), upper)).otherwise(upper)
+
+    left = m.where(i % 10 != 3).select(i.alias("id"), "day", F.concat("home", F.lit(" fc")).alias("home"), F.concat("away", F.lit(" fc")).alias("away"))
+    later = F.date_add("day", F.when(i % 11 == 0, 1).otherwise(0))
+    return left, m.where(i % 13 != 5).select((i * 7 + 1).alias("id"), later.alias("day"), respelled("home", 0).alias("home"), respelled("away", 1).alias("away"))
+
+
+@query
+def cross_source_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which match of one provider is which of the other; is_true says whether both are the same row."""
+    left, right = (Source(rows, "id", "day", ("home", "away")) for rows in _spellings(spark, sf_dir))
+    found = link_records(left, right, tolerance=1, least=0.5)
+    return found.select("left_id", "right_id", "score", (F.col("left_id") * 7 + 1 == F.col("right_id")).alias("is_true"))
+
+
 # --- keys, merges, snapshots ------------------------------------------------------------------------------
 
 
@@ -545,16 +574,8 @@ def star_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch_lake(spark: SparkSession) -> Lake:
-    """A lake of its own in the folder that the cluster shares for such things; a local session that names none gets a new one."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return Lake(spark, f"{folder.rstrip('/')}/lake-{uuid.uuid4().hex}")
+    """A lake of its own in the folder that the cluster shares for such things."""
+    return Lake(spark, scratch_folder(spark, "lake"))
 
 
 @query
