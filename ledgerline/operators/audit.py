@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import traceback
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +24,10 @@ def new_batch(prefix: str = "batch") -> str:
 
 
 class RunLog:
-    """Rows of a run, gathered on the driver and appended at once: a run makes one small file, not one for each step."""
+    """Rows of a run.  ``sink`` gets the row of each step when it ends, so that what a killed run had done is known."""
 
-    def __init__(self, spark: SparkSession, batch_id: str, load_type: str):
-        self.spark, self.batch_id, self.load_type = spark, batch_id, load_type
+    def __init__(self, spark: SparkSession, batch_id: str, load_type: str, sink: Callable[[DataFrame], None] | None = None):
+        self.spark, self.batch_id, self.load_type, self.sink = spark, batch_id, load_type, sink
         self.rows: list[tuple] = []
 
     def step(self, layer: str, table: str) -> Step:
@@ -36,6 +36,11 @@ class RunLog:
     def frame(self) -> DataFrame:
         return self.spark.createDataFrame(self.rows, LOG_SCHEMA)
 
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        if self.sink is not None:
+            self.sink(self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1))
+
 
 class Step:
     """Context of one step; a failure is logged and raised again.  ``metrics`` takes the row counts."""
@@ -52,7 +57,7 @@ class Step:
         ended = datetime.now(timezone.utc)
         text = None if error is None else "".join(traceback.format_exception(kind, error, trace))[-ERROR_CHARS:]
         counts = [self.metrics.get(k) for k in ("read", "inserted", "updated", "quarantined")]
-        self.log.rows.append((self.log.batch_id, self.layer, self.table, self.log.load_type, "FAILED" if error else "SUCCESS", self.began, ended, (ended - self.began).total_seconds(), *counts, text))
+        self.log.add((self.log.batch_id, self.layer, self.table, self.log.load_type, "FAILED" if error else "SUCCESS", self.began, ended, (ended - self.began).total_seconds(), *counts, text))
 
 
 def roll_up(log: DataFrame, *by: str) -> DataFrame:

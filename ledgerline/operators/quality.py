@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 NULL_REQUIRED = "null_required_field"
 CAST_FAILED = "cast_failed_schema_drift"
+BROKEN_FILE = "broken_file"
 
 
 def split_rows(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.audit import RunLog, new_batch, stamped
-from ..operators.quality import CAST_FAILED, NULL_REQUIRED, quarantine_summary, quarantined, require_clean, split_required
-from ..sources import Feed, Lake, read_feed
+from ..operators.quality import BROKEN_FILE, CAST_FAILED, NULL_REQUIRED, quarantine_summary, quarantined, require_clean, split_required
+from ..sources import Feed, Lake, read_marked, split_broken
 from .feeds import FEEDS, FLATTENERS
 from .star import TABLES, Star, agg_home_away, agg_matchday_progress, agg_team_season, validation_report
 from .typed import TYPED, TypedTable
@@ -20,31 +20,50 @@ INCREMENTAL = ("matches", "standings", "scorers", "teams")
 _AGGREGATES = {"agg_team_season": agg_team_season, "agg_home_away": agg_home_away, "agg_matchday_progress": agg_matchday_progress}
 
 
-def load_feed(lake: Lake, feed: Feed, paths: str | list[str], log: RunLog, snapshot_date: str | None = None) -> dict[str, int]:
-    """Files of one feed into its flat table; rows without a required value go to quarantine.
+def load_rows(lake: Lake, feed: Feed, marked: DataFrame, log: RunLog, snapshot_date: str | None = None) -> dict[str, int]:
+    """Rows from ``marked_broken`` into the feed's flat table; broken files and rows without a required value go to quarantine.
 
-    The flattened rows are kept while they are split and merged, so the files are read once.
+    The parsed files are written aside once, and all that follows reads what was
+    written: no file is parsed twice and nothing is cached.  Rows are counted by
+    the writes themselves.
     """
     if feed.snapshot and snapshot_date is None:
         raise ValueError(f"{feed.name} needs a snapshot date")
     with log.step(BRONZE, feed.name) as step:
-        flat = FLATTENERS[feed.name](read_feed(lake.spark, feed, paths))
-        keys = list(TYPED[feed.name].keys)
-        if feed.snapshot:
-            flat = flat.withColumn("snapshot_date", F.to_date(F.lit(snapshot_date)))
-        flat = stamped(flat, log.batch_id, log.load_type).persist()
+        staged, remove = lake.staged(marked, feed.name)
         try:
-            good, bad = split_required(flat, feed.required)
-            step.metrics["read"] = flat.count()
-            step.metrics["quarantined"] = lake.quarantine(quarantined(bad, NULL_REQUIRED, log.batch_id), f"bronze_{feed.name}")
+            records, broken = split_broken(feed, staged)
+            flat = FLATTENERS[feed.name](records)
+            keys = list(TYPED[feed.name].keys)
+            if feed.snapshot:
+                flat = flat.withColumn("snapshot_date", F.to_date(F.lit(snapshot_date)))
+            good, bad = split_required(stamped(flat, log.batch_id, log.load_type), feed.required)
+            files = quarantined(stamped(broken, log.batch_id, log.load_type), BROKEN_FILE, log.batch_id)
+            n_broken = lake.quarantine(files, f"bronze_{feed.name}")
+            n_bad = lake.quarantine(quarantined(bad, NULL_REQUIRED, log.batch_id), f"bronze_{feed.name}")
             newest = [F.col("source_last_updated").desc_nulls_last()] if "source_last_updated" in flat.columns else []
-            made = lake.upsert(good, BRONZE, feed.name, keys, newest, "snapshot_date" if feed.snapshot else None)
+            counts = Observation()
+            good = good.observe(counts, F.count(F.lit(1)).alias("n"))
+            made = lake.upsert(good, BRONZE, feed.name, keys, newest, "snapshot_date" if feed.snapshot else None, batch_id=log.batch_id)
         finally:
-            flat.unpersist()
-        step.metrics |= {k: made[k] for k in ("inserted", "updated")}
+            remove()
+        step.metrics |= {"read": counts.get["n"] + n_bad, "quarantined": n_bad + n_broken} | {k: made[k] for k in ("inserted", "updated")}
     return step.metrics
 
 
+def load_feed(lake: Lake, feed: Feed, paths: str | list[str], log: RunLog, snapshot_date: str | None = None) -> dict[str, int]:
+    """Files of one feed into its flat table, as in ``load_rows``."""
+    return load_rows(lake, feed, read_marked(lake.spark, feed, paths), log, snapshot_date)
+
+
+def is_done(lake: Lake, batch_id: str, layer: str, table: str) -> bool:
+    """Whether the run log has this step of this batch as a success."""
+    if not lake.exists(OPS, "run_log"):
+        return False
+    same = (F.col("batch_id") == batch_id) & (F.col("layer") == layer) & (F.col("target_table") == table) & (F.col("status") == "SUCCESS")
+    return not lake.read(OPS, "run_log").where(same).isEmpty()
+
+
 def build_typed(lake: Lake, table: TypedTable, log: RunLog, snapshot_date: str | None = None) -> dict[str, int]:
     """A flat table into its typed one; drifted rows go to quarantine."""
     with log.step(SILVER, table.source) as step:
@@ -113,16 +132,13 @@ _FACT = ("team_key", "competition_key", "season_key", "venue", "stage", "group_n
 
 
 def run_all(lake: Lake, paths: Mapping[str, str | list[str]], load_type: str = "FULL", snapshot_date: str | None = None, feeds: Sequence[str] | None = None, star: bool = True, validate: bool = True, optimise: bool = False) -> RunLog:
-    """Load the feeds that have paths, type them and build the star under one batch id; the first failure ends the run, and the log is written in any case."""
-    log = RunLog(lake.spark, new_batch(), load_type)
+    """Load the feeds that have paths, type them and build the star under one batch id; the first failure ends the run; the log has each step as it ends."""
+    log = RunLog(lake.spark, new_batch(), load_type, lambda row: lake.append(row, OPS, "run_log"))
     chosen = [f for f in (feeds or (FULL if load_type == "FULL" else INCREMENTAL)) if f in paths]
-    try:
-        for name in chosen:
-            load_feed(lake, FEEDS[name], paths[name], log, snapshot_date)
-        for name in chosen:
-            build_typed(lake, TYPED[name], log, snapshot_date)
-        if star:
-            build_star(lake, log, validate, optimise)
-    finally:
-        lake.append(log.frame(), OPS, "run_log")
+    for name in chosen:
+        load_feed(lake, FEEDS[name], paths[name], log, snapshot_date)
+    for name in chosen:
+        build_typed(lake, TYPED[name], log, snapshot_date)
+    if star:
+        build_star(lake, log, validate, optimise)
     return log

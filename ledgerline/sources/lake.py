@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -220,8 +220,8 @@ class Lake:
         rows = df.select(*[named(own[c.name.lower()]).cast(c.kind).alias(c.parts[-1][0]) for c in grown.columns if c.name.lower() in own])
         rows.write.format(self.fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout.by).save(self.path(layer, name))
 
-    def fit(self, df: DataFrame, layer: str, name: str) -> tuple[DataFrame, DataFrame]:
-        """(rows whose values the table's types or wider ones can take, the rest as they came).
+    def fit(self, df: DataFrame, layer: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+        """(rows whose values the table's types or wider ones can take, the rest as they came, None if all types fit).
 
         Only columns of a type that has nothing in common with the table's are
         cast; a value that does not survive is drift.
@@ -229,7 +229,7 @@ class Lake:
         held = {f.name.lower(): f.dataType for f in self.read(layer, name).schema} if self.exists(layer, name) else {}
         odd = {f.name: held[f.name.lower()] for f in df.schema if f.name.lower() in held and wider(held[f.name.lower()], f.dataType) is None}
         if not odd:
-            return df, df.limit(0)
+            return df, None
         drifted = F.lit(False)
         for c, kind in odd.items():
             drifted = drifted | (named(c).isNotNull() & named(c).try_cast(kind).isNull())
@@ -264,7 +264,8 @@ class Lake:
         found = self.exists(layer, name)
         if found and batch_id is not None:
             df, drifted = self.fit(df, layer, name)
-            self.quarantine(quarantined(drifted, CAST_FAILED, batch_id), f"{layer}_{name}")
+            if drifted is not None:
+                self.quarantine(quarantined(drifted, CAST_FAILED, batch_id), f"{layer}_{name}")
         existing = self.read(layer, name) if found else self.spark.createDataFrame([], df.schema)
         if partition is not None and found:
             existing = self._touched(existing, df, partition)
@@ -307,16 +308,13 @@ class Lake:
         """Set rejected rows aside; rows of the same table, batch and reason replace those of an earlier attempt."""
         if df.isEmpty():
             return 0
-        held = self.read("quarantine", name) if self.exists("quarantine", name) else None
-        if held is not None:
+        counts = Observation()
+        every = df.observe(counts, F.count(F.lit(1)).alias("n"))
+        if self.exists("quarantine", name):
             again = df.select(*keys).distinct()
-            held = held.join(again, list(keys), "left_anti")
-            every = held.unionByName(df, allowMissingColumns=True)
-        else:
-            every = df
-        n = df.count()
+            every = self.read("quarantine", name).join(again, list(keys), "left_anti").unionByName(every, allowMissingColumns=True)
         self.replace(every, "quarantine", name)
-        return n
+        return counts.get["n"]
 
     def cluster(self, layer: str, name: str, by: Sequence[str], files: int) -> None:
         """Rewrite a table ordered by ``by`` over ``files`` files (for each partition, as far as it has the rows), so that readers skip by the files' least and greatest values."""
@@ -326,6 +324,12 @@ class Lake:
         else:
             self.replace_partitions(clustered(rows, all_names(layout.by, by), files), layer, name, layout.by)
 
+    def staged(self, df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+        """``df`` written once to a folder of its own and read back, and a function that removes it."""
+        path = self.path("staging", f"{name}-{uuid.uuid4().hex}")
+        df.write.format(self.fmt).save(path)
+        return self.spark.read.format(self.fmt).schema(df.schema).load(path), lambda: self._delete(path)
+
     def tables(self, layer: str) -> list[str]:
         """Names of the tables of a layer."""
         fs, at = self._fs(f"{self.root.rstrip('/')}/{layer}")

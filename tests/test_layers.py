@@ -13,8 +13,8 @@ from ledgerline.plans.feeds import FEEDS, FLATTENERS
 from ledgerline.plans.layers import build_star, build_typed, load_feed, publish_all, quarantine_of, run_all
 from ledgerline.plans.star import TABLES, validation_report
 from ledgerline.plans.typed import TYPED
-from ledgerline.sources import Lake, key_from_path, raw_text, read_feed
-from ledgerline.streaming import stream_upserts
+from ledgerline.sources import Lake, file_ledger, key_from_path, raw_text, read_feed, read_marked, split_broken
+from ledgerline.streaming import stream_feed, stream_upserts
 
 
 def match(i, home=1, away=2, goals=(2, 1), **more):
@@ -184,3 +184,63 @@ def test_stream(spark, lake, tmp_path):
     write(tmp_path / "in/2.json", {"matches": [match(2, matchday=9), match(3)]})
     start()
     assert {r["match_id"]: r["matchday"] for r in lake.read("bronze", "matches").collect()} == {1: 1, 2: 9, 3: 3}
+
+
+def test_broken_files(spark, lake, tmp_path):
+    """A file that breaks off, one that is no JSON and an empty one beside good ones: none vanishes, and the good ones are loaded."""
+    write(tmp_path / "raw/good.json", {"matches": [match(1), match(2), match(3) | {"id": None}]})
+    write(tmp_path / "raw/odd values.json", {"matches": [match(4, goals=("two", 1))]})
+    write(tmp_path / "raw/none.json", {"matches": []})
+    whole = json.dumps({"matches": [match(5), match(6)]})
+    (tmp_path / "raw/cut.json").write_text(whole[: len(whole) // 2])
+    (tmp_path / "raw/page.json").write_text("<html>busy</html>")
+    (tmp_path / "raw/empty.json").write_text("")
+    feed, paths = FEEDS["matches"], str(tmp_path / "raw/*.json")
+    records, broken = split_broken(feed, read_marked(spark, feed, paths))
+    name = lambda path: path.rpartition("/")[2].replace("%20", " ")
+    ledger = {name(r["source_file"]): (r["n_records"], r["status"]) for r in file_ledger(spark, paths, records, broken).collect()}
+    assert ledger == {"good.json": (1, "read"), "odd values.json": (1, "read"), "none.json": (1, "read"), "cut.json": (0, "broken"), "page.json": (0, "broken"), "empty.json": (0, "empty")}
+    for attempt in range(2):
+        metrics = load_feed(lake, feed, paths, RunLog(spark, f"b{attempt}", "FULL"))
+        assert metrics == {"read": 4, "quarantined": 3, "inserted": 0 if attempt else 3, "updated": 3 if attempt else 0}
+    held = lake.read("quarantine", "bronze_matches").where("batch_id = 'b1'").collect()
+    assert sorted((name(r["source_file"]), r["quarantine_reason"]) for r in held) == [("cut.json", "broken_file"), ("good.json", "null_required_field"), ("page.json", "broken_file")]
+    assert {r["payload"] for r in held if r["payload"]} == {whole[: len(whole) // 2], "<html>busy</html>"}
+    assert lake.tables("staging") == [] and {r["match_id"]: r["full_time_home"] for r in lake.read("bronze", "matches").collect()} == {1: 2, 2: 2, 4: None}
+
+
+def test_log_outlives_a_run(spark, lake, tmp_path):
+    """What was done before a failure is in the log already."""
+    with pytest.raises(ValueError):
+        run_all(lake, {"teams": write(tmp_path / "t.json", teams()), "scorers": write(tmp_path / "s.json", scorers(1))}, feeds=["teams", "scorers"])
+    assert [(r["target_table"], r["status"]) for r in lake.read("ops", "run_log").collect()] == [("teams", "SUCCESS")]
+
+
+def test_stream_of_loads(spark, lake, tmp_path):
+    """A micro-batch that fails after its merge comes again and is recognised; one that failed before is merged; files come once."""
+    write(tmp_path / "in/1.json", {"matches": [match(1), match(2), match(3) | {"id": None}]})
+    (tmp_path / "in/cut.json").write_text('{"matches": [{"id": 7')
+    done = []
+
+    def fail_once(batch_id):
+        done.append(batch_id)
+        if len(done) == 1:
+            raise RuntimeError("killed after the merge")
+
+    start = lambda after=None: stream_feed(lake, FEEDS["matches"], str(tmp_path / "in"), str(tmp_path / "check"), after=after).awaitTermination()
+    with pytest.raises(Exception, match="killed after the merge"):
+        start(fail_once)
+    versions = lake._listed(lake.path("bronze", "matches"), "v-")
+    start(fail_once)
+    assert done[0] == done[1] and lake._listed(lake.path("bronze", "matches"), "v-") == versions
+    log = lake.read("ops", "run_log")
+    assert [(r["batch_id"], r["load_type"], r["rows_read"], r["rows_inserted"], r["rows_quarantined"]) for r in log.collect()] == [(done[0], "STREAM", 3, 2, 2)]
+    write(tmp_path / "in/2.json", {"matches": [match(2, matchday=9), match(4)]})
+    start()
+    rows = {r["match_id"]: (r["matchday"], r["batch_id"], r["source_file"].rpartition("/")[2]) for r in lake.read("bronze", "matches").collect()}
+    assert {k: (v[0], v[2]) for k, v in rows.items()} == {1: (1, "1.json"), 2: (9, "2.json"), 4: (4, "2.json")} and rows[1][1] == done[0] and rows[2][1].endswith("_1")
+    assert {r["quarantine_reason"] for r in lake.read("quarantine", "bronze_matches").collect()} == {"null_required_field", "broken_file"}
+    # Captures are dated by their files.
+    write(tmp_path / "caps/s.json", scorers(5))
+    stream_feed(lake, FEEDS["scorers"], str(tmp_path / "caps"), str(tmp_path / "check2")).awaitTermination()
+    assert lake.read("bronze", "scorers").select("goals", F.col("snapshot_date").isNotNull()).first() == (5, True)
