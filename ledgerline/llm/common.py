@@ -41,15 +41,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/ledgerline-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting to delete the shuffle files of a query when it ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     This cuts the lineage, so a lost executor costs no recomputation of what
-    stands before, and expensive text passes run exactly once.
+    stands before, and expensive text passes run exactly once.  With ``tidy``
+    the shuffle files of the write go when it ends, as nothing reads them again;
+    otherwise they stay until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, name), spark.conf.get(_TIDY, "false")
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     made = spark.read.schema(df.schema).parquet(path)
     made.scratch = path
     return made

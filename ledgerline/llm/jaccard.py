@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,10 @@ MARK = 4
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Tables of this module: their shuffles are large, and of no use once a table is written.
+_kept = partial(materialize, tidy=True)
+
+
 def _levels(share: tuple[int, int]) -> list[int]:
     """Least size of each level: similar sets are on one level or on neighbouring ones."""
     p, q = share
@@ -136,7 +140,7 @@ def token_sets(docs: DataFrame, words: int) -> DataFrame:
             seen.add(node)
         return out
 
-    return materialize(map_batches(docs.select("doc_id", "text"), run, schema), "sets")
+    return _kept(map_batches(docs.select("doc_id", "text"), run, schema), "sets")
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +188,7 @@ def _signed(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(marks, type=longs), pa.array(keys, type=longs)], names=["node", "n", "parity", "keys"])
 
     rows = sets.where("tokens is not null and n >= 4").select("node", "tokens", "n")
-    return materialize(rows.mapInArrow(run, "node long, n long, parity array<long>, keys array<long>"), "signed")
+    return _kept(rows.mapInArrow(run, "node long, n long, parity array<long>, keys array<long>"), "signed")
 
 
 def _sharing(signed: DataFrame) -> DataFrame:
@@ -192,13 +196,13 @@ def _sharing(signed: DataFrame) -> DataFrame:
     entries = signed.select("node", F.explode("keys").alias("key"))
     # Counted apart and joined back, so that Spark can split the rows of a hot signature.
     several = entries.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
-    shared = materialize(entries.join(several, "key"), "shared")
+    shared = _kept(entries.join(several, "key"), "shared")
     leads = shared.groupBy("key").agg(F.min("node").alias("lead"))
     keyed = shared.join(leads, "key").groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set("lead").alias("leads"))
     # Parity bits folded to MARK longs still differ in no more bits than the sets in tokens.
     fold = lambda i: reduce(lambda a, b: a.bitwiseXOR(b), [F.col("parity")[k] for k in range(i, PARITY, MARK)])
     marks = F.array(*[fold(i) for i in range(MARK)])
-    made = materialize(keyed.join(signed.select("node", "n", "parity", marks.alias("mark")).dropDuplicates(["node"]), "node"), "sharing")
+    made = _kept(keyed.join(signed.select("node", "n", "parity", marks.alias("mark")).dropDuplicates(["node"]), "node"), "sharing")
     discard(shared)
     return made
 
@@ -226,7 +230,7 @@ def _rest_pairs(sharing: DataFrame, groups: DataFrame, share: tuple[int, int]) -
     # A signature whose sets are all in one group has nothing left to compare.
     mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
     kept = named.join(mixed, "key").groupBy("node").agg(F.first("root").alias("root"), F.array_sort(F.collect_set("key")).alias("keys")).join(sharing.select("node", "n", "mark"), "node")
-    left = materialize(kept.select("node", "n", "mark", "root", "keys", F.posexplode("keys").alias("at", "key")).withColumn("before", F.slice("keys", F.lit(1), F.col("at"))).drop("keys", "at"), "left")
+    left = _kept(kept.select("node", "n", "mark", "root", "keys", F.posexplode("keys").alias("at", "key")).withColumn("before", F.slice("keys", F.lit(1), F.col("at"))).drop("keys", "at"), "left")
     other = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
     met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & other & _may_be_similar("a.", "b.", "mark", MARK, share) & ~F.arrays_overlap("a.before", "b.before"))
     return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
@@ -237,14 +241,14 @@ def _verified(pairs: DataFrame, sharing: DataFrame, sets: DataFrame, share: tupl
     p, q = share
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = once.join(_side(sharing, "a", "parity"), "a").join(_side(sharing, "b", "parity"), "b").where(_may_be_similar("a_", "b_", "parity", PARITY, share))
-    asked = materialize(near.select("a", "b"), "asked")
+    asked = _kept(near.select("a", "b"), "asked")
     nodes = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stored = filtered(sets.where("tokens is not null").select("node", "tokens"), bitmap(nodes)).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    whole = materialize(stored, "whole")
+    whole = _kept(stored, "whole")
     side = lambda name, k: whole.select(F.col("node").alias(name), F.col("tokens").alias(k))
     # |x & y| / |x | y| >= p / q, in whole numbers.
     similar = F.size(F.array_intersect("x", "y")) * (p + q) >= (F.size("x") + F.size("y")) * p
-    links = materialize(asked.join(side("a", "x"), "a").join(side("b", "y"), "b").where(similar).select("a", "b"), "links")
+    links = _kept(asked.join(side("a", "x"), "a").join(side("b", "y"), "b").where(similar).select("a", "b"), "links")
     discard(asked, whole)
     return links
 

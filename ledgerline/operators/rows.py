@@ -19,8 +19,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] =
     """
     keys, place = spelled(df, keys), fresh("place", df.columns)
     rest = [f for f in df.schema if f.name not in keys]
-    # Maps, and what holds one, have no order.
-    ties = [F.to_json(F.struct(named(f.name))) if "map<" in f.dataType.simpleString() else named(f.name) for f in rest]
+    # Maps and VARIANTs, and what holds one, have no order.
+    ties = [F.to_json(F.struct(named(f.name))) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else named(f.name) for f in rest]
     window = Window.partitionBy(*map(named, keys)).orderBy(*order, *(ties or map(named, keys)))
     return df.withColumn(place, F.row_number().over(window)).where(F.col(place) == 1).drop(place)
 

@@ -103,6 +103,9 @@ def _linkage(rounds: int) -> str:
     return f"WITH {_MATCHES}, " + ",\n".join(steps) + " SELECT *, left_id * 7 + 1 = right_id AS is_true FROM paired"
 
 
+_CAPTURES = """days(k, captured_on) AS (VALUES (0, DATE '2024-05-01'), (1, DATE '2024-05-02'), (2, DATE '2024-05-05'), (3, DATE '2024-05-06')),
+seen AS (SELECT c_custkey AS customer, k, captured_on, CASE WHEN (c_custkey + k) % 5 = 0 THEN c_acctbal + k ELSE c_acctbal END AS balance, CASE WHEN c_custkey % 11 <> k THEN c_mktsegment END AS segment
+         FROM customer CROSS JOIN days WHERE (c_custkey + k) % 9 <> 0)"""
 _DAILY = "daily AS (SELECT user_id, ts::DATE AS snapshot_date, count(*) AS n_events FROM events GROUP BY 1, 2)"
 _PROGRESS = """
 steps AS (SELECT team_key, competition_key, season_key, stage, group_name, matchday, sum(points)::BIGINT AS points, sum(goals_for)::BIGINT AS goals_for, sum(goals_against)::BIGINT AS goals_against
@@ -174,6 +177,33 @@ SELECT match_id, competition_code, season_id, season_start_date, match_date, mat
 CASE WHEN is_finished AND h IS NOT NULL AND away_goals IS NOT NULL THEN CASE WHEN h > away_goals THEN 'HOME_WIN' WHEN h < away_goals THEN 'AWAY_WIN' ELSE 'DRAW' END END AS result, CASE WHEN is_finished THEN h + away_goals END AS total_goals FROM g""",
     "feed_scorers": "SELECT 'PL' AS competition_code, 7::BIGINT AS season_id, c_custkey AS player_id, c_name AS player_name, (DATE '1990-01-01' + (c_custkey % 900)::INT)::DATE AS player_date_of_birth, c_custkey % 30 AS team_id, 'Team ' || (c_custkey % 30) AS team_name, (c_custkey % 38)::INT AS played_matches, CASE WHEN c_custkey % 9 <> 0 THEN (c_custkey % 40)::INT ELSE 0 END AS goals, 0 AS assists, 0 AS penalties, DATE '2025-10-01' AS snapshot_date FROM customer WHERE c_custkey % 7 <> 0",
     "lake_schema_growth": f"WITH {_DAILY} SELECT user_id, snapshot_date, CASE WHEN day(snapshot_date) = 15 AND user_id % 2 = 0 THEN 0 ELSE n_events END AS n_events, CASE WHEN day(snapshot_date) BETWEEN 11 AND 20 AND NOT (day(snapshot_date) = 15 AND user_id % 2 = 0) THEN n_events * 2 END AS twice, CASE WHEN day(snapshot_date) > 20 THEN n_events / 2 END AS half FROM daily",
+    "feed_standings": """WITH c AS (SELECT n_nationkey AS k, n_regionkey AS r, n_name, count(*)::INT AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT 'R' || r AS competition_code, 7::BIGINT AS season_id, 'REGULAR_SEASON' AS stage, kind AS standing_type, grp AS group_name, k AS position, k::BIGINT AS team_id, n_name AS team_name, substr(n_name, 1, 3) AS team_tla, n AS played_games, n % 7 AS won, n % 3 AS draw,
+NULL::INT AS lost, CASE WHEN k % 6 <> 5 THEN n * 3 END AS points, n % 5 - 2 AS goal_difference, DATE '2025-10-01' AS snapshot_date FROM c, (VALUES ('TOTAL', 'NONE'), ('HOME', 'A')) p(kind, grp) WHERE k % 8 <> 7 AND (kind = 'TOTAL' OR r % 2 = 1)""",
+    "feed_teams": """SELECT 'N' || s_nationkey AS competition_code, 7::BIGINT AS season_id, s_suppkey AS team_id, s_name AS team_name, substr(s_name, 1, 4) AS team_short_name, CASE WHEN s_suppkey % 5 <> 4 THEN (1900 + s_suppkey % 100)::INT END AS founded, s_name || ' ground' AS venue,
+'Area' AS area_name, CASE WHEN s_suppkey % 3 = 0 THEN 'C. Oach' END AS coach_name, CASE WHEN s_suppkey % 4 <> 3 THEN (s_suppkey % 4 + 1)::INT END AS squad_size FROM supplier WHERE s_suppkey % 11 <> 10""",
+    "feed_event_matches": f"""WITH {_MATCHES} SELECT match_id, match_date, '15:00' AS kick_off, competition_id, competition_name, 'X' AS country_name, season_id, home_team_id, 'Team ' || home_team_id AS home_team_name, away_team_id, 'Team ' || away_team_id AS away_team_name,
+CASE WHEN match_id % 19 <> 0 THEN home_goals END AS home_goals, away_goals, stage AS competition_stage, NULL::VARCHAR AS stadium_name FROM matchup WHERE match_id % 17 <> 0 AND match_id % 13 <> 0""",
+    "feed_events": """WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'Shot' WHEN 'click' THEN 'Pass' ELSE upper(event_type[1]) || event_type[2:] END AS kind FROM events WHERE event_id % 11 <> 0)
+SELECT event_id::VARCHAR AS event_id, user_id % 50 AS match_id, round((epoch_us(ts) // 1000 % 86400000) / 1000, 3) AS event_seconds, kind AS event_type, CASE WHEN event_id % 5 < 4 THEN value END AS location_x, CASE WHEN event_id % 5 BETWEEN 1 AND 3 THEN value + 1 END AS location_y,
+event_id % 7 = 0 AS under_pressure, CASE WHEN kind = 'Pass' THEN value END AS pass_length, kind = 'Pass' AND event_id % 2 = 0 AS pass_is_cross, CASE WHEN kind = 'Shot' THEN value END AS shot_xg, CASE WHEN kind = 'Shot' THEN if(value > 50, 'Goal', 'Saved') END AS shot_outcome,
+kind = 'Shot' AS is_shot, kind = 'Shot' AND value > 50 AS is_goal, kind = 'Pass' AND event_id % 3 <> 0 AS is_completed_pass FROM e""",
+    "feed_lineups": """SELECT conv_id % 40 AS match_id, (CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END)::BIGINT AS team_id, 'T' || CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS team_name, conv_id * 1000 + turn AS player_id,
+'P' || (conv_id * 1000 + turn) AS player_name, (turn % 30)::INT AS jersey_number, (turn % 3)::INT AS card_count FROM conversations WHERE (conv_id * 1000 + turn) % 9 <> 4""",
+    "feed_file_ledger": """SELECT o_orderkey % 60 AS number, CASE WHEN o_orderkey % 60 % 7 = 3 OR o_orderkey % 60 % 11 = 5 THEN 0 ELSE 1 END::BIGINT AS n_records, CASE WHEN o_orderkey % 60 % 7 = 3 OR o_orderkey % 60 % 11 = 5 THEN 0 ELSE count(*) END AS n_rows,
+CASE WHEN o_orderkey % 60 % 7 = 3 THEN 'broken' WHEN o_orderkey % 60 % 11 = 5 THEN 'empty' ELSE 'read' END AS status FROM orders GROUP BY o_orderkey % 60""",
+    "payload_undeclared": """WITH o AS (SELECT *, o_orderkey % 7 = 0 AND o_orderkey % 3 <> 0 AS odd FROM orders WHERE o_orderkey % 29 <> 0 OR (o_orderkey % 3 = 0 AND o_orderkey % 7 = 0))
+SELECT 'buyer' AS field, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS n_rows, 'OBJECT<key: BIGINT>' AS kind FROM o UNION ALL SELECT 'it''s rank', count(*), 'BIGINT' FROM o
+UNION ALL SELECT 'total', count(*) FILTER (WHERE odd OR o_orderkey % 7 <> 0), 'VARIANT' FROM o""",
+    "payload_replay": """WITH o AS (SELECT *, o_orderkey % 29 = 0 AND NOT (o_orderkey % 3 = 0 AND o_orderkey % 7 = 0) AS bad FROM orders)
+SELECT o_orderkey AS row, CASE WHEN NOT bad THEN o_orderkey END AS id, CASE WHEN NOT bad THEN o_orderstatus END AS status, CASE WHEN NOT bad THEN substr(o_orderpriority, 1, 1)::INT END AS rank, CASE WHEN NOT bad AND o_orderkey % 7 <> 0 THEN o_totalprice END AS total,
+CASE WHEN NOT bad AND o_orderkey % 3 = 0 THEN o_custkey END AS buyer_key, NOT bad AND o_orderkey % 7 = 0 AND o_orderkey % 3 <> 0 AS is_drift FROM o""",
+    "customer_change_feed": f"""WITH {_CAPTURES} SELECT coalesce(n.captured_on, o.next_on) AS captured, coalesce(n.customer, o.customer) AS customer, CASE WHEN o.customer IS NULL THEN 'inserted' WHEN n.customer IS NULL THEN 'deleted' ELSE 'changed' END AS change,
+CASE WHEN o.customer IS NULL OR n.customer IS NULL THEN '' ELSE concat_ws(',', CASE WHEN o.balance IS DISTINCT FROM n.balance THEN 'balance' END, CASE WHEN o.segment IS DISTINCT FROM n.segment THEN 'segment' END) END AS changed,
+CASE WHEN coalesce(n.k, o.k + 1) = 2 THEN 3 ELSE 1 END::INT AS days, o.balance AS old_balance, n.balance AS new_balance, o.segment AS old_segment, n.segment AS new_segment
+FROM (SELECT * FROM seen WHERE k > 0) n FULL JOIN (SELECT *, captured_on + CASE WHEN k = 1 THEN 3 ELSE 1 END AS next_on FROM seen WHERE k < 3) o ON o.customer = n.customer AND o.k + 1 = n.k
+WHERE o.customer IS NULL OR n.customer IS NULL OR o.balance IS DISTINCT FROM n.balance OR o.segment IS DISTINCT FROM n.segment""",
+    "customer_capture_gaps": "SELECT DATE '2024-05-05' AS captured, DATE '2024-05-02' AS before, 3::INT AS days WHERE (SELECT count(*) FROM customer) > 0",
     "cross_source_matches": _linkage(12),
     "lake_null_capture": f"""WITH {_DAILY}, early AS (SELECT * FROM daily WHERE day(snapshot_date) <= 12), lost AS (SELECT user_id, sum(n_events)::BIGINT AS n_events FROM early GROUP BY user_id)
 SELECT user_id, snapshot_date, CASE WHEN day(snapshot_date) = 5 AND user_id % 2 = 0 THEN -n_events ELSE n_events END AS n_events FROM early

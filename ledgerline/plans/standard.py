@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checked_cast, clock_seconds, date_key, has_drift, json_leaf, period_key, period_label, share_of, surrogate_key
 from ..operators.audit import RunLog, roll_up
+from ..operators.changes import capture_gaps, change_feed
 from ..operators.dimensions import calendar
 from ..operators.linkage import Source, link_records
 from ..operators.flatten import first_of, flatten, size_or_zero
@@ -16,8 +17,9 @@ from ..operators.quality import CAST_FAILED, NULL_REQUIRED, grain_check, quarant
 from ..operators.rows import change_since, latest_per_key, ranked, running_totals, top
 from ..operators.upsert import merge, merge_counts, without
 from ..session import scratch_folder
-from ..sources import key_from_path, read_feed
+from ..sources import file_ledger, key_from_path, read_feed, read_marked, split_broken
 from ..sources.lake import Lake, clustered
+from ..sources.payload import replayed, undeclared, with_payload
 from .feeds import FEEDS, FLATTENERS
 from .star import TABLES, Star, agg_home_away, agg_matchday_progress, agg_team_season, validation_report
 from .typed import TYPED
@@ -300,6 +302,175 @@ def feed_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("competition_code", "season_id", "player_id", "player_name", "player_date_of_birth", "team_id", "team_name", "played_matches", "goals", "assists", "penalties", "snapshot_date")
 
 
+def _document_files(spark: SparkSession, docs: DataFrame) -> str:
+    """Write each (number, value) as a file <number>.json; returns what matches them.  There are few, and the driver only names them."""
+    lake = _scratch_lake(spark)
+    path = lake.path("raw", "written")
+    spelled = docs.select("number", F.replace("value", F.lit(f":{_TWO}"), F.lit(':"two"')).alias("value"))
+    spelled.repartition("number").write.partitionBy("number").text(path)
+    for folder in lake._listed(path, "number="):
+        (part,) = lake._listed(f"{path}/{folder}", "part-")
+        lake._rename(f"{path}/{folder}/{part}", f"{lake.path('raw', folder.partition('=')[2])}.json")
+    return f"{lake.root}/raw/*.json"
+
+
+def _listed(rows: DataFrame, number: Column, row: Column) -> DataFrame:
+    """(number, value): rows of each number as a JSON array."""
+    return rows.groupBy(number.alias("number")).agg(F.to_json(F.collect_list(row)).alias("value"))
+
+
+def _headed(rows: DataFrame, number: Column, code: Column, lists: Column) -> DataFrame:
+    """(number, value): one document for each number, with competition and season; ``lists`` makes its other fields, a struct, of the list ``rows``."""
+    grouped = rows.groupBy(number.alias("number"), code.alias("code")).agg(F.collect_list("row").alias("rows"))
+    head = F.struct(F.struct(F.col("number").cast("long").alias("id"), "code").alias("competition"), F.struct(F.lit(7).alias("id")).alias("season"), lists.alias("rest"))
+    whole = F.to_json(head, {"ignoreNullFields": "false"})
+    # The struct's fields stand beside the head's.
+    return grouped.select("number", F.regexp_replace(F.regexp_replace(whole, '"rest":\\{', ""), "\\}$", "").alias("value"))
+
+
+@query
+def feed_standings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standing files of one capture: a table of all matches and one of home matches, which some lack; teams without an id and points that are spelled out."""
+    members = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").cast("int").alias("n"))
+    c = table(spark, sf_dir, "nation").join(members, "n_nationkey")
+    key, n = F.col("n_nationkey").cast("int"), F.col("n")
+    team = F.struct(F.when(key % 8 != 7, key).alias("id"), F.col("n_name").alias("name"), F.substring("n_name", 1, 3).alias("tla"))
+    line = F.struct(key.alias("position"), team.alias("team"), n.alias("playedGames"), (n % 7).alias("won"), (n % 3).alias("draw"), F.when(key % 6 == 5, _TWO).otherwise(n * 3).alias("points"), (n % 5 - 2).alias("goalDifference"))
+    part = lambda kind, group, rows: F.struct(F.lit("REGULAR_SEASON").alias("stage"), F.lit(kind).alias("type"), F.lit(group).cast("string").alias("group"), rows.alias("table"))
+    lists = F.struct(F.array(part("TOTAL", None, F.col("rows")), part("HOME", "A", F.when(F.col("number") % 2 == 1, F.col("rows")))).alias("standings"))
+    docs = _headed(c.select("n_regionkey", line.alias("row")), F.col("n_regionkey"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), lists)
+    found = _typed_feed(spark, "standings", _document_files(spark, docs), snapshot_date=F.to_date(F.lit("2025-10-01")))
+    return found.select("competition_code", "season_id", "stage", "standing_type", "group_name", "position", "team_id", "team_name", "team_tla", "played_games", "won", "draw", "lost", "points", "goal_difference", "snapshot_date")
+
+
+@query
+def feed_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Team files with missing ids and squads of several sizes."""
+    c = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    squad = F.transform(F.sequence(F.lit(1).cast("long"), key % 4 + 1), lambda i: F.struct(i.alias("id"), F.lit("P").alias("name")))
+    row = F.struct(
+        F.when(key % 11 != 10, key).alias("id"), F.col("s_name").alias("name"), F.substring("s_name", 1, 4).alias("shortName"), F.when(key % 5 == 4, _TWO).otherwise((1900 + key % 100).cast("int")).alias("founded"),
+        F.concat(F.col("s_name"), F.lit(" ground")).alias("venue"), F.struct(F.lit("Area").alias("name")).alias("area"), F.struct(F.when(key % 3 == 0, "C. Oach").alias("name")).alias("coach"), F.when(key % 4 != 3, squad).alias("squad"),
+    )
+    docs = _headed(c.select("s_nationkey", row.alias("row")), F.col("s_nationkey"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")), F.struct(F.col("rows").alias("teams")))
+    found = _typed_feed(spark, "teams", _document_files(spark, docs))
+    return found.select("competition_code", "season_id", "team_id", "team_name", "team_short_name", "founded", "venue", "area_name", "coach_name", "squad_size")
+
+
+@query
+def feed_event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are lists of matches, with missing ids, broken dates and scores that are spelled out."""
+    m = matches(spark, sf_dir)
+    i = F.col("match_id")
+    row = F.struct(
+        F.when(i % 17 != 0, i).alias("match_id"), F.when(i % 13 == 0, "soon").otherwise(F.date_format("match_date", "yyyy-MM-dd")).alias("match_date"), F.lit("15:00").alias("kick_off"), F.when(i % 19 == 0, _TWO).otherwise(F.col("home_goals")).alias("home_score"),
+        F.col("away_goals").alias("away_score"), F.struct(F.col("competition_id"), F.col("competition_name"), F.lit("X").alias("country_name")).alias("competition"), F.struct("season_id").alias("season"),
+        F.struct("home_team_id", "home_team_name").alias("home_team"), F.struct("away_team_id", "away_team_name").alias("away_team"), F.struct(F.col("stage").alias("name")).alias("competition_stage"),
+    )
+    found = _typed_feed(spark, "event_matches", _document_files(spark, _listed(m, F.pmod(F.xxhash64("match_id"), F.lit(40)), row)))
+    return found.select("match_id", "match_date", "kick_off", "competition_id", "competition_name", "country_name", "season_id", "home_team_id", "home_team_name", "away_team_id", "away_team_name", "home_goals", "away_goals", "competition_stage", "stadium_name")
+
+
+@query
+def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event files named by their match, with broken clocks, short coordinates, and details that only some kinds have."""
+    e, i, value = _clock(spark, sf_dir), F.col("event_id"), F.col("value")
+    kind = F.when(F.col("event_type") == "purchase", "Shot").when(F.col("event_type") == "click", "Pass").otherwise(F.initcap("event_type"))
+    shot = F.when(kind == "Shot", F.struct(value.alias("statsbomb_xg"), F.struct(F.when(value > 50, "Goal").otherwise("Saved").alias("name")).alias("outcome")))
+    passed = F.when(kind == "Pass", F.struct(value.alias("length"), F.when(i % 3 == 0, F.struct(F.lit("Incomplete").alias("name"))).alias("outcome"), F.when(i % 2 == 0, True).alias("cross")))
+    place = F.when(i % 5 == 0, F.array(value)).when(i % 5 < 4, F.array(value, value + 1))
+    row = F.struct(i.cast("string").alias("id"), F.col("clock").alias("timestamp"), F.struct(kind.alias("name")).alias("type"), place.alias("location"), F.when(i % 7 == 0, True).alias("under_pressure"), shot.alias("shot"), passed.alias("pass"))
+    found = _typed_feed(spark, "events", _document_files(spark, _listed(e, F.col("user_id") % 50, row)))
+    seconds = F.round("event_seconds", 3).alias("event_seconds")
+    return found.select("event_id", "match_id", seconds, "event_type", "location_x", "location_y", "under_pressure", "pass_length", "pass_is_cross", "shot_xg", "shot_outcome", "is_shot", "is_goal", "is_completed_pass")
+
+
+@query
+def feed_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-up files named by their match: players in lists of their teams, some without an id, and their cards."""
+    t = table(spark, sf_dir, "conversations")
+    player, turn = F.col("conv_id") * 1_000 + F.col("turn"), F.col("turn")
+    cards = F.transform(F.sequence(F.lit(1).cast("long"), turn % 3), lambda i: F.struct(F.lit("Yellow").alias("card_type"), i.alias("period")))
+    member = F.struct(F.when(player % 9 != 4, player).alias("player_id"), F.concat(F.lit("P"), player.cast("string")).alias("player_name"), (turn % 30).cast("int").alias("jersey_number"), F.when(turn % 3 > 0, cards).alias("cards"))
+    number, team = F.col("conv_id") % 40, F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    teams_ = t.groupBy(number.alias("number"), team.alias("team_id")).agg(F.collect_list(member).alias("lineup"))
+    row = F.struct("team_id", F.concat(F.lit("T"), F.col("team_id").cast("string")).alias("team_name"), "lineup")
+    found = _typed_feed(spark, "lineups", _document_files(spark, _listed(teams_, F.col("number"), row)))
+    return found.select("match_id", "team_id", "team_name", "player_id", "player_name", "jersey_number", "card_count")
+
+
+@query
+def feed_file_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by file, of files some of which break off or are empty: (file number, records, rows, status)."""
+    m = matches(spark, sf_dir)
+    row = F.struct(F.col("match_id").alias("id"), F.col("match_status").alias("status"))
+    lists = m.groupBy((F.col("match_id") % 60).alias("number")).agg(F.to_json(F.struct(F.collect_list(row).alias("matches"))).alias("value"))
+    number, value = F.col("number"), F.col("value")
+    spoilt = F.when(number % 7 == 3, F.substring(value, F.lit(1), F.length(value) - 20)).when(number % 11 == 5, "").otherwise(value)
+    paths = _document_files(spark, lists.select("number", spoilt.alias("value")))
+    # One pass over the files: what it gives is written, and read from there on.
+    marked, _ = _scratch_lake(spark).staged(read_marked(spark, FEEDS["matches"], paths), "matches")
+    records, broken = split_broken(FEEDS["matches"], marked)
+    rows = FLATTENERS["matches"](records).groupBy(key_from_path(F.col("source_file")).alias("number")).agg(F.count("*").alias("n_rows"))
+    files = file_ledger(spark, paths, records, broken).withColumn("number", key_from_path(F.col("source_file")))
+    return files.join(rows, "number", "left").select("number", "n_records", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), "status")
+
+
+#: What the first schema of the documents takes; all else is known from the payload alone.
+_DECLARED = {"id": "bigint", "status": "string"}
+
+
+def _documents_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents of which the schema takes two fields, merged into a table that keeps the whole; some have fields that others lack, and some are no JSON."""
+    o, i = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    buyer = F.when(i % 3 == 0, F.struct(F.col("o_custkey").alias("key")))
+    total = F.when(i % 7 != 0, F.col("o_totalprice"))
+    made = F.to_json(F.struct(i.alias("id"), F.col("o_orderstatus").alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("it's rank"), total.alias("total"), buyer.alias("buyer")))
+    text = F.when(i % 29 == 0, F.concat(F.lit("<"), made)).when(i % 7 == 0, F.replace(made, F.lit("}"), F.lit(',"total":"unknown"}'))).otherwise(made)
+    text = F.when((i % 3 == 0) & (i % 7 == 0), made).otherwise(text)
+    lake = _scratch_lake(spark)
+    docs = o.select(i.alias("row"), text.alias("body"))
+    lake.upsert(with_payload(docs, "body", _DECLARED), "bronze", "documents", ["row"])
+    lake.upsert(with_payload(docs.where("row % 5 = 0"), "body", _DECLARED), "bronze", "documents", ["row"])
+    return lake.read("bronze", "documents")
+
+
+@query
+def payload_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of stored documents that the schema does not take, with the type that takes all their values."""
+    return undeclared(_documents_kept(spark, sf_dir), list(_DECLARED))
+
+
+@query
+def payload_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later schema filled from the stored documents; is_drift where a value does not fit it."""
+    kept = _documents_kept(spark, sf_dir)
+    rows, drifted = replayed(kept.withColumn("seen", F.lit(True)), {"it's rank": "int", "total": "double", "buyer": "struct<key: bigint>"})
+    return rows.withColumn("is_drift", drifted).select("row", "id", "status", F.col("it's rank").alias("rank"), "total", F.col("buyer.key").alias("buyer_key"), "is_drift")
+
+
+def _customer_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as four captures saw them, the third of which comes two days late: some come and go, balances and segments change."""
+    days = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.to_date(F.lit(d)).alias("captured_on")) for k, d in enumerate(("2024-05-01", "2024-05-02", "2024-05-05", "2024-05-06"))]))
+    c = table(spark, sf_dir, "customer").select("*", days.alias("c")).select("*", "c.*")
+    i, k = F.col("c_custkey"), F.col("k")
+    seen = c.where((i + k) % 9 != 0)
+    balance = F.when((i + k) % 5 == 0, F.col("c_acctbal") + k).otherwise(F.col("c_acctbal"))
+    return seen.select(i.alias("customer"), "captured_on", balance.alias("balance"), F.when(i % 11 != k, F.col("c_mktsegment")).alias("segment"), k.alias("load"))
+
+
+@query
+def customer_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = change_feed(_customer_captures(spark, sf_dir), ["customer"], "captured_on", ignore=["load"])
+    return feed.select("captured", "customer", "change", F.array_join("changed", ",").alias("changed"), "days", F.col("old.balance").alias("old_balance"), F.col("new.balance").alias("new_balance"), F.col("old.segment").alias("old_segment"), F.col("new.segment").alias("new_segment"))
+
+
+@query
+def customer_capture_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_gaps(_customer_captures(spark, sf_dir), "captured_on")
+
+
 def _spellings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The matches as two providers have them: other ids and spellings, some days later by one, some matches missing on either side."""
     clubs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.lower("n_name").alias("name"))
