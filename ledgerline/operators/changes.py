@@ -18,6 +18,18 @@ def captures_of(df: DataFrame, capture: str) -> DataFrame:
     return found.withColumn("before", F.lag("captured").over(order)).withColumn("days", F.date_diff("captured", "before").cast("int"))
 
 
+def latest_capture(df: DataFrame, capture: str, condition: Column | None = None) -> DataFrame:
+    """The rows of the last capture (of those with a row for which ``condition`` holds).
+
+    The capture is a scalar subquery.  Spark runs it first and then reads only
+    that partition, if the table is partitioned by the capture; the subquery
+    itself reads no data but what the condition needs.
+    """
+    (own,) = spelled(df, [capture])
+    asked = df if condition is None else df.where(condition)
+    return df.where(named(own) == asked.agg(F.max(named(own))).scalar())
+
+
 def capture_gaps(df: DataFrame, capture: str, step: int = 1) -> DataFrame:
     """(captured, before, days) of captures that come more than ``step`` days after the one before."""
     return captures_of(df, capture).where(F.col("days") > step)

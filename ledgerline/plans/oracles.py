@@ -168,6 +168,7 @@ t AS (SELECT *, CASE WHEN a IS NULL THEN 'Unknown' WHEN year(a) = year(a + INTER
 SELECT o_orderkey, {_sk('p')} AS priority_key, coalesce((year(d) * 10000 + month(d) * 100 + day(d))::INT, -1) AS day_key, label, {_sk("nullif(label, 'Unknown')")} AS label_key FROM t""",
     "latest_row_per_key": "WITH l AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2, 3, 4) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC) = 1",
     "upsert_final_state": "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 10 >= 4 THEN round(c_acctbal + 1, 2) ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer",
+    "upsert_bucketed": "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 10 >= 4 THEN round(c_acctbal + 1, 2) ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer",
     "upsert_counts": "SELECT count(*) FILTER (WHERE c_custkey % 10 >= 6) AS inserted, count(*) FILTER (WHERE c_custkey % 10 IN (4, 5)) AS updated, count(*) FILTER (WHERE c_custkey % 10 < 4) AS kept FROM customer",
     "upsert_schema_growth": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 <> 1 THEN s_nationkey END AS s_nationkey FROM supplier",
     "delete_where": "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE NOT (s_suppkey % 7 <> 0 AND s_acctbal < 0)",
@@ -204,6 +205,8 @@ CASE WHEN coalesce(n.k, o.k + 1) = 2 THEN 3 ELSE 1 END::INT AS days, o.balance A
 FROM (SELECT * FROM seen WHERE k > 0) n FULL JOIN (SELECT *, captured_on + CASE WHEN k = 1 THEN 3 ELSE 1 END AS next_on FROM seen WHERE k < 3) o ON o.customer = n.customer AND o.k + 1 = n.k
 WHERE o.customer IS NULL OR n.customer IS NULL OR o.balance IS DISTINCT FROM n.balance OR o.segment IS DISTINCT FROM n.segment""",
     "customer_capture_gaps": "SELECT DATE '2024-05-05' AS captured, DATE '2024-05-02' AS before, 3::INT AS days WHERE (SELECT count(*) FROM customer) > 0",
+    "interleaved_layout": """SELECT 'l_shipdate' AS column, count(*) FILTER (WHERE l_shipdate::DATE BETWEEN DATE '1995-03-01' AND DATE '1995-03-31') AS n_rows, true AS skips_half FROM lineitem
+UNION ALL SELECT 'l_quantity', count(*) FILTER (WHERE l_quantity BETWEEN 7 AND 8), true FROM lineitem""",
     "cross_source_matches": _linkage(12),
     "lake_null_capture": f"""WITH {_DAILY}, early AS (SELECT * FROM daily WHERE day(snapshot_date) <= 12), lost AS (SELECT user_id, sum(n_events)::BIGINT AS n_events FROM early GROUP BY user_id)
 SELECT user_id, snapshot_date, CASE WHEN day(snapshot_date) = 5 AND user_id % 2 = 0 THEN -n_events ELSE n_events END AS n_events FROM early
@@ -211,6 +214,7 @@ UNION ALL SELECT user_id, NULL, CASE WHEN user_id % 3 > 0 THEN -n_events ELSE n_
     "lake_type_growth": f"""WITH {_DAILY} SELECT user_id, snapshot_date, (CASE WHEN day(snapshot_date) = 3 AND user_id % 2 = 0 THEN 0.5 WHEN day(snapshot_date) BETWEEN 9 AND 16 THEN n_events::DOUBLE * 8589934592
 WHEN day(snapshot_date) BETWEEN 17 AND 24 THEN n_events / 8 ELSE n_events END)::DOUBLE AS n_events FROM daily""",
     "lake_partition_delete": f"""WITH {_DAILY} SELECT * FROM daily WHERE NOT (day(snapshot_date) IN (4, 11) OR (day(snapshot_date) <= 15 AND n_events > 1)) OR (day(snapshot_date) = 4 AND user_id % 3 = 0)""",
+    "snapshot_latest": f"WITH {_DAILY} SELECT * FROM daily WHERE snapshot_date = (SELECT max(snapshot_date) FROM daily WHERE n_events > 1)",
     "snapshot_filter": f"WITH {_DAILY} SELECT * FROM daily WHERE snapshot_date = DATE '2024-01-10'",
     "snapshot_delta": f"WITH {_DAILY} SELECT *, n_events - lag(n_events) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS delta FROM daily",
     "running_orders": "WITH d AS (SELECT o_custkey, o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1, 2) SELECT *, (sum(n) OVER (PARTITION BY o_custkey ORDER BY day ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM d",

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checked_cast, clock_seconds, date_key, has_drift, json_leaf, period_key, period_label, share_of, surrogate_key
 from ..operators.audit import RunLog, roll_up
-from ..operators.changes import capture_gaps, change_feed
+from ..operators.changes import capture_gaps, change_feed, latest_capture
 from ..operators.dimensions import calendar
 from ..operators.linkage import Source, link_records
 from ..operators.flatten import first_of, flatten, size_or_zero
@@ -18,7 +19,9 @@ from ..operators.rows import change_since, latest_per_key, ranked, running_total
 from ..operators.upsert import merge, merge_counts, without
 from ..session import scratch_folder
 from ..sources import file_ledger, key_from_path, read_feed, read_marked, split_broken
+from ..sources.bucketed import BucketedTable
 from ..sources.lake import Lake, clustered
+from ..sources.layout import files_touched
 from ..sources.payload import replayed, undeclared, with_payload
 from .feeds import FEEDS, FLATTENERS
 from .star import TABLES, Star, agg_home_away, agg_matchday_progress, agg_team_season, validation_report
@@ -531,6 +534,17 @@ def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_counts(*_customer_parts(spark, sf_dir), ["c_custkey"])
 
 
+@query
+def upsert_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same merge into a bucketed table, which is not shuffled for it, and once more as a repeated load."""
+    base, news = _customer_parts(spark, sf_dir)
+    folder = scratch_folder(spark, "buckets")
+    customers = BucketedTable(spark, f"customers_{folder.rpartition('-')[2]}", ("c_custkey",), 8, folder)
+    for load in (base, news, news):
+        customers.upsert(load)
+    return customers.read()
+
+
 @query
 def upsert_schema_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
@@ -600,6 +614,14 @@ def lake_partition_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.read("bronze", "daily")
 
 
+@query
+def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the last day that has a user with several events: the day is a subquery, and prunes the folders when it is known."""
+    lake = _scratch_lake(spark)
+    lake.replace_partitions(_daily(spark, sf_dir), "bronze", "daily", ["snapshot_date"])
+    return latest_capture(lake.read("bronze", "daily"), "snapshot_date", F.col("n_events") > 1)
+
+
 @query
 def snapshot_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir).where(F.col("snapshot_date") == F.to_date(F.lit("2024-01-10")))
@@ -768,6 +790,20 @@ def clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey"), ["l_shipdate", "l_orderkey"], 8)
 
 
+@query
+def interleaved_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines over 64 files, narrow in two columns at once: for a range of each column the rows that it has, and whether at most half of the files have to be read for it."""
+    lake = _scratch_lake(spark)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_shipdate").cast("date").alias("l_shipdate"), "l_quantity")
+    lake.replace(lines, "silver", "lines")
+    lake.cluster("silver", "lines", ["l_shipdate", "l_quantity"], 64, interleave=True)
+    rows = lake.read("silver", "lines")
+    ranges = [("l_shipdate", date(1995, 3, 1), date(1995, 3, 31)), ("l_quantity", 7.0, 8.0)]
+    counts = rows.select(*[F.count_if(F.col(c).between(F.lit(low), F.lit(high))).alias(c) for c, low, high in ranges]).unpivot([], [c for c, _, _ in ranges], "column", "n_rows")
+    touched = files_touched(rows, ranges)
+    return counts.join(touched, "column").select("column", "n_rows", (F.col("n_touched") * 2 <= F.col("n_files")).alias("skips_half"))
+
+
 @query
 def lake_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written by day of the month, one part replaced, some deleted, and read back."""

@@ -29,6 +29,7 @@ from ..functions.growth import wider
 from ..operators.names import all_names, fresh, named, spelled
 from ..operators.quality import CAST_FAILED, quarantined
 from ..operators.upsert import ORIGINS, marked, without
+from .layout import interleaved, with_interleaved_key
 
 #: Files with the columns of a table kept by partition; readers of the data skip names that begin like this.
 _COLUMNS = "_columns-"
@@ -316,11 +317,20 @@ class Lake:
         self.replace(every, "quarantine", name)
         return counts.get["n"]
 
-    def cluster(self, layer: str, name: str, by: Sequence[str], files: int) -> None:
-        """Rewrite a table ordered by ``by`` over ``files`` files (for each partition, as far as it has the rows), so that readers skip by the files' least and greatest values."""
+    def cluster(self, layer: str, name: str, by: Sequence[str], files: int, interleave: bool = False) -> None:
+        """Rewrite a table ordered by ``by`` over ``files`` files (for each partition, as far as it has the rows), so that readers skip by the files' least and greatest values.
+
+        With ``interleave`` all columns count alike; without, the first one
+        counts before the others.  A table kept by partition is always in order
+        of its partitions first.
+        """
         layout, rows = self._layout(layer, name), self.read(layer, name)
         if layout is None:
-            self.replace(clustered(rows, by, files), layer, name)
+            self.replace((interleaved if interleave else clustered)(rows, by, files), layer, name)
+        elif interleave:
+            key = fresh("turn", rows.columns)
+            placed = clustered(with_interleaved_key(rows, by, key), [*layout.by, key], files)
+            self.replace_partitions(placed.drop(key), layer, name, layout.by)
         else:
             self.replace_partitions(clustered(rows, all_names(layout.by, by), files), layer, name, layout.by)
 

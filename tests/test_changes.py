@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators.changes import capture_gaps, change_feed
+from ledgerline.operators.changes import capture_gaps, change_feed, latest_capture
 from ledgerline.sources import Lake
 from ledgerline.sources.payload import path_of, replayed, undeclared, with_payload
 
@@ -59,3 +59,18 @@ def test_payload(spark, tmp_path):
     assert [i for i in sorted(out) if out[i]["drifted"]] == [3]
     with pytest.raises(ValueError, match="no path"):
         path_of("a\"'b")
+
+
+def test_latest_capture_prunes(spark, tmp_path):
+    """The subquery is a partition filter: of ten folders one is read."""
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rows = spark.range(1000).select("id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 10).cast("int")).alias("d"))
+    lake.replace_partitions(rows, "b", "t", ["d"])
+    found = latest_capture(lake.read("b", "t"), "D", F.col("id") < 995)
+    assert found.count() == 100 and found.select("d").distinct().count() == 1
+    plan = latest_capture(lake.read("b", "t"), "d")
+    assert plan.collect() and {str(r["d"]) for r in plan.collect()} == {"2024-01-10"}
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in text.splitlines() if "PartitionFilters" in line]
+    assert any("Subquery" in line.split("PartitionFilters")[1].split("PushedFilters")[0] for line in filters)
+    assert latest_capture(lake.read("b", "t").limit(0), "d").count() == 0
