@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import bitmap, discard, filtered, map_batches, materialize, small_batches
 from .components import connected_components
-from .similar import PARITY, parity, shingles
+from .similar import shingles
 
 SHARE = (4, 5)
 WORDS = 5
@@ -43,8 +43,8 @@ FREQUENT, VERY_FREQUENT, VERY_SHARE = 16, 256, 500
 CLASSED, LOCAL = 1 << 18, 3
 #: Sets a task remembers, so that copies are stored once, and tokens it counts at once.
 _REMEMBERED, _COUNTED = 200_000, 4_000_000
-#: Longs of the parity bits that stand beside signatures.
-MARK = 4
+#: Longs of the parity bits that stand beside signatures; bits of those that stand beside sets, for each of which it is the next power of two over twice its size.
+MARK, LEAST_BITS, MOST_BITS = 4, 1 << 10, 1 << 15
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -117,6 +117,12 @@ def signatures(tokens: np.ndarray, often: np.ndarray, very: int, share: tuple[in
     return np.unique(np.concatenate(out))
 
 
+def parity(tokens: np.ndarray) -> list[int]:
+    """Bits that an odd number of the tokens fall on, as longs; the two halves of a longer one fold into a shorter one by XOR."""
+    bits = max(LEAST_BITS, min(MOST_BITS, 1 << max(0, 2 * len(tokens) - 1).bit_length()))
+    return np.packbits((np.bincount(tokens & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def _longs(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.LongType()) for n in names]
 
@@ -200,17 +206,27 @@ def _sharing(signed: DataFrame) -> DataFrame:
     leads = shared.groupBy("key").agg(F.min("node").alias("lead"))
     keyed = shared.join(leads, "key").groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set("lead").alias("leads"))
     # Parity bits folded to MARK longs still differ in no more bits than the sets in tokens.
-    fold = lambda i: reduce(lambda a, b: a.bitwiseXOR(b), [F.col("parity")[k] for k in range(i, PARITY, MARK)])
+    zero = F.lit(0).cast("long")
+    fold = lambda i: F.aggregate(F.filter("parity", lambda x, j: j % MARK == i), zero, lambda a, b: a.bitwiseXOR(b))
     marks = F.array(*[fold(i) for i in range(MARK)])
     made = _kept(keyed.join(signed.select("node", "n", "parity", marks.alias("mark")).dropDuplicates(["node"]), "node"), "sharing")
     discard(shared)
     return made
 
 
-def _may_be_similar(a: str, b: str, bits: str, longs: int, share: tuple[int, int]) -> Column:
+def _differing(x: Column, y: Column) -> Column:
+    """Differing bits of two parities, the longer one folded to the length of the other; similar sets' lengths are equal or double."""
+    half = lambda v, n: F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(v, i).bitwiseXOR(F.element_at(v, i + n)))
+    a = F.when(F.size(x) == 2 * F.size(y), half(x, F.size(y))).otherwise(x)
+    b = F.when(F.size(y) == 2 * F.size(x), half(y, F.size(x))).otherwise(y)
+    return F.aggregate(F.zip_with(a, b, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, n: s + n)
+
+
+def _may_be_similar(a: str, b: str, bits: str, share: tuple[int, int]) -> Column:
     """Whether sizes and parity bits, in columns with these prefixes, allow similarity: sets that differ in d tokens have at most d differing bits."""
     p, q = share
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{bits}")[i].bitwiseXOR(F.col(f"{b}{bits}")[i])) for i in range(longs)])
+    x, y = F.col(f"{a}{bits}"), F.col(f"{b}{bits}")
+    differ = reduce(lambda s, n: s + n, [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(MARK)]) if bits == "mark" else _differing(x, y)
     return (F.least(f"{a}n", f"{b}n") * q >= F.greatest(f"{a}n", f"{b}n") * p) & (differ * (p + q) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (q - p))
 
 
@@ -221,18 +237,17 @@ def _side(sharing: DataFrame, name: str, bits: str) -> DataFrame:
 def _lead_pairs(sharing: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b): each set with the least ones of its signatures."""
     pairs = sharing.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("mark").alias("b_mark"), F.explode("leads").alias("a")).where("a <> b")
-    return pairs.join(_side(sharing, "a", "mark"), "a").where(_may_be_similar("a_", "b_", "mark", MARK, share)).select("a", "b")
+    return pairs.join(_side(sharing, "a", "mark"), "a").where(_may_be_similar("a_", "b_", "mark", share)).select("a", "b")
 
 
 def _rest_pairs(sharing: DataFrame, groups: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(a, b) of sets in different groups that share a signature, each pair at the first that it shares."""
-    named = sharing.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    """(a, b) of sets in different groups that share a signature; a pair may come once for each that it shares."""
+    named = sharing.join(groups, "node", "left").select("node", "n", "mark", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
     # A signature whose sets are all in one group has nothing left to compare.
     mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    kept = named.join(mixed, "key").groupBy("node").agg(F.first("root").alias("root"), F.array_sort(F.collect_set("key")).alias("keys")).join(sharing.select("node", "n", "mark"), "node")
-    left = _kept(kept.select("node", "n", "mark", "root", "keys", F.posexplode("keys").alias("at", "key")).withColumn("before", F.slice("keys", F.lit(1), F.col("at"))).drop("keys", "at"), "left")
+    left = _kept(named.join(mixed, "key"), "left")
     other = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & other & _may_be_similar("a.", "b.", "mark", MARK, share) & ~F.arrays_overlap("a.before", "b.before"))
+    met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & other & _may_be_similar("a.", "b.", "mark", share))
     return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
@@ -240,7 +255,7 @@ def _verified(pairs: DataFrame, sharing: DataFrame, sets: DataFrame, share: tupl
     """Those of the ``pairs`` (a, b) whose whole sets are similar, each once."""
     p, q = share
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = once.join(_side(sharing, "a", "parity"), "a").join(_side(sharing, "b", "parity"), "b").where(_may_be_similar("a_", "b_", "parity", PARITY, share))
+    near = once.join(_side(sharing, "a", "parity"), "a").join(_side(sharing, "b", "parity"), "b").where(F.least("a_n", "b_n") * q >= F.greatest("a_n", "b_n") * p).where(_may_be_similar("a_", "b_", "parity", share))
     asked = _kept(near.select("a", "b"), "asked")
     nodes = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stored = filtered(sets.where("tokens is not null").select("node", "tokens"), bitmap(nodes)).join(nodes, "node", "left_semi").dropDuplicates(["node"])
