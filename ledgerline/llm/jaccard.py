@@ -45,6 +45,8 @@ CLASSED, LOCAL = 1 << 18, 3
 _REMEMBERED, _COUNTED = 200_000, 4_000_000
 #: Longs of the parity bits that stand beside signatures; bits of those that stand beside sets, for each of which it is the next power of two over twice its size.
 MARK, LEAST_BITS, MOST_BITS = 4, 1 << 10, 1 << 15
+#: Least signatures of a set that stand beside each of its signatures, so that a pair that shares many is made once.
+FIRST = 8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -241,13 +243,20 @@ def _lead_pairs(sharing: DataFrame, share: tuple[int, int]) -> DataFrame:
 
 
 def _rest_pairs(sharing: DataFrame, groups: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(a, b) of sets in different groups that share a signature; a pair may come once for each that it shares."""
-    named = sharing.join(groups, "node", "left").select("node", "n", "mark", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
-    # A signature whose sets are all in one group has nothing left to compare.
-    mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    left = _kept(named.join(mixed, "key"), "left")
+    """(a, b) of sets in different groups that share a signature, mostly once: at the least one that both have among their first."""
+    rooted = sharing.join(groups, "node", "left").select("node", "n", "mark", F.coalesce("root", "node").alias("root"), "keys")
+    entries = rooted.select("node", "root", F.explode("keys").alias("key"))
+    # A signature whose sets are all in one group has nothing left to compare; of signatures that the same sets have, one is enough.
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"same{i}") for i in range(2)]
+    mixed = entries.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("sets"), *same).where("least <> most")
+    asked = mixed.groupBy("sets", "same0", "same1").agg(F.min("key").alias("key")).select("key")
+    keyed = entries.select("node", "key").join(asked, "key").groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("asked"))
+    left = _kept(rooted.drop("keys").join(keyed, "node").withColumn("first", F.slice("asked", 1, FIRST)), "left")
+    # The least signature of two sets is never above one that both have first, so each pair is left at one place at least.
+    unseen = F.coalesce(F.array_min(F.array_intersect("a.first", "b.first")) >= F.col("a.key"), F.lit(True))
     other = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & other & _may_be_similar("a.", "b.", "mark", share))
+    each = left.select("node", "n", "mark", "root", "first", F.explode("asked").alias("key")).hint("merge")
+    met = each.alias("a").join(each.alias("b"), (F.col("a.key") == F.col("b.key")) & other & _may_be_similar("a.", "b.", "mark", share) & unseen)
     return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
