@@ -13,10 +13,10 @@ Buckets depend on a level of the size, so that a bucket has a few tokens of a
 prefix in small and large sets; a set signs for its level and the next, as a
 similar one is at most one level away.
 
-Sets are compared with the least set of each signature first; sets that are
-still in different groups and share a signature are compared with each other,
-as far as sizes and parity bits allow.  A group of copies makes few pairs, as
-nothing is compared inside it.
+Sets are compared with the least set of each signature first, then with a few
+sets drawn from those of a signature; sets that are still in different groups
+and share a signature are compared with each other, as far as sizes and parity
+bits allow.  A group of copies makes few pairs, as nothing is compared inside it.
 """
 
 from __future__ import annotations
@@ -47,6 +47,10 @@ _REMEMBERED, _COUNTED = 200_000, 4_000_000
 MARK, LEAST_BITS, MOST_BITS = 4, 1 << 10, 1 << 15
 #: Least signatures of a set that stand beside each of its signatures, so that a pair that shares many is made once.
 FIRST = 8
+#: Sets drawn from those of a signature, 16 at most, that the others are compared with before any two are.
+LEADS = 16
+#: Times that they are drawn; later draws are from signatures that still reach another group.
+DRAWS, _DRAW = 3, 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -242,20 +246,36 @@ def _lead_pairs(sharing: DataFrame, share: tuple[int, int]) -> DataFrame:
     return pairs.join(_side(sharing, "a", "mark"), "a").where(_may_be_similar("a_", "b_", "mark", share)).select("a", "b")
 
 
-def _rest_pairs(sharing: DataFrame, groups: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(a, b) of sets in different groups that share a signature, mostly once: at the least one that both have among their first."""
-    rooted = sharing.join(groups, "node", "left").select("node", "n", "mark", F.coalesce("root", "node").alias("root"), "keys")
+def _left(rows: DataFrame, groups: DataFrame, draw: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n, mark, root, keys, first): the sets of ``rows`` whose signatures reach another group, with these; (key, leads): sets drawn from those of each such signature."""
+    rooted = rows.select("node", "n", "mark", "keys").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     entries = rooted.select("node", "root", F.explode("keys").alias("key"))
     # A signature whose sets are all in one group has nothing left to compare; of signatures that the same sets have, one is enough.
     same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"same{i}") for i in range(2)]
-    mixed = entries.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("sets"), *same).where("least <> most")
-    asked = mixed.groupBy("sets", "same0", "same1").agg(F.min("key").alias("key")).select("key")
-    keyed = entries.select("node", "key").join(asked, "key").groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("asked"))
-    left = _kept(rooted.drop("keys").join(keyed, "node").withColumn("first", F.slice("asked", 1, FIRST)), "left")
+    # Nodes are hashes, so the least one after other leading bits are flipped is another set, drawn alike for every signature.
+    flips = [F.lit(((i << 60) ^ (draw * _DRAW >> 4)) - (1 << 63)) for i in range(LEADS)]
+    names = [f"lead{i}" for i in range(LEADS)]
+    least = [F.min(F.col("node").bitwiseXOR(f)).bitwiseXOR(f).alias(name) for name, f in zip(names, flips)]
+    mixed = entries.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("sets"), *same, *least).where("least <> most")
+    found = mixed.groupBy("sets", "same0", "same1").agg(F.min("key").alias("key"), *[F.min(name).alias(name) for name in names])
+    asked = _kept(found.select("key", F.array_distinct(F.array(*names)).alias("leads")), "keys")
+    keyed = entries.select("node", "key").join(asked.select("key"), "key").groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    return _kept(rooted.drop("keys").join(keyed, "node").withColumn("first", F.slice("keys", 1, FIRST)), "left"), asked
+
+
+def _drawn_pairs(left: DataFrame, asked: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b): each set of ``left`` with the drawn sets of its first signatures that are in other groups, so that few sets of a large group are left outside it."""
+    met = left.select("node", F.explode("first").alias("key")).join(asked, "key").select(F.col("node").alias("b"), F.explode("leads").alias("a")).where("a <> b").distinct()
+    side = lambda name: left.select(*[F.col(c).alias(f"{name}_{c}") for c in ("n", "mark", "root")], F.col("node").alias(name))
+    return met.join(side("a"), "a").join(side("b"), "b").where("a_root <> b_root").where(_may_be_similar("a_", "b_", "mark", share)).select("a", "b")
+
+
+def _rest_pairs(left: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b) of sets in different groups that share a signature, mostly once: at the least one that both have among their first."""
     # The least signature of two sets is never above one that both have first, so each pair is left at one place at least.
     unseen = F.coalesce(F.array_min(F.array_intersect("a.first", "b.first")) >= F.col("a.key"), F.lit(True))
     other = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    each = left.select("node", "n", "mark", "root", "first", F.explode("asked").alias("key")).hint("merge")
+    each = left.select("node", "n", "mark", "root", "first", F.explode("keys").alias("key")).hint("merge")
     met = each.alias("a").join(each.alias("b"), (F.col("a.key") == F.col("b.key")) & other & _may_be_similar("a.", "b.", "mark", share) & unseen)
     return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
@@ -297,9 +317,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sharing = _sharing(signed)
     discard(signed)
     links = _verified(_lead_pairs(sharing, share), sharing, sets, share)
-    more = _verified(_rest_pairs(sharing, connected_components(links), share), sharing, sets, share)
-    roots = connected_components(links.unionByName(more))
-    discard(sharing, links, more)
+    # Groups only grow, so what is left after a round has all signatures that the next one asks.
+    before, left = None, sharing
+    for draw in range(DRAWS + 1):
+        before, (left, asked) = left, _left(left, connected_components(links), draw)
+        pairs = _drawn_pairs(left, asked, share) if draw < DRAWS else _rest_pairs(left, share)
+        links = links.unionByName(_verified(pairs, sharing, sets, share))
+        discard(asked, *([before] if draw else []))
+    roots = connected_components(links)
+    discard(sharing, left)
     least = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     label = least.select("node", "root").join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     linked = sets.where("n > 0").select("node", "doc_id", "n").join(label, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
