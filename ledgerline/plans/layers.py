@@ -11,7 +11,7 @@ from ..operators.audit import RunLog, new_batch, stamped
 from ..operators.quality import BROKEN_FILE, CAST_FAILED, NULL_REQUIRED, quarantine_summary, quarantined, require_clean, split_required
 from ..sources import Feed, Lake, read_marked, split_broken
 from .feeds import FEEDS, FLATTENERS
-from .star import TABLES, Star, agg_home_away, agg_matchday_progress, agg_team_season, validation_report
+from .star import NATURAL, TABLES, Star, agg_home_away, agg_matchday_progress, agg_team_season, validation_report
 from .typed import TYPED, TypedTable
 
 BRONZE, SILVER, GOLD, OPS = "bronze", "silver", "gold", "ops"
@@ -114,7 +114,7 @@ def build_star(lake: Lake, log: RunLog, validate: bool = True, optimise: bool =
             made = _AGGREGATES[name](lake.read(GOLD, "fact_team_match").select(*_FACT)) if name in _AGGREGATES else getattr(star, name)()
             made = stamped(made, log.batch_id, log.load_type, with_source=False)
             if merged:
-                counts = lake.upsert(made, GOLD, name, list(keys))
+                counts = lake.upsert(made, GOLD, name, [*keys, *([NATURAL[name]] if name in NATURAL else [])])
                 step.metrics |= {k: counts[k] for k in ("inserted", "updated")}
             else:
                 step.metrics["inserted"] = lake.replace(made, GOLD, name)

@@ -144,6 +144,8 @@ TABLES: dict[str, tuple[tuple[str, ...], bool]] = {
     "agg_home_away": (("team_key", *SEASON, "venue"), False),
     "agg_matchday_progress": (("team_key", *SEASON, "stage", "group_name", "matchday"), False),
 }
+#: Natural keys: a dimension is merged by these as well, so that members whose surrogate keys clash stay apart, and the grain check sees them.
+NATURAL = {"dim_competition": "competition_code", "dim_season": "season_label", "dim_team": "team_id", "dim_player": "player_id"}
 #: (column, dimension, its key) that each table refers by.
 REFERENCES: dict[str, list[tuple[str, str, str]]] = {
     "fact_matches": [("date_key", "dim_date", "date_key"), ("competition_key", "dim_competition", "competition_key"), ("season_key", "dim_season", "season_key"), ("home_team_key", "dim_team", "team_key"), ("away_team_key", "dim_team", "team_key")],
