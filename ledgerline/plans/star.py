@@ -95,9 +95,10 @@ class Star:
             points(counts, home, away).alias("home_points"), points(counts, away, home).alias("away_points"),
         )
 
-    def fact_team_match(self) -> DataFrame:
+    def fact_team_match(self, facts: DataFrame | None = None) -> DataFrame:
+        """A row for each side of a match, from ``facts`` if fact_matches is written already."""
         names = ["match_id", "date_key", "competition_key", "season_key", "matchday", "stage", "group_name", "match_status", "is_finished", *[c for c in ["kickoff_utc"] if c in self.matches.columns]]
-        base = self.fact_matches().select(*names, "home_team_key", "away_team_key", "home_goals", "away_goals")
+        base = (self.fact_matches() if facts is None else facts).select(*names, "home_team_key", "away_team_key", "home_goals", "away_goals")
         side = lambda own, other: {"team_key": f"{own}_team_key", "opponent_key": f"{other}_team_key", "goals_for": f"{own}_goals", "goals_against": f"{other}_goals"}
         both = two_sided(base, {"HOME": side("home", "away"), "AWAY": side("away", "home")}, "venue")
         own, other = F.col("goals_for"), F.col("goals_against")
