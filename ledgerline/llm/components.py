@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -37,12 +37,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Self links and repeated links are allowed; an empty edge list gives no rows.
     """
-    current = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    current = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges", tidy=True)
     before = _checksum(current)
     if before[0] == 0:
         return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
-        current = materialize(_small_star(_large_star(current)), "edges")
+        last, current = current, materialize(_small_star(_large_star(current)), "edges", tidy=True)
+        discard(last)
         after = _checksum(current)
         if after == before:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))

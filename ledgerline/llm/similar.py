@@ -22,6 +22,7 @@ corpus: shingles that a sample shows in several texts (hot ones) come last.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 from itertools import accumulate
 
 import numpy as np
@@ -47,6 +48,8 @@ ORDER_TEXTS, ORDER_SHINGLES = 4_000, 500_000
 LEADS = 4
 #: Longs of parity bits of a set.
 PARITY = 16
+#: Tables of this module: their shuffles are large, and of no use once a table is written.
+_kept = partial(materialize, tidy=True)
 #: Sets that a task remembers, so that copies send their prefix once.
 _REMEMBERED = 200_000
 
@@ -130,7 +133,7 @@ def _prefixes(docs: DataFrame, words: int, share: tuple[int, int], split) -> Dat
                 out[name].append(value)
         return out
 
-    return materialize(map_batches(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text"), run, schema), "prefixes")
+    return _kept(map_batches(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text"), run, schema), "prefixes")
 
 
 def _candidates(held: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -142,7 +145,7 @@ def _candidates(held: DataFrame, share: tuple[int, int]) -> DataFrame:
     by_node = shared.groupBy("node").agg(F.count_distinct("key").alias("s"))
     nodes = held.where(F.size("keys") + F.size("hot") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.max(F.size("hot")).alias("h"))
     found = nodes.join(by_node, "node", "left").where(F.coalesce("s", F.lit(0)) + F.col("h") >= _floor(F.col("n"), share))
-    return materialize(found.select("node", "n", "fp"), "candidates")
+    return _kept(found.select("node", "n", "fp"), "candidates")
 
 
 def parity(hashes: np.ndarray) -> list[int]:
@@ -164,7 +167,7 @@ def _sets(docs: DataFrame, held: DataFrame, nodes: DataFrame, words: int, split)
         cold, hot = zip(*map(split, made)) if made else ((), ())
         return {"node": [_node(m) for m in made], "parity": [parity(m) for m in made], "cold": cold, "hot": hot}
 
-    return materialize(map_batches(some, run, schema), "sets")
+    return _kept(map_batches(some, run, schema), "sets")
 
 
 def _ranked(sets: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -180,12 +183,12 @@ def _ranked(sets: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFr
     whole = nodes.join(own, "node").join(by_node, "node", "left").select("node", "n", "fp", "parity", ks.alias("ks"))
     least = F.ceil(F.col("n") * share[0] / share[1]).cast("int")
     chosen = F.transform(F.slice("ks", F.lit(1), F.size("ks") - least + 1), lambda k: k["key"])
-    return materialize(whole.where(F.size("ks") >= least).select("node", "n", F.size("ks").alias("s"), "fp", "parity", chosen.alias("keys")), "ranked")
+    return _kept(whole.where(F.size("ks") >= least).select("node", "n", F.size("ks").alias("s"), "fp", "parity", chosen.alias("keys")), "ranked")
 
 
 def _tree_pairs(ranked: DataFrame) -> DataFrame:
     """(a, b) of the sets whose fingerprints the vantage-point trees link, and of those with one fingerprint."""
-    least = materialize(ranked.groupBy("fp").agg(F.min("node").alias("lead")), "points")
+    least = _kept(ranked.groupBy("fp").agg(F.min("node").alias("lead")), "points")
     links = link_fingerprints(least.select("fp"), RADIUS)
     near = links.join(least.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return near.unionByName(ranked.join(least, "fp").select(F.col("lead").alias("a"), F.col("node").alias("b")))
@@ -203,7 +206,7 @@ def _rest_pairs(ranked: DataFrame, groups: DataFrame, share: tuple[int, int]) ->
     named = ranked.join(groups, "node", "left").select("node", "n", "s", "parity", "keys", F.coalesce("root", "node").alias("root"), F.posexplode("keys").alias("at", "key"))
     # A key whose texts are all in one group has nothing left to compare.
     mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    left = materialize(named.join(mixed, "key").withColumn("before", F.slice("keys", F.lit(1), F.col("at"))).drop("keys", "at"), "left")
+    left = _kept(named.join(mixed, "key").withColumn("before", F.slice("keys", F.lit(1), F.col("at"))).drop("keys", "at"), "left")
     other = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
     first = ~F.arrays_overlap("a.before", "b.before")
     met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & other & _plausible("a.", "b.", share) & first)
@@ -223,11 +226,11 @@ def _confirmed(pairs: DataFrame, ranked: DataFrame, sets: DataFrame, share: tupl
     p, q = share
     once = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one = lambda name: ranked.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "s", "parity")))
-    asked = materialize(once.join(one("a"), "a").join(one("b"), "b").where(_plausible("a_", "b_", share)).select("a", "b"), "asked")
+    asked = _kept(once.join(one("a"), "a").join(one("b"), "b").where(_plausible("a_", "b_", share)).select("a", "b"), "asked")
     side = lambda name, k: sets.select(F.col("node").alias(name), F.concat("cold", F.transform("hot", lambda h: h["key"])).alias(k))
     # |x & y| / |x | y| >= p / q, in whole numbers.
     similar = F.size(F.array_intersect("x", "y")) * (p + q) >= (F.size("x") + F.size("y")) * p
-    return materialize(asked.join(side("a", "x"), "a").join(side("b", "y"), "b").where(similar).select("a", "b"), "links")
+    return _kept(asked.join(side("a", "x"), "a").join(side("b", "y"), "b").where(similar).select("a", "b"), "links")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
