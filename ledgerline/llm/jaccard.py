@@ -14,9 +14,15 @@ prefix in small and large sets; a set signs for its level and the next, as a
 similar one is at most one level away.
 
 Sets are compared with the least set of each signature first, then with a few
-sets drawn from those of a signature; sets that are still in different groups
-and share a signature are compared with each other, as far as sizes and parity
-bits allow.  A group of copies makes few pairs, as nothing is compared inside it.
+sets drawn from those of a signature and the one with the least share of tokens
+of its own; sets that are still in different groups and share a signature are
+compared with each other, as far as sizes, parity bits and own tokens allow.  A
+group of copies makes few pairs, as nothing is compared inside it.
+
+Own tokens are the rare ones of a prefix that are no other set's signature.  A
+set whose rare tokens all sign, or reach as far in their order, has none of
+them, so they bound what two sets can have in common; and a set whose own tokens
+leave no room for any of the sizes at a signature leaves that signature.
 """
 
 from __future__ import annotations
@@ -51,6 +57,10 @@ FIRST = 8
 LEADS = 16
 #: Times that they are drawn; later draws are from signatures that still reach another group.
 DRAWS, _DRAW = 3, 0x9E3779B97F4A7C15
+#: Parts of the signatures that are counted one after the other, so that only one part is shuffled at a time.
+PARTS = 4
+#: Where the rare tokens of a prefix end that has all those of its set.
+_ALL = (1 << 63) - 1
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -90,6 +100,11 @@ def _combined(tokens: np.ndarray, bucket: np.ndarray, size: int, salt: int) -> n
     return np.concatenate(out)
 
 
+def _need(n: int, share: tuple[int, int]) -> int:
+    """Votes of a prefix of a set of n tokens."""
+    return n - -(-share[0] * n // share[1]) + 1
+
+
 def signatures(tokens: np.ndarray, often: np.ndarray, very: int, share: tuple[int, int], levels: list[int]) -> np.ndarray:
     """Signatures of a set of sorted ``tokens``; ``often`` is 0 for the rare ones, ``very`` where the third class begins.
 
@@ -98,7 +113,7 @@ def signatures(tokens: np.ndarray, often: np.ndarray, very: int, share: tuple[in
     n = len(tokens)
     if n < 4:
         return tokens[:0]
-    need = n - -(-share[0] * n // share[1]) + 1
+    need = _need(n, share)
     rare = tokens[often == 0]
     if len(rare) >= need:
         return rare[:need]
@@ -181,7 +196,7 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(node, n, parity, keys): signatures of the stored sets that can be similar to another one."""
+    """(node, n, parity, keys, rare, end): signatures of the stored sets that can be similar to another one, the first ``rare`` of them tokens, up to ``end`` in their order."""
     known, often = _frequent(sets)
     very, levels = max(VERY_FREQUENT, sets.count() // VERY_SHARE), _levels(share)
 
@@ -194,29 +209,41 @@ def _signed(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
                 count = np.where(known[at] == tokens, often[at], 0)
             ends = np.cumsum(batch.column(2).to_numpy())
             spans = list(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()))
-            keys = [signatures(tokens[a:b], count[a:b], very, share, levels) for a, b in spans]
+            keys, rares, last = [], [], []
+            for a, b in spans:
+                rare, need = tokens[a:b][count[a:b] == 0], _need(b - a, share)
+                last.append(int(rare[need - 1]) if len(rare) >= need else _ALL)
+                rares.append(min(len(rare), need))
+                keys.append(np.r_[rare[:need], np.setdiff1d(signatures(tokens[a:b], count[a:b], very, share, levels), rare[:need], assume_unique=True)])
             marks = [parity(tokens[a:b]) for a, b in spans]
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(marks, type=longs), pa.array(keys, type=longs)], names=["node", "n", "parity", "keys"])
+            made = [batch.column(0), batch.column(2), pa.array(marks, type=longs), pa.array(keys, type=longs), pa.array(rares, type=pa.int64()), pa.array(last, type=pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, names=["node", "n", "parity", "keys", "rare", "end"])
 
     rows = sets.where("tokens is not null and n >= 4").select("node", "tokens", "n")
-    return _kept(rows.mapInArrow(run, "node long, n long, parity array<long>, keys array<long>"), "signed")
+    return _kept(rows.mapInArrow(run, "node long, n long, parity array<long>, keys array<long>, rare long, end long"), "signed")
 
 
 def _sharing(signed: DataFrame) -> DataFrame:
-    """(node, n, parity, mark, keys, leads): the sets with signatures that others have, these signatures, and the least set of each."""
-    entries = signed.select("node", F.explode("keys").alias("key"))
-    # Counted apart and joined back, so that Spark can split the rows of a hot signature.
-    several = entries.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
-    shared = _kept(entries.join(several, "key"), "shared")
+    """(node, n, parity, mark, own, end, keys, leads): the sets with signatures that others have, these signatures, and the least set of each."""
+    entries = signed.select("node", "rare", F.posexplode("keys").alias("at", "key")).select("node", (F.col("at") < F.col("rare")).alias("token"), "key")
+    parts = []
+    for part in range(PARTS):
+        some = entries.where(F.pmod("key", F.lit(PARTS)) == part)
+        # Counted apart and joined back, so that Spark can split the rows of a hot signature.
+        several = some.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
+        parts.append(_kept(some.join(several, "key"), "shared"))
+    shared = reduce(DataFrame.unionByName, parts)
     leads = shared.groupBy("key").agg(F.min("node").alias("lead"))
-    keyed = shared.join(leads, "key").groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set("lead").alias("leads"))
+    met = F.size(F.collect_set(F.when(F.col("token"), F.col("key")))).alias("met")
+    keyed = shared.join(leads, "key").groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set("lead").alias("leads"), met)
     # Parity bits folded to MARK longs still differ in no more bits than the sets in tokens.
     zero = F.lit(0).cast("long")
     fold = lambda i: F.aggregate(F.filter("parity", lambda x, j: j % MARK == i), zero, lambda a, b: a.bitwiseXOR(b))
     marks = F.array(*[fold(i) for i in range(MARK)])
-    made = _kept(keyed.join(signed.select("node", "n", "parity", marks.alias("mark")).dropDuplicates(["node"]), "node"), "sharing")
-    discard(shared)
+    each = signed.select("node", "n", "parity", marks.alias("mark"), "rare", "end").dropDuplicates(["node"])
+    made = _kept(keyed.join(each, "node").withColumn("own", F.col("rare") - F.col("met")).drop("rare", "met"), "sharing")
+    discard(*parts)
     return made
 
 
@@ -228,45 +255,58 @@ def _differing(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, n: s + n)
 
 
+def _room(x: str, share: tuple[int, int]) -> Column:
+    """Size, times share[0], of the largest set that is similar to one without its own tokens; ``x`` is a prefix of columns."""
+    p, q = share
+    return (F.col(f"{x}n") - F.col(f"{x}own")) * (p + q) - F.col(f"{x}n") * p
+
+
 def _may_be_similar(a: str, b: str, bits: str, share: tuple[int, int]) -> Column:
-    """Whether sizes and parity bits, in columns with these prefixes, allow similarity: sets that differ in d tokens have at most d differing bits."""
+    """Whether sizes, own tokens and parity bits, in columns with these prefixes, allow similarity: sets that differ in d tokens have at most d differing bits."""
     p, q = share
+    # The set whose rare signatures end later, or that has all its rare tokens there, has none of the other's own tokens.
+    fits = lambda x, y: (F.col(f"{x}end") > F.col(f"{y}end")) | (F.col(f"{y}n") * p <= _room(x, share))
     x, y = F.col(f"{a}{bits}"), F.col(f"{b}{bits}")
     differ = reduce(lambda s, n: s + n, [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(MARK)]) if bits == "mark" else _differing(x, y)
-    return (F.least(f"{a}n", f"{b}n") * q >= F.greatest(f"{a}n", f"{b}n") * p) & (differ * (p + q) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (q - p))
+    return (F.least(f"{a}n", f"{b}n") * q >= F.greatest(f"{a}n", f"{b}n") * p) & fits(a, b) & fits(b, a) & (differ * (p + q) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (q - p))
 
 
 def _side(sharing: DataFrame, name: str, bits: str) -> DataFrame:
-    return sharing.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col(bits).alias(f"{name}_{bits}"))
+    return sharing.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "own", "end", bits)])
 
 
 def _lead_pairs(sharing: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b): each set with the least ones of its signatures."""
-    pairs = sharing.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("mark").alias("b_mark"), F.explode("leads").alias("a")).where("a <> b")
+    pairs = sharing.select(*[F.col(c).alias(f"b_{c}") for c in ("n", "own", "end", "mark")], F.col("node").alias("b"), F.explode("leads").alias("a")).where("a <> b")
     return pairs.join(_side(sharing, "a", "mark"), "a").where(_may_be_similar("a_", "b_", "mark", share)).select("a", "b")
 
 
-def _left(rows: DataFrame, groups: DataFrame, draw: int) -> tuple[DataFrame, DataFrame]:
-    """(node, n, mark, root, keys, first): the sets of ``rows`` whose signatures reach another group, with these; (key, leads): sets drawn from those of each such signature."""
-    rooted = rows.select("node", "n", "mark", "keys").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    entries = rooted.select("node", "root", F.explode("keys").alias("key"))
+def _left(rows: DataFrame, groups: DataFrame, draw: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(node, n, mark, own, end, root, keys, first): the sets of ``rows`` whose signatures reach another group, with these; (key, leads): sets drawn from those of each such signature."""
+    rooted = rows.select("node", "n", "mark", "own", "end", "keys").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    entries = rooted.select("node", "root", "n", "own", "end", F.explode("keys").alias("key"))
     # A signature whose sets are all in one group has nothing left to compare; of signatures that the same sets have, one is enough.
     same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"same{i}") for i in range(2)]
     # Nodes are hashes, so the least one after other leading bits are flipped is another set, drawn alike for every signature.
     flips = [F.lit(((i << 60) ^ (draw * _DRAW >> 4)) - (1 << 63)) for i in range(LEADS)]
-    names = [f"lead{i}" for i in range(LEADS)]
+    names = [f"lead{i}" for i in range(LEADS + 1)]
     least = [F.min(F.col("node").bitwiseXOR(f)).bitwiseXOR(f).alias(name) for name, f in zip(names, flips)]
-    mixed = entries.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("sets"), *same, *least).where("least <> most")
-    found = mixed.groupBy("sets", "same0", "same1").agg(F.min("key").alias("key"), *[F.min(name).alias(name) for name in names])
-    asked = _kept(found.select("key", F.array_distinct(F.array(*names)).alias("leads")), "keys")
-    keyed = entries.select("node", "key").join(asked.select("key"), "key").groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    # The set with the least share of own tokens is the most alike to the others.
+    least.append(F.min(F.struct((F.col("own") * 1000 / F.col("n")).cast("int"), "node"))["node"].alias(names[-1]))
+    bounds = {"least_n": F.min("n"), "least_end": F.min("end")}
+    mixed = entries.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("sets"), *same, *least, *[c.alias(name) for name, c in bounds.items()]).where("least <> most")
+    found = mixed.groupBy("sets", "same0", "same1").agg(F.min("key").alias("key"), *[F.min(name).alias(name) for name in [*names, *bounds]])
+    asked = _kept(found.select("key", F.array_distinct(F.array(*names)).alias("leads"), *bounds), "keys")
+    # Where no other set's rare signatures end before its own, a set's own tokens hold against all of them.
+    able = (F.col("end") > F.col("least_end")) | (F.col("least_n") * share[0] <= _room("", share))
+    keyed = entries.select("node", "n", "own", "end", "key").join(asked.select("key", *bounds), "key").where(able).groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     return _kept(rooted.drop("keys").join(keyed, "node").withColumn("first", F.slice("keys", 1, FIRST)), "left"), asked
 
 
 def _drawn_pairs(left: DataFrame, asked: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b): each set of ``left`` with the drawn sets of its first signatures that are in other groups, so that few sets of a large group are left outside it."""
-    met = left.select("node", F.explode("first").alias("key")).join(asked, "key").select(F.col("node").alias("b"), F.explode("leads").alias("a")).where("a <> b").distinct()
-    side = lambda name: left.select(*[F.col(c).alias(f"{name}_{c}") for c in ("n", "mark", "root")], F.col("node").alias(name))
+    met = left.select("node", F.explode("first").alias("key")).join(asked.select("key", "leads"), "key").select(F.col("node").alias("b"), F.explode("leads").alias("a")).where("a <> b").distinct()
+    side = lambda name: left.select(*[F.col(c).alias(f"{name}_{c}") for c in ("n", "mark", "own", "end", "root")], F.col("node").alias(name))
     return met.join(side("a"), "a").join(side("b"), "b").where("a_root <> b_root").where(_may_be_similar("a_", "b_", "mark", share)).select("a", "b")
 
 
@@ -275,7 +315,7 @@ def _rest_pairs(left: DataFrame, share: tuple[int, int]) -> DataFrame:
     # The least signature of two sets is never above one that both have first, so each pair is left at one place at least.
     unseen = F.coalesce(F.array_min(F.array_intersect("a.first", "b.first")) >= F.col("a.key"), F.lit(True))
     other = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    each = left.select("node", "n", "mark", "root", "first", F.explode("keys").alias("key")).hint("merge")
+    each = left.select("node", "n", "mark", "own", "end", "root", "first", F.explode("keys").alias("key")).hint("merge")
     met = each.alias("a").join(each.alias("b"), (F.col("a.key") == F.col("b.key")) & other & _may_be_similar("a.", "b.", "mark", share) & unseen)
     return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
@@ -320,7 +360,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Groups only grow, so what is left after a round has all signatures that the next one asks.
     before, left = None, sharing
     for draw in range(DRAWS + 1):
-        before, (left, asked) = left, _left(left, connected_components(links), draw)
+        before, (left, asked) = left, _left(left, connected_components(links), draw, share)
         pairs = _drawn_pairs(left, asked, share) if draw < DRAWS else _rest_pairs(left, share)
         links = links.unionByName(_verified(pairs, sharing, sets, share))
         discard(asked, *([before] if draw else []))
