@@ -281,33 +281,47 @@ def _lead_pairs(sharing: DataFrame, share: tuple[int, int]) -> DataFrame:
     return pairs.join(_side(sharing, "a", "mark"), "a").where(_may_be_similar("a_", "b_", "mark", share)).select("a", "b")
 
 
+def _mixed_only(entries: DataFrame) -> DataFrame:
+    """Those of the ``entries`` (key, root, ...) whose signature more than one group has, written once; asked by the key and its roots alone, as most are of one group."""
+    mixed = entries.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    return _kept(entries.join(mixed, "key"), "mixed")
+
+
 def _left(rows: DataFrame, groups: DataFrame, draw: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """(node, n, mark, own, end, root, keys, first): the sets of ``rows`` whose signatures reach another group, with these; (key, leads): sets drawn from those of each such signature."""
+    """(node, n, mark, own, end, root, keys, first): the sets of ``rows`` whose signatures reach another group, with these; (key, leads): sets drawn from those of each such signature, none after the last draw."""
     rooted = rows.select("node", "n", "mark", "own", "end", "keys").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     entries = rooted.select("node", "root", "n", "own", "end", F.explode("keys").alias("key"))
+    if not draw:
+        entries = _mixed_only(entries)
     # A signature whose sets are all in one group has nothing left to compare; of signatures that the same sets have, one is enough.
     same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"same{i}") for i in range(2)]
     # Nodes are hashes, so the least one after other leading bits are flipped is another set, drawn alike for every signature.
     flips = [F.lit(((i << 60) ^ (draw * _DRAW >> 4)) - (1 << 63)) for i in range(LEADS)]
-    names = [f"lead{i}" for i in range(LEADS + 1)]
+    names = [f"lead{i}" for i in range(LEADS + 1)] if draw < DRAWS else []
     least = [F.min(F.col("node").bitwiseXOR(f)).bitwiseXOR(f).alias(name) for name, f in zip(names, flips)]
-    # The set with the least share of own tokens is the most alike to the others.
-    least.append(F.min(F.struct((F.col("own") * 1000 / F.col("n")).cast("int"), "node"))["node"].alias(names[-1]))
+    if names:
+        # The set with the least share of own tokens is the most alike to the others.
+        least.append(F.min(F.struct((F.col("own") * 1000 / F.col("n")).cast("int"), "node"))["node"].alias(names[-1]))
     bounds = {"least_n": F.min("n"), "least_end": F.min("end")}
     mixed = entries.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("sets"), *same, *least, *[c.alias(name) for name, c in bounds.items()]).where("least <> most")
     found = mixed.groupBy("sets", "same0", "same1").agg(F.min("key").alias("key"), *[F.min(name).alias(name) for name in [*names, *bounds]])
-    asked = _kept(found.select("key", F.array_distinct(F.array(*names)).alias("leads"), *bounds), "keys")
+    asked = _kept(found.select("key", *([F.array_distinct(F.array(*names)).alias("leads")] if names else []), *bounds), "keys")
     # Where no other set's rare signatures end before its own, a set's own tokens hold against all of them.
     able = (F.col("end") > F.col("least_end")) | (F.col("least_n") * share[0] <= _room("", share))
     keyed = entries.select("node", "n", "own", "end", "key").join(asked.select("key", *bounds), "key").where(able).groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    return _kept(rooted.drop("keys").join(keyed, "node").withColumn("first", F.slice("keys", 1, FIRST)), "left"), asked
+    left = _kept(rooted.drop("keys").join(keyed, "node").withColumn("first", F.slice("keys", 1, FIRST)), "left")
+    if not draw:
+        discard(entries)
+    return left, asked
 
 
 def _drawn_pairs(left: DataFrame, asked: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b): each set of ``left`` with the drawn sets of its first signatures that are in other groups, so that few sets of a large group are left outside it."""
-    met = left.select("node", F.explode("first").alias("key")).join(asked.select("key", "leads"), "key").select(F.col("node").alias("b"), F.explode("leads").alias("a")).where("a <> b").distinct()
-    side = lambda name: left.select(*[F.col(c).alias(f"{name}_{c}") for c in ("n", "mark", "own", "end", "root")], F.col("node").alias(name))
-    return met.join(side("a"), "a").join(side("b"), "b").where("a_root <> b_root").where(_may_be_similar("a_", "b_", "mark", share)).select("a", "b")
+    # Both sides come to a signature with all that the comparison asks, so that only pairs that pass it are sent on.
+    side = lambda name, *more: left.select(*[F.col(c).alias(f"{name}_{c}") for c in ("n", "mark", "own", "end", "root")], F.col("node").alias(name), *more)
+    leads = asked.select("key", F.explode("leads").alias("a")).join(side("a"), "a")
+    met = side("b", F.explode("first").alias("key")).join(leads, "key")
+    return met.where("a_root <> b_root").where(_may_be_similar("a_", "b_", "mark", share)).select("a", "b")
 
 
 def _rest_pairs(left: DataFrame, share: tuple[int, int]) -> DataFrame:
