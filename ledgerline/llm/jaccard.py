@@ -236,14 +236,16 @@ def _sharing(signed: DataFrame) -> DataFrame:
     shared = reduce(DataFrame.unionByName, parts)
     leads = shared.groupBy("key").agg(F.min("node").alias("lead"))
     met = F.size(F.collect_set(F.when(F.col("token"), F.col("key")))).alias("met")
-    keyed = shared.join(leads, "key").groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set("lead").alias("leads"), met)
+    # Written before the parity bits come, so that the shuffles of both do not stand at once.
+    keyed = _kept(shared.join(leads, "key").groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set("lead").alias("leads"), met), "keyed")
+    discard(*parts)
     # Parity bits folded to MARK longs still differ in no more bits than the sets in tokens.
     zero = F.lit(0).cast("long")
     fold = lambda i: F.aggregate(F.filter("parity", lambda x, j: j % MARK == i), zero, lambda a, b: a.bitwiseXOR(b))
     marks = F.array(*[fold(i) for i in range(MARK)])
     each = signed.select("node", "n", "parity", marks.alias("mark"), "rare", "end").dropDuplicates(["node"])
     made = _kept(keyed.join(each, "node").withColumn("own", F.col("rare") - F.col("met")).drop("rare", "met"), "sharing")
-    discard(*parts)
+    discard(keyed)
     return made
 
 
