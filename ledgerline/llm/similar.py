@@ -156,7 +156,7 @@ def parity(hashes: np.ndarray) -> list[int]:
 
 def _sets(docs: DataFrame, held: DataFrame, nodes: DataFrame, words: int, split) -> DataFrame:
     """(node, parity, cold, hot) of ``nodes``, from one text of each: the shingles, hot ones apart."""
-    who = held.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id", "digest")).alias("who")).select("who")
+    who = _kept(held.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id", "digest")).alias("who")).select("who"), "who")
     keyed = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("who"), "text")
     some = filtered(keyed, bitmap(who)).join(who, "who", "left_semi").dropDuplicates(["who"]).select("text")
     longs = T.ArrayType(T.LongType())
@@ -167,7 +167,9 @@ def _sets(docs: DataFrame, held: DataFrame, nodes: DataFrame, words: int, split)
         cold, hot = zip(*map(split, made)) if made else ((), ())
         return {"node": [_node(m) for m in made], "parity": [parity(m) for m in made], "cold": cold, "hot": hot}
 
-    return _kept(map_batches(some, run, schema), "sets")
+    made = _kept(map_batches(some, run, schema), "sets")
+    discard(who)
+    return made
 
 
 def _ranked(sets: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -249,8 +251,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = _sets(src, held, nodes, words, split)
     ranked = _ranked(sets, nodes, share)
     links = _confirmed(_tree_pairs(ranked).unionByName(_lead_pairs(ranked)), ranked, sets, share)
-    more = _confirmed(_rest_pairs(ranked, connected_components(links), share), ranked, sets, share)
-    roots = connected_components(links.unionByName(more))
+    first = connected_components(links)
+    more = _confirmed(_rest_pairs(ranked, first, share), ranked, sets, share)
+    roots = connected_components(first.toDF("a", "b").unionByName(more))
     discard(nodes, sets, ranked, links, more)
     return held.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
