@@ -12,17 +12,20 @@ the terms were not drawn from.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_batches, materialize
+from .common import discard, map_batches, materialize, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms; the mark keeps them apart from whole words.
@@ -147,31 +150,56 @@ def fit(texts: list[str], toxic: list[int], weights: list[float] | None = None,
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", longest: int = 100_000, most_chars: int = 16_000_000) -> tuple[list[str], list[int], list[float]]:
-    """At most ``per_class`` labelled texts of each class, of up to ``longest`` characters and ``most_chars`` together, chosen by hash of the id; and how many labels each stands for.
-
-    Only these reach the driver.  ``allowed`` is a condition on the label rows.
-    Rows with a null id, text or label are not used; of repeated ids one label counts.
-    """
+def _sampled(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", longest: int = 100_000, most_chars: int = 16_000_000) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """(_id, _label, _text) of the sample, the table it is read from, and the number of labels of each class."""
     known = labels.where(allowed).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.max("_label").alias("_label"))
     picked = None
     for label in (0, 1):
         part = known.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= longest))
-    # The bounded side: 2 * per_class ids.  Of the texts of an id one is collected.
+    # The bounded side: 2 * per_class ids.  Of the texts of an id one is taken.
     held = materialize(texts.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.max("_text").alias("_text")), "labelled")
     # The sums run over the lengths alone, per_class rows of each class.
     so_far = F.sum("n").over(Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id"))
     within = held.select("_id", "_label", F.length("_text").alias("n")).withColumn("sum", so_far).where(F.col("sum") <= most_chars).select("_id")
-    rows = held.join(F.broadcast(within), "_id", "left_semi").collect()
-    discard(held)
-    rows = sorted((r["_id"], r["_text"], r["_label"]) for r in rows)
     total = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    return held.join(F.broadcast(within), "_id", "left_semi").select("_id", "_label", "_text"), held, total
+
+
+def _weighted(rows: list[tuple], total: dict[int, int]) -> tuple[list[str], list[int], list[float]]:
+    """Texts, labels and weights of rows (id, text, label), in the order of their ids."""
+    rows = sorted(rows)
     held = Counter(r[2] for r in rows)
     return [r[1] for r in rows], [r[2] for r in rows], [total[r[2]] / held[r[2]] for r in rows]
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", longest: int = 100_000, most_chars: int = 16_000_000) -> tuple[list[str], list[int], list[float]]:
+    """At most ``per_class`` labelled texts of each class, of up to ``longest`` characters and ``most_chars`` together, chosen by hash of the id; and how many labels each stands for.
+
+    Only these reach the driver.  ``allowed`` is a condition on the label rows.
+    Rows with a null id, text or label are not used; of repeated ids one label counts.
+    """
+    some, held, total = _sampled(docs, labels, allowed, per_class, id_col, text_col, label_col, longest, most_chars)
+    rows = [(r["_id"], r["_text"], r["_label"]) for r in some.collect()]
+    discard(held)
+    return _weighted(rows, total)
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, **options) -> ToxicityModel:
+    """``fit`` on the ``labelled_sample``, in a task that gets this bounded sample; the driver gets terms and weights alone."""
+    some, held, total = _sampled(docs, labels, allowed, per_class, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("_id", "_text", "_label")))]
+        yield pa.RecordBatch.from_pydict({"model": [json.dumps(asdict(fit(*_weighted(rows, total))))]})
+
+    small_batches(docs.sparkSession)
+    made = some.repartition(1).mapInArrow(run, "model string").first()
+    discard(held)
+    return ToxicityModel(**json.loads(made["model"])) if made else fit([], [])
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) for every row of ``docs``.
 
@@ -194,8 +222,6 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
             yield batch.filter(np_mask([s < threshold for s in scores]))
 
     def np_mask(values):
-        import pyarrow as pa
-
         return pa.array(values, type=pa.bool_())
 
     return docs.mapInArrow(keep, docs.schema)
